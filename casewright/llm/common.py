@@ -88,7 +88,7 @@ def components(edges: DataFrame) -> DataFrame:
     and minimums, so a node with very many neighbours is pre-aggregated and its join side can be split by AQE.
     """
     now, before = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
-    while True:
+    while not now.isEmpty():
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
@@ -98,5 +98,6 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialize(small)
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if sign == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            break
         before = sign
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -106,8 +106,8 @@ def _near(num: int, den: int) -> str:
 
 
 def links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of classes that reach the threshold on their full sets; sets are built for the pairs' classes only."""
-    pairs = materialize(pairs)
+    """Those of the written pairs (a, b) of classes that reach the threshold on their full sets; sets are built for the
+    pairs' classes only."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     held = bounded(nodes.join(classes.select("node", F.col("label").alias("_label")), "node").select("_label").distinct())
     texts = docs.select("doc_id", text_of(docs).cast("binary").alias("text")).alias("d").join(held, F.expr("d.doc_id <=> _label"), "left_semi")
@@ -124,31 +124,35 @@ def groups(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     classes = materialize(full.groupBy("node").agg(F.min("doc_id").alias("label"), F.first(F.struct("n_shingles", *_SIGN, "bands")).alias("s")).select("node", "label", "s.*"))
     slim = classes.select("node", "n_shingles", *_SIGN)
     banded = classes.select("node", F.explode("bands").alias("key"))
-    crowded = banded.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
+    crowded = banded.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
     members = materialize(banded.join(crowded, "key"))
     near = F.expr(_near(num, den))
 
     def screened(pairs: DataFrame) -> DataFrame:
         return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(slim.alias("p"), F.expr("a = p.node")).join(slim.alias("q"), F.expr("b = q.node")).where(near).select("a", "b")
 
-    found = links(docs, screened(members.select(F.col("centre").alias("a"), F.col("node").alias("b"))), classes, num, den)
+    tested = materialize(screened(members.select(F.col("centre").alias("a"), F.col("node").alias("b"))))
+    found = links(docs, tested, classes, num, den)
+    roots = components(found)
     for last in (False, True):
-        roots = components(found)
-        at = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        # a bucket of two is settled by its one pair; larger ones are settled when they lie in one component
+        at = members.where("n > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         open_ = at.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
         at = materialize(at.join(open_, "key"))
-        if at.isEmpty():
-            break
         if not last:  # a second centre for each unsettled bucket: its smallest class outside the first root
             second = at.where("root <> r0").groupBy("key").agg(F.min(F.struct("root", "node")).alias("c"))
-            pairs = at.join(second, "key").where("root <> c.root").select(F.col("c.node").alias("a"), F.col("node").alias("b"))
-            pairs = screened(pairs)
+            pairs = screened(at.join(second, "key").where("root <> c.root").select(F.col("c.node").alias("a"), F.col("node").alias("b")))
         else:  # across what is still apart; the screen is part of the join, so only likely pairs become rows
             wide = materialize(at.select("key", "node", "root").join(slim, "node"))
             pairs = wide.alias("p").join(wide.alias("q"), F.expr("p.key = q.key AND p.root < q.root AND " + _near(num, den))).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
-        fresh = pairs.join(found, ["a", "b"], "left_anti")
-        found = materialize(found.union(links(docs, fresh, classes, num, den)))
-    roots = components(found)
+        fresh = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
+        if fresh.isEmpty():
+            continue
+        more = links(docs, fresh, classes, num, den)
+        tested = tested.union(fresh)
+        if not more.isEmpty():
+            found = found.union(more)
+            roots = components(found)
     homes = classes.select("node", "label").join(roots, "node", "left").select("node", "label", F.coalesce("root", "node").alias("root"))
     lows = homes.groupBy("root").agg(F.min("label").alias("component_id"))
     homes = homes.join(lows, "root").select("node", "component_id")
