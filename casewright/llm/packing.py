@@ -26,39 +26,75 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Plain words: Latin letters (composed, so normalisation leaves them alone) and at most one full stop or comma.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
 
-class WordIds(dict):
-    """White-space separated word -> its ids as the tokenizer gives them. The tokenizer never joins what white space
-    separates, so a text's ids are those of its words in turn. Emptied when full."""
+class Known(dict):
+    """word -> number; a new word gets the next number and waits to be encoded."""
 
-    limit, longest = 300_000, 64
+    def __init__(self):
+        self.waiting: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.waiting.append(word)
+        n = self[word] = len(self)
+        return n
+
+
+class WordIds:
+    """Ids of texts as the tokenizer gives them. The tokenizer never joins what white space separates, so a text's ids are
+    those of its words in turn; words met before are looked up. Plain words share the ids of their lower-case letters.
+    Both tables are emptied when full, so memory is bounded by them and the texts in hand."""
+
+    words_limit, cores_limit = 500_000, 700_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cores: dict[str, list[int]] = {}
+        self.marks = {"": [], **{m: self.encode([m])[0] for m in ".,"}}
+        self.empty()
+
+    def empty(self) -> None:
+        self.words, self.flat, self.starts = Known(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def of(self, text: str) -> np.ndarray:
-        if _SEPARATORS.search(text):  # white space for str.split(), but not for the tokenizer
-            return np.array(self.encode([text])[0], np.uint32)
-        words = text.split()
-        new = [w for w in set(words).difference(self) if len(w) <= self.longest]
-        if len(self) + len(new) > self.limit:
-            self.clear()
-            new = [w for w in set(words) if len(w) <= self.longest]
-        for w, ids in zip(new, self.encode(new)):
-            self[w] = tuple(ids)
-        try:
-            ids = chain.from_iterable(map(self.__getitem__, words))
-            return np.fromiter(ids, np.uint32)
-        except KeyError:  # over-long words are encoded and forgotten
-            parts = [self.get(w) or self.encode([w])[0] for w in words]
-            return np.fromiter(chain.from_iterable(parts), np.uint32)
+    def learn(self) -> None:
+        """Encode the waiting words: flat holds the ids of word n from starts[n] to starts[n + 1]."""
+        plain = [(m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(w)) else (w, None) for w in self.words.waiting]
+        if len(self.cores) > self.cores_limit:
+            self.cores.clear()
+        new = [c for c in {c for c, _ in plain} if c not in self.cores]
+        self.cores.update(zip(new, self.encode(new)))
+        ids = [self.cores[c] + self.marks[m or ""] for c, m in plain]
+        ends = self.starts[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.uint32))
+        self.starts = np.append(self.starts, ends)
+        self.words.waiting.clear()
+
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.words) > self.words_limit:
+            self.empty()
+        numbers = []
+        for t in texts:
+            words = [] if _SEPARATORS.search(t) else t.split()
+            numbers.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
+        if self.words.waiting:
+            self.learn()
+        out = []
+        for t, n in zip(texts, numbers):
+            if not len(n) and t:  # white space alone, or a separator that only str.split() takes for white space
+                out.append(np.array(self.encode([t])[0], np.uint32))
+                continue
+            start, size = self.starts[n], self.starts[n + 1] - self.starts[n]
+            shift = np.repeat(start - (np.cumsum(size) - size), size)
+            out.append(self.flat[shift + np.arange(len(shift))])
+        return out
 
 
 def lengths(n: int) -> list[int]:
@@ -71,10 +107,10 @@ def _pieces(path: str):
     def run(batches):
         known = WordIds(path)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part, out = b.slice(at, 256), []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    ids = np.append(known.of(text), np.uint32(END)).astype("<u4")
+            for at in range(0, b.num_rows, 1024):
+                part, out = b.slice(at, 1024), []
+                for doc, found in zip(part.column("doc_id").to_pylist(), known.of(part.column("text").to_pylist())):
+                    ids = np.append(found, np.uint32(END)).astype("<u4")
                     start = 0
                     for n in lengths(len(ids)):
                         out.append((doc, start, n, ids[start : start + n].tobytes(), len(ids)))
