@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -45,56 +46,55 @@ class Known(dict):
 class WordIds:
     """Ids of texts as the tokenizer gives them. The tokenizer never joins what white space separates, so a text's ids are
     those of its words in turn; words met before are looked up. Plain words share the ids of their lower-case letters.
-    Both tables are emptied when full, so memory is bounded by them and the texts in hand."""
+    Both tables are emptied when full, so memory is bounded by them and the texts in hand. Ids are kept as bytes, which
+    Python's garbage collector never walks."""
 
-    words_limit, cores_limit = 500_000, 700_000
+    words_limit, cores_limit = 600_000, 800_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cores: dict[str, list[int]] = {}
-        self.marks = {"": [], **{m: self.encode([m])[0] for m in ".,"}}
+        self.cores: dict[str, bytes] = {}
+        self.marks = {"": b"", **dict(zip(".,", self.encode([".", ","])))}
         self.empty()
 
     def empty(self) -> None:
         self.words, self.flat, self.starts = Known(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def encode(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for at in range(0, len(words), 1000) for e in self.tokenizer.encode_batch_fast(words[at : at + 1000], add_special_tokens=False)]
 
     def learn(self) -> None:
         """Encode the waiting words: flat holds the ids of word n from starts[n] to starts[n + 1]."""
-        plain = [(m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(w)) else (w, None) for w in self.words.waiting]
+        plain = [(m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(w)) else (w, "") for w in self.words.waiting]
         if len(self.cores) > self.cores_limit:
             self.cores.clear()
         new = [c for c in {c for c, _ in plain} if c not in self.cores]
         self.cores.update(zip(new, self.encode(new)))
-        ids = [self.cores[c] + self.marks[m or ""] for c, m in plain]
-        ends = self.starts[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.uint32))
+        ids = [self.cores[c] + self.marks[m] for c, m in plain]
+        ends = self.starts[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+        self.flat = np.append(self.flat, np.frombuffer(b"".join(ids), np.uint32))
         self.starts = np.append(self.starts, ends)
         self.words.waiting.clear()
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) > self.words_limit:
             self.empty()
-        numbers = []
+        words, stops = [], [0]
         for t in texts:
-            words = [] if _SEPARATORS.search(t) else t.split()
-            numbers.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
+            # a text with what only str.split() takes for white space is encoded whole
+            words += [t] if _SEPARATORS.search(t) else t.split()
+            stops.append(len(words))
+        n = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         if self.words.waiting:
             self.learn()
-        out = []
-        for t, n in zip(texts, numbers):
-            if not len(n) and t:  # white space alone, or a separator that only str.split() takes for white space
-                out.append(np.array(self.encode([t])[0], np.uint32))
-                continue
-            start, size = self.starts[n], self.starts[n + 1] - self.starts[n]
-            shift = np.repeat(start - (np.cumsum(size) - size), size)
-            out.append(self.flat[shift + np.arange(len(shift))])
-        return out
+        start = self.starts[n]
+        size = self.starts[n + 1] - start
+        upto = np.append(0, np.cumsum(size))
+        ids = self.flat[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
+        return np.split(ids, upto[stops[1:-1]])
 
 
 def lengths(n: int) -> list[int]:
@@ -107,10 +107,10 @@ def _pieces(path: str):
     def run(batches):
         known = WordIds(path)
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part, out = b.slice(at, 1024), []
+            for at in range(0, b.num_rows, 512):
+                part, out = b.slice(at, 512), []
                 for doc, found in zip(part.column("doc_id").to_pylist(), known.of(part.column("text").to_pylist())):
-                    ids = np.append(found, np.uint32(END)).astype("<u4")
+                    ids = np.append(found, np.uint32(END)).astype("<u4", copy=False)
                     start = 0
                     for n in lengths(len(ids)):
                         out.append((doc, start, n, ids[start : start + n].tobytes(), len(ids)))
