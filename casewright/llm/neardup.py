@@ -4,7 +4,8 @@ Rows with the same shingle set form one class, so thousands of copies cost one s
 class is paired with the bucket's centre only, never with all others. Classes that stay in another component than a
 bucket's centre meet a second centre, and what then still differs inside a bucket is compared across components, so
 no link between proposed classes is lost. A pair goes to the exact test unless its odd sketch puts the similarity
-five standard errors below the threshold.
+four standard errors below the threshold. A bucket's centre is the class that shares most places with others over all
+bands, so a text and its many altered copies meet around the text and not around one of the copies.
 
 With 32 bands of 5 samples a pair at similarity 0.85 escapes every bucket with probability 9e-9 (0.80: 3e-6).
 
@@ -25,8 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, bounded, components, materialize, ngrams, text_of
 
-SHINGLE, BANDS, ROWS, BITS = 5, 32, 5, 512
-SAMPLES = BANDS * ROWS
+SHINGLE, BANDS, ROWS, SAMPLES, BITS = 5, 32, 5, 256, 1024
 #: Fixed hash parameters, drawn from a stated seed.
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 2**32, SAMPLES, np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -44,19 +44,19 @@ def shingle_set(text: bytes, hashes: WordHashes) -> np.ndarray:
 
 def min_samples(found: np.ndarray) -> np.ndarray:
     x, low = (found >> np.uint64(32)).astype(np.uint32), np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 2048):
-        low = np.minimum(low, (_A * x[None, i : i + 2048] + _B).min(axis=1))
+    for i in range(0, len(x), 1024):
+        low = np.minimum(low, (_A * x[None, i : i + 1024] + _B).min(axis=1))
     return low
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
-    parts = low.reshape(BANDS, ROWS)
+    parts = low[: BANDS * ROWS].reshape(BANDS, ROWS)
     return np.array([xxhash.xxh3_64_intdigest(p.tobytes(), seed=i) for i, p in enumerate(parts)], np.uint64).view(_LONG)
 
 
 def odd_sketch(low: np.ndarray) -> np.ndarray:
     """Parity of how many of the samples (number, value) fall on each of BITS places, as longs."""
-    at = (low.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(55)
+    at = (low.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(54)
     return np.packbits((np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(_LONG)
 
 
@@ -99,7 +99,7 @@ def _judge(num: int, den: int):
 def _near(num: int, den: int) -> str:
     """SQL over sides p and q: sizes allow the threshold and the odd sketches don't rule it out."""
     j = num / den
-    floor = max(0.05, j - 5 * math.sqrt(j * (1 - j) / SAMPLES))
+    floor = max(0.05, j - 4 * math.sqrt(j * (1 - j) / SAMPLES))
     most = BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - floor) / BITS))
     xor = " + ".join(f"bit_count(p.{o} ^ q.{o})" for o in _SIGN)
     return f"{den} * least(p.n_shingles, q.n_shingles) >= {num} * greatest(p.n_shingles, q.n_shingles) AND {xor} <= {math.ceil(most)}"
@@ -124,23 +124,26 @@ def groups(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     classes = materialize(full.groupBy("node").agg(F.min("doc_id").alias("label"), F.first(F.struct("n_shingles", *_SIGN, "bands")).alias("s")).select("node", "label", "s.*"))
     slim = classes.select("node", "n_shingles", *_SIGN)
     banded = classes.select("node", F.explode("bands").alias("key"))
-    crowded = banded.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(banded.join(crowded, "key"))
+    crowded = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(banded.join(crowded, "key"))
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    members = materialize(shared.join(weight, "node"))
+    centres = members.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
     near = F.expr(_near(num, den))
 
     def screened(pairs: DataFrame) -> DataFrame:
         return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(slim.alias("p"), F.expr("a = p.node")).join(slim.alias("q"), F.expr("b = q.node")).where(near).select("a", "b")
 
-    tested = materialize(screened(members.select(F.col("centre").alias("a"), F.col("node").alias("b"))))
+    tested = materialize(screened(members.join(centres, "key").select(F.col("centre").alias("a"), F.col("node").alias("b"))))
     found = links(docs, tested, classes, num, den)
     roots = components(found)
     for last in (False, True):
         # a bucket of two is settled by its one pair; larger ones are settled when they lie in one component
-        at = members.where("n > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        at = members.where("n > 2").join(roots, "node", "left").select("key", "node", "weight", F.coalesce("root", "node").alias("root"))
         open_ = at.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
         at = materialize(at.join(open_, "key"))
-        if not last:  # a second centre for each unsettled bucket: its smallest class outside the first root
-            second = at.where("root <> r0").groupBy("key").agg(F.min(F.struct("root", "node")).alias("c"))
+        if not last:  # a second centre for each unsettled bucket: its heaviest class outside the first root
+            second = at.where("root <> r0").groupBy("key").agg(F.max(F.struct("weight", "node", "root")).alias("c"))
             pairs = screened(at.join(second, "key").where("root <> c.root").select(F.col("c.node").alias("a"), F.col("node").alias("b")))
         else:  # across what is still apart; the screen is part of the join, so only likely pairs become rows
             wide = materialize(at.select("key", "node", "root").join(slim, "node"))
