@@ -1,9 +1,9 @@
 """Near-duplicate groups: MinHash bands propose pairs, odd sketches screen them, full shingle sets decide.
 
 Rows with the same shingle set form one class, so thousands of copies cost one sketch. Within a band's bucket every
-class is paired with the bucket's centre only, never with all others. Classes that stay in another component than a
-bucket's centre meet a second centre, and what then still differs inside a bucket is compared across components, so
-no link between proposed classes is lost. A pair goes to the exact test unless its odd sketch puts the similarity
+class is paired with the bucket's centre only, never with all others. Classes left outside a bucket's
+largest component then meet a few more centres, round by round, until little is apart; what still is, is compared
+across components, each pair once, so no link between proposed classes is lost. A pair goes to the exact test unless its odd sketch puts the similarity
 four standard errors below the threshold. A bucket's centre is the class that shares most places with others over all
 bands, so a text and its many altered copies meet around the text and not around one of the copies.
 
@@ -31,6 +31,8 @@ SHINGLE, BANDS, ROWS, SAMPLES, BITS = 5, 32, 5, 256, 1024
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 2**32, SAMPLES, np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
 _B = _rng.integers(0, 2**32, SAMPLES, np.uint64).astype(np.uint32)[:, None]
+#: Rounds with CENTRES new centres a bucket go on while rows have more than SMALL partners in other components on average.
+ROUNDS, CENTRES, SMALL = 4, 8, 4
 _LONG, _SIGN = np.int64, [f"o{i}" for i in range(BITS // 64)]
 
 
@@ -137,25 +139,33 @@ def groups(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     tested = materialize(screened(members.join(centres, "key").select(F.col("centre").alias("a"), F.col("node").alias("b"))))
     found = links(docs, tested, classes, num, den)
     roots = components(found)
-    for last in (False, True):
+    for round_ in range(ROUNDS + 1):
         # a bucket of two is settled by its one pair; larger ones are settled when they lie in one component
-        at = members.where("n > 2").join(roots, "node", "left").select("key", "node", "weight", F.coalesce("root", "node").alias("root"))
-        open_ = at.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+        at = members.where("n > 2").join(roots, "node", "left").select("key", "node", "n", "weight", F.coalesce("root", "node").alias("root"))
+        parts = at.groupBy("key", "root").agg(F.count("*").alias("m"))
+        open_ = parts.groupBy("key").agg(F.max(F.struct("m", "root")).alias("major"), F.sum(F.col("m") * F.col("m")).alias("within"), F.count("*").alias("roots")).where("roots > 1").select("key", "major.root", "within").withColumnRenamed("root", "major")
         at = materialize(at.join(open_, "key"))
-        if not last:  # a second centre for each unsettled bucket: its heaviest class outside the first root
-            second = at.where("root <> r0").groupBy("key").agg(F.max(F.struct("weight", "node", "root")).alias("c"))
-            pairs = screened(at.join(second, "key").where("root <> c.root").select(F.col("c.node").alias("a"), F.col("node").alias("b")))
-        else:  # across what is still apart; the screen is part of the join, so only likely pairs become rows
-            wide = materialize(at.select("key", "node", "root").join(slim, "node"))
-            pairs = wide.alias("p").join(wide.alias("q"), F.expr("p.key = q.key AND p.root < q.root AND " + _near(num, den))).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+        # each row has n - within / n partners elsewhere on average
+        apart = at.agg(F.sum(F.expr("n - within / n")), F.count("*")).first()
+        last = round_ == ROUNDS or (apart[0] or 0) <= SMALL * apart[1]
+        if not last:  # classes outside the major component meet CENTRES heavy classes of their two largest buckets
+            slot = F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(CENTRES))
+            heavy = at.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("weight", "node", "root")).alias("c"))
+            loose = at.where("root <> major").withColumn("nth", F.expr("row_number() OVER (PARTITION BY node ORDER BY n DESC, key)")).where("nth <= 2")
+            pairs = screened(loose.join(heavy, "key").where("root <> c.root").select(F.col("c.node").alias("a"), F.col("node").alias("b")))
+        else:  # all that is still apart, each pair in one bucket; the screen is part of the join, so only likely pairs become rows
+            wide = materialize(at.select("key", "node", "root").join(classes.select("node", "n_shingles", *_SIGN, "bands"), "node"))
+            once = "array_min(array_intersect(p.bands, q.bands)) = p.key"
+            pairs = wide.alias("p").join(wide.alias("q"), F.expr(f"p.key = q.key AND p.root < q.root AND {_near(num, den)} AND {once}")).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
         fresh = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            continue
-        more = links(docs, fresh, classes, num, den)
-        tested = tested.union(fresh)
-        if not more.isEmpty():
-            found = found.union(more)
-            roots = components(found)
+        if not fresh.isEmpty():
+            more = links(docs, fresh, classes, num, den)
+            tested = tested.union(fresh)
+            if not more.isEmpty():
+                found = found.union(more)
+                roots = components(found)
+        if last:
+            break
     homes = classes.select("node", "label").join(roots, "node", "left").select("node", "label", F.coalesce("root", "node").alias("root"))
     lows = homes.groupBy("root").agg(F.min("label").alias("component_id"))
     homes = homes.join(lows, "root").select("node", "component_id")
