@@ -30,13 +30,22 @@ CONTEXT, NEIGHBOURS = 64, 4
 _CTX = 4 * CONTEXT
 
 
+def _sliding(x: np.ndarray, w: int, best) -> np.ndarray:
+    """best (np.minimum or np.maximum) of each w neighbours, by doubling."""
+    size = 1
+    while size * 2 <= w:
+        x, size = best(x[:-size], x[size:]), size * 2
+    return best(x[: len(x) - (w - size)], x[w - size :]) if w > size else x
+
+
 def places(grams: np.ndarray) -> np.ndarray:
-    """Starts whose hash is the (rightmost) smallest of some window of W; of a shorter text, its single smallest."""
+    """Starts whose hash is the smallest of some window of W (equal ones all count); of a shorter text, its smallest."""
     if not len(grams):
         return np.zeros(0, np.int64)
     w = min(W, len(grams))
-    view = np.lib.stride_tricks.sliding_window_view(grams[::-1], w)[::-1]
-    return np.unique(np.arange(len(view)) + w - 1 - view.argmin(axis=1))
+    low = _sliding(grams, w, np.minimum)
+    edge = np.zeros(w - 1, np.uint64)
+    return np.flatnonzero(_sliding(np.concatenate([edge, low, edge]), w, np.maximum) == grams)
 
 
 def _retain(batches):
