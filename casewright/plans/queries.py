@@ -305,7 +305,7 @@ def edit_remove(spark, sf_dir):
 
 _TOKENS = r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+(?:[.\-/][a-z0-9]+)*'), lambda x: true)"
 _STOP = ", ".join(f"'{w}'" for w in C.STOP_WORDS)
-_ALL = f"(SELECT doc_id, list_filter(list_concat(w, flatten(list_transform(list_filter(w, lambda x: regexp_matches(x, '[.\\-/]')), lambda x: regexp_split_to_array(x, '[.\\-/]'))), lambda x: x NOT IN ({_STOP})) AS t FROM (SELECT doc_id, {_TOKENS} AS w FROM documents))"
+_ALL = f"(SELECT doc_id, list_filter(list_concat(w, flatten(list_transform(list_filter(w, lambda x: regexp_matches(x, '[.\\-/]')), lambda x: regexp_split_to_array(x, '[.\\-/]')))), lambda x: x NOT IN ({_STOP})) AS t FROM (SELECT doc_id, {_TOKENS} AS w FROM documents))"
 
 
 @query(f"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM {_ALL}) GROUP BY ALL")
