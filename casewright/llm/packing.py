@@ -49,13 +49,16 @@ class WordIds:
     Both tables are emptied when full, so memory is bounded by them and the texts in hand. Ids are kept as bytes, which
     Python's garbage collector never walks."""
 
-    words_limit, cores_limit = 600_000, 800_000
+    words_limit, cores_limit = 900_000, 1_200_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.cores: dict[str, bytes] = {}
         self.marks = {"": b"", **dict(zip(".,", self.encode([".", ","])))}
         self.empty()
@@ -66,13 +69,26 @@ class WordIds:
     def encode(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for at in range(0, len(words), 1000) for e in self.tokenizer.encode_batch_fast(words[at : at + 1000], add_special_tokens=False)]
 
+    def encode_letters(self, words: list[str]) -> list[bytes]:
+        """encode() for words of letters only: several to a text, whose ids are parted after each one that ends a word."""
+        texts = [" ".join(words[at : at + 200]) for at in range(0, len(words), 200)]
+        ids = np.frombuffer(b"".join(self.encode(texts)), np.uint32)
+        cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+        if len(cuts) != len(words) + 1 or cuts[-1] != 4 * len(ids):
+            return self.encode(words)
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def learn(self) -> None:
         """Encode the waiting words: flat holds the ids of word n from starts[n] to starts[n + 1]."""
         plain = [(m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(w)) else (w, "") for w in self.words.waiting]
         if len(self.cores) > self.cores_limit:
             self.cores.clear()
-        new = [c for c in {c for c, _ in plain} if c not in self.cores]
-        self.cores.update(zip(new, self.encode(new)))
+        new = {c for c, _ in plain if c not in self.cores}
+        letters = [c for c in new if c.isalpha()]
+        other = [c for c in new if not c.isalpha()]
+        self.cores.update(zip(letters, self.encode_letters(letters)))
+        self.cores.update(zip(other, self.encode(other)))
         ids = [self.cores[c] + self.marks[m] for c, m in plain]
         ends = self.starts[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
         self.flat = np.append(self.flat, np.frombuffer(b"".join(ids), np.uint32))
@@ -97,6 +113,17 @@ class WordIds:
         return np.split(ids, upto[stops[1:-1]])
 
 
+#: One table a Python worker, kept from task to task.
+_HELD: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    if path not in _HELD:
+        _HELD.clear()
+        _HELD[path] = WordIds(path)
+    return _HELD[path]
+
+
 def lengths(n: int) -> list[int]:
     """n as pieces: 2048 as often as it fits, then the binary digits of the rest, longest first."""
     rest = n % LONGEST
@@ -105,7 +132,7 @@ def lengths(n: int) -> list[int]:
 
 def _pieces(path: str):
     def run(batches):
-        known = WordIds(path)
+        known = word_ids(path)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part, out = b.slice(at, 512), []
