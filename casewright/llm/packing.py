@@ -13,7 +13,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import chain
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -113,15 +113,15 @@ class WordIds:
         return np.split(ids, upto[stops[1:-1]])
 
 
-#: One table a Python worker, kept from task to task.
-_HELD: dict[str, WordIds] = {}
+#: One table a Python worker, kept from task to task of one call of pack(), never from call to call.
+_HELD: dict[tuple[str, str], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    if path not in _HELD:
+def word_ids(path: str, call: str) -> WordIds:
+    if (path, call) not in _HELD:
         _HELD.clear()
-        _HELD[path] = WordIds(path)
-    return _HELD[path]
+        _HELD[path, call] = WordIds(path)
+    return _HELD[path, call]
 
 
 def lengths(n: int) -> list[int]:
@@ -131,8 +131,10 @@ def lengths(n: int) -> list[int]:
 
 
 def _pieces(path: str):
+    call = uuid4().hex
+
     def run(batches):
-        known = word_ids(path)
+        known = word_ids(path, call)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part, out = b.slice(at, 512), []
