@@ -5,17 +5,21 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path below the cluster's shared folder; a temporary one only where that setting is missing (local tests)."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="casewright-")
+    return f"{top.rstrip('/')}/{kind}-{uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write to the folder in spark.checkpoint.dir and read back."""
-    spark = df.sparkSession
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="casewright-")
-    path = f"{top.rstrip('/')}/net-{uuid4().hex}"
+    path = shared_path(df.sparkSession, "net")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def in_service(buses: DataFrame, elements: DataFrame) -> DataFrame:
@@ -57,3 +61,15 @@ def islands(buses: DataFrame, elements: DataFrame) -> DataFrame:
 
 def injections(buses: DataFrame) -> DataFrame:
     return buses.where("ide <> 4").groupBy("bus").agg(F.sum("load_mw").alias("load_mw"), F.sum("generation_mw").alias("generation_mw"))
+
+
+def findings(buses: DataFrame, elements: DataFrame) -> DataFrame:
+    """finding, i, j, ckt: elements at unknown buses, from a bus to itself, with the key of another one, or in service at an isolated bus."""
+    known, cut = buses.select("bus"), buses.where("ide = 4").select("bus")
+    keys = ["i", "j", "ckt"]
+    ends = lambda df: df.select(*keys, F.explode(F.array_distinct(F.array("i", "j"))).alias("bus"))
+    unknown = ends(elements).join(known, "bus", "left_anti").select(F.lit("unknown bus").alias("finding"), *keys).distinct()
+    same = elements.where("i = j").select(F.lit("same bus").alias("finding"), *keys)
+    twice = elements.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "ckt").count().where("count > 1").select(F.lit("duplicate key").alias("finding"), *keys)
+    isolated = ends(elements.where("st = 1")).join(cut, "bus", "left_semi").select(F.lit("isolated end").alias("finding"), *keys).distinct()
+    return unknown.union(same).union(twice).union(isolated)

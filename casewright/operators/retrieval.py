@@ -26,8 +26,21 @@ def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
     return hits.join(F.broadcast(df), "term").join(F.broadcast(stats)).groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def cosine(vectors: DataFrame, query_id: int) -> DataFrame:
+    """vec_id, similarity to one of the vectors, unrounded."""
+    q = vectors.where(F.col("vec_id") == query_id).select(F.col("embedding").alias("q"))  # one row
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return vectors.join(F.broadcast(q)).select("vec_id", (dot("embedding", "q") / F.sqrt(dot("embedding", "embedding") * dot("q", "q"))).alias("similarity"))
+
+
 def similarity(vectors: DataFrame, query_id: int) -> DataFrame:
     """Cosine similarity of every vector to one of them."""
-    q = vectors.where(F.col("vec_id") == query_id).select(F.col("embedding").alias("q"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return vectors.join(F.broadcast(q)).select("vec_id", F.round(dot("embedding", "q") / F.sqrt(dot("embedding", "embedding") * dot("q", "q")), 6).alias("similarity"))
+    return cosine(vectors, query_id).withColumn("similarity", F.round("similarity", 6))
+
+
+def hybrid(scored: DataFrame, similar: DataFrame, key: str) -> DataFrame:
+    """Mean of the text score over its largest and the similarity scaled to its range. The extremes are one row."""
+    both = scored.join(similar, key)
+    ends = both.agg(F.max("score").alias("_top"), F.min("similarity").alias("_low"), F.max("similarity").alias("_high"))
+    scaled = 0.5 * F.col("score") / F.col("_top") + 0.5 * (F.col("similarity") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    return both.join(F.broadcast(ends)).select(key, F.round(scaled, 5).alias("score"))

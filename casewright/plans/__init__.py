@@ -1 +1,3 @@
-"""Part of the case analytics library."""
+"""Registered queries."""
+
+from . import more, queries  # noqa: F401
