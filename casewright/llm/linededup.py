@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, text_of
+from .common import BROADCAST_ROWS, materialize, mix, text_of
 
 #: A boundary follows one line in EVERY on average; LONGEST lines end a chunk at the latest.
 EVERY, LONGEST = 4, 64
@@ -68,6 +68,12 @@ def _fetch(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64()))], ["doc_id", "tid", "number", "hash", "chunk", "lines"])
 
 
+def _bounded(lists: DataFrame, column: str) -> DataFrame:
+    """Written lists with a broadcast hint if their counted entries allow, else as they are (then texts are shuffled)."""
+    entries = lists.agg(F.sum(F.size(column) + 1)).first()[0] or 0
+    return F.broadcast(lists) if entries <= BROADCAST_ROWS else lists
+
+
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts, gone): texts are doc_id, tid, n_lines; gone are doc_id, tid, numbers of removed chunks, removed lines."""
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("t")).select("doc_id", F.unhex(F.md5("t")).alias("tid"), F.col("t").cast("binary").alias("text"))
@@ -76,7 +82,7 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tid", "number"))
     heads = materialize(each.groupBy("hash").agg(F.count("*").alias("n"), first.alias("head")).where("n > 1").select("hash", "head"))
     wanted = each.join(heads.select("hash"), "hash", "left_semi").groupBy("doc_id", "tid").agg(F.collect_list("number").alias("wanted"))
-    wanted = wanted.select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid"), "wanted")
+    wanted = _bounded(materialize(wanted.select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid"), "wanted")), "wanted")
     fetched = materialize(keyed.join(wanted, F.expr("doc_id <=> _doc AND tid = _tid")).select("doc_id", "tid", "text", "wanted").mapInArrow(
         _fetch, "doc_id long, tid binary, number int, hash long, chunk binary, lines long"))
     at = F.expr("head.doc_id <=> doc_id AND head.tid = tid AND head.number = number")
@@ -99,7 +105,7 @@ def _rewrite(text: pd.Series, numbers: pd.Series) -> pd.Series:
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with its text rewritten (and n_chars, if there is one), n_lines and n_removed_lines added as _n_lines and _n_removed."""
     texts, gone = removals(docs)
-    g = gone.select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid"), F.col("numbers").alias("_numbers"), F.col("n_removed").alias("_n_removed"))
+    g = _bounded(gone, "numbers").select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid"), F.col("numbers").alias("_numbers"), F.col("n_removed").alias("_n_removed"))
     text = F.coalesce(F.expr("cast(d.text AS string)"), F.lit(""))
     out = docs.alias("d").join(g, F.expr("cast(d.doc_id AS bigint) <=> _doc") & (F.unhex(F.md5(text)) == F.col("_tid")), "left")
     new = F.when(F.col("_numbers").isNull(), F.col("d.text")).otherwise(F.col("_new"))
