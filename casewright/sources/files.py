@@ -114,3 +114,9 @@ def write_index(cases: DataFrame, path: str) -> None:
 def read_event(spark: SparkSession, path: str, event: int) -> DataFrame:
     """Cases of one event from the index: partition pruning on its bucket, then a pushed filter."""
     return spark.read.parquet(path).where((F.col("event_bucket") == event % BUCKETS) & (F.col("event_idx") == event)).drop("event_bucket")
+
+
+def token_counts(lines: DataFrame, run: str, column: str) -> DataFrame:
+    """By run: how many words sound like success, and how many like failure. For logs without the usual lines."""
+    words = lambda pattern: F.size(F.regexp_extract_all(F.lower(column), F.lit(rf"\b({pattern})\b"), 1))
+    return lines.groupBy(run).agg(F.sum(words("success|converged|true")).alias("success_like"), F.sum(words("fail|failed|diverged|false")).alias("failure_like"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewright.functions.columns import KEY
+from casewright.operators.network import shared_path
+
 
 def running_group_stats(events: DataFrame) -> DataFrame:
     """Works alike on a batch and on a stream."""
@@ -18,3 +23,27 @@ def stream_to_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     query = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
+
+
+def running_contingencies(cases: DataFrame) -> DataFrame:
+    return cases.groupBy("event_idx", "contingency").agg(F.count("*").alias("facilities"), F.count_if(F.col("viol") == 1).alias("violations"), F.max(F.abs("loading_percent")).alias("max_abs_loading"))
+
+
+def running_branches(cases: DataFrame) -> DataFrame:
+    return cases.groupBy(*KEY).agg(F.count("*").alias("case_count"), F.max(F.abs("loading_percent")).alias("max_abs_loading"), F.max("rate_mva").alias("rate_mva"))
+
+
+def complete(spark: SparkSession, rows: DataFrame, running: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows as files that a stream takes in turn; every batch writes the whole running result to the shared folder,
+    and the last one is returned."""
+    source, out, last = shared_path(spark, "stream"), shared_path(spark, "running"), []
+    rows.write.parquet(source)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{number}")
+        last[:] = [number]
+
+    stream = running(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(source))
+    query = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/{last[0]}") if last else running(rows)
