@@ -1,12 +1,14 @@
 r"""Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of two neighbouring lines chooses the boundaries, so an insertion moves only the chunks
-next to it. Chunks of two or more non-blank lines whose digest occurs more than once are fetched, compared byte by byte
-with the first occurrence (smallest doc_id, then place), and removed where they are equal; the first one stays.
+A window rolls over each two neighbouring non-blank lines (with the blank lines between them). Windows whose digest
+occurs more than once are fetched and compared byte by byte with the first occurrence (smallest doc_id, then place);
+those that are equal and don't overlap it are repeats. Repeats that overlap or touch make one chunk, so a chunk begins and ends
+where its content stops to repeat, whatever surrounds it, and every run of two or more non-blank lines that occurs earlier
+goes whole. The first place of every line stays.
 
 Defined cases: null text is empty; text without a repeated chunk is returned as it is; single lines are never removed;
-rows that repeat doc_id and text are one document and get the same result; a chunk within one document may repeat too;
-an empty table gives an empty result; other columns are kept.
+blank lines before and after a chunk stay; rows that repeat doc_id and text are one document and get the same result; a chunk
+within one document may repeat too; an empty table gives an empty result; other columns are kept.
 """
 
 from __future__ import annotations
@@ -15,57 +17,55 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, mix, text_of
+from .common import BROADCAST_ROWS, materialize, text_of
 
-#: A boundary follows one line in EVERY on average; LONGEST lines end a chunk at the latest.
-EVERY, LONGEST = 4, 64
 
+def windows(lines: list[bytes]) -> list[tuple[int, int]]:
+    """(start, stop) of each two neighbouring non-blank lines, in lines."""
+    at = [i for i, x in enumerate(lines) if x.strip()]
+    return [(a, b + 1) for a, b in zip(at, at[1:])]
 
-def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
-    """(start, stop) of each chunk, in lines."""
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
-    roll = mix(h[1:] + np.uint64(3) * mix(h[:-1]))
-    cuts, at = [], 0
-    for cut in [*(np.flatnonzero(roll % np.uint64(EVERY) == 0) + 2).tolist(), len(lines)]:
-        while cut - at > LONGEST:
-            cuts.append((at, at + LONGEST))
-            at += LONGEST
-        if cut > at:
-            cuts.append((at, cut))
-            at = cut
-    return cuts
 
-
-def _candidates(lines: list[bytes]) -> list[tuple[int, bytes, int]]:
-    """(chunk number, text, lines) of the chunks that have two or more lines with a word."""
-    return [(i, b"\n".join(lines[a:b]), b - a) for i, (a, b) in enumerate(chunks(lines)) if b - a > 1 and sum(bool(x.strip()) for x in lines[a:b]) > 1]
+def _hash(lines: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b"\n".join(lines))
 
 
 def _digests(batches):
     for b in batches:
-        n, numbers, hashes = [], [], []
+        n, hashes = [], []
         for text in b.column("text").to_pylist():
             lines = text.split(b"\n")
-            found = _candidates(lines)
             n.append(len(lines))
-            numbers.append([x[0] for x in found])
-            hashes.append(np.array([xxhash.xxh3_64_intdigest(x[1]) for x in found], np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tid"), pa.array(n, pa.int64()), pa.array(numbers, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "tid", "n_lines", "numbers", "hashes"])
+            hashes.append(np.array([_hash(lines[a:b]) for a, b in windows(lines)], np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tid"), pa.array(n, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "tid", "n_lines", "hashes"])
 
 
 def _fetch(batches):
-    """The bytes of the wanted chunks."""
+    """The bytes of the wanted windows."""
     for b in batches:
         for at in range(0, b.num_rows, 256):
             part, out = b.slice(at, 256), []
             for doc, tid, text, wanted in zip(*(part.column(c).to_pylist() for c in ("doc_id", "tid", "text", "wanted"))):
-                held = {i: (t, n) for i, t, n in _candidates(text.split(b"\n"))}
-                out += [(doc, tid, i, xxhash.xxh3_64_intdigest(held[i][0]) - (1 << 64) * (xxhash.xxh3_64_intdigest(held[i][0]) >> 63), held[i][0], held[i][1]) for i in wanted]
+                lines = text.split(b"\n")
+                held = windows(lines)
+                for i in (i for run in wanted for i in range(run["start"], run["stop"])):
+                    chunk = b"\n".join(lines[slice(*held[i])])
+                    h = xxhash.xxh3_64_intdigest(chunk)
+                    out.append((doc, tid, i, h - (1 << 64) * (h >> 63), chunk, *held[i]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64()))], ["doc_id", "tid", "number", "hash", "chunk", "lines"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32()))], ["doc_id", "tid", "number", "hash", "chunk", "start", "stop"])
+
+
+def _runs(start: str, stop: str) -> Column:
+    """Aggregate: ranges (start, stop) of a group, merged where they overlap or touch."""
+    ranges = f"array_sort(collect_set(named_struct('start', {start}, 'stop', {stop})))"
+    return F.expr(f"""aggregate({ranges}, cast(array() AS array<struct<start:int,stop:int>>), (a, x) -> CASE
+      WHEN size(a) > 0 AND element_at(a, -1).stop >= x.start
+      THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'stop', greatest(element_at(a, -1).stop, x.stop))))
+      ELSE array_append(a, x) END)""")
 
 
 def _bounded(lists: DataFrame, column: str) -> DataFrame:
@@ -75,42 +75,45 @@ def _bounded(lists: DataFrame, column: str) -> DataFrame:
 
 
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts, gone): texts are doc_id, tid, n_lines; gone are doc_id, tid, numbers of removed chunks, removed lines."""
+    """(texts, gone): texts are doc_id, tid, n_lines; gone are doc_id, tid, removed chunks (start, stop in lines), removed lines."""
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("t")).select("doc_id", F.unhex(F.md5("t")).alias("tid"), F.col("t").cast("binary").alias("text"))
-    texts = materialize(keyed.mapInArrow(_digests, "doc_id long, tid binary, n_lines long, numbers array<int>, hashes array<long>").distinct())
-    each = texts.select("doc_id", "tid", F.explode(F.arrays_zip("numbers", "hashes")).alias("x")).select("doc_id", "tid", F.col("x.numbers").alias("number"), F.col("x.hashes").alias("hash"))
+    texts = materialize(keyed.mapInArrow(_digests, "doc_id long, tid binary, n_lines long, hashes array<long>").distinct())
+    each = texts.select("doc_id", "tid", F.posexplode("hashes").alias("number", "hash"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tid", "number"))
     heads = materialize(each.groupBy("hash").agg(F.count("*").alias("n"), first.alias("head")).where("n > 1").select("hash", "head"))
-    wanted = each.join(heads.select("hash"), "hash", "left_semi").groupBy("doc_id", "tid").agg(F.collect_list("number").alias("wanted"))
-    wanted = _bounded(materialize(wanted.select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid"), "wanted")), "wanted")
+    wanted = each.join(heads.select("hash"), "hash", "left_semi").groupBy(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid")).agg(_runs("number", "number + 1").alias("wanted"))
+    wanted = _bounded(materialize(wanted), "wanted")
     fetched = materialize(keyed.join(wanted, F.expr("doc_id <=> _doc AND tid = _tid")).select("doc_id", "tid", "text", "wanted").mapInArrow(
-        _fetch, "doc_id long, tid binary, number int, hash long, chunk binary, lines long"))
+        _fetch, "doc_id long, tid binary, number int, hash long, chunk binary, start int, stop int"))
     at = F.expr("head.doc_id <=> doc_id AND head.tid = tid AND head.number = number")
     kept = fetched.join(heads.withColumnRenamed("hash", "h"), F.expr("hash = h") & at, "left_semi").select(F.col("hash").alias("h"), F.col("chunk").alias("first"), F.col("doc_id").alias("d0"), F.col("tid").alias("t0"), F.col("number").alias("n0")).dropDuplicates(["h"])
-    again = fetched.join(kept, F.expr("hash = h AND chunk = first AND NOT (doc_id <=> d0 AND tid = t0 AND number = n0)"))
-    gone = again.select("doc_id", "tid", "number", "lines").distinct().groupBy("doc_id", "tid").agg(F.sort_array(F.collect_list("number")).alias("numbers"), F.sum("lines").alias("n_removed"))
-    return texts.select("doc_id", "tid", "n_lines"), materialize(gone)
+    # the next window of the same text shares a line with the first one
+    again = fetched.join(kept, F.expr("hash = h AND chunk = first AND NOT (doc_id <=> d0 AND tid = t0 AND number <= n0 + 1)"))
+    gone = again.groupBy("doc_id", "tid").agg(_runs("start", "stop").alias("gone"))
+    return texts.select("doc_id", "tid", "n_lines"), materialize(gone.withColumn("n_removed", F.expr("aggregate(gone, 0L, (a, x) -> a + x.stop - x.start)")))
 
 
-def without(text: str, numbers) -> str:
-    """The text without its chunks of the given numbers."""
-    lines, gone = text.encode().split(b"\n"), set(numbers)
-    return b"\n".join(x for i, (a, b) in enumerate(chunks(lines)) if i not in gone for x in lines[a:b]).decode()
+def without(text: str, gone) -> str:
+    """The text without its chunks (start, stop)."""
+    lines = text.encode().split(b"\n")
+    for x in sorted(gone, key=lambda x: -x["start"]):
+        del lines[x["start"] : x["stop"]]
+    return b"\n".join(lines).decode()
 
 
-def _rewrite(text: pd.Series, numbers: pd.Series) -> pd.Series:
-    return pd.Series([t if n is None or not len(n) else without(t, n) for t, n in zip(text, numbers)], dtype=object)
+def _rewrite(text: pd.Series, gone: pd.Series) -> pd.Series:
+    return pd.Series([t if g is None or not len(g) else without(t, g) for t, g in zip(text, gone)], dtype=object)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with its text rewritten (and n_chars, if there is one), n_lines and n_removed_lines added as _n_lines and _n_removed."""
     texts, gone = removals(docs)
-    g = _bounded(gone, "numbers").select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid"), F.col("numbers").alias("_numbers"), F.col("n_removed").alias("_n_removed"))
+    g = _bounded(gone, "gone").select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid"), F.col("gone").alias("_gone"), F.col("n_removed").alias("_n_removed"))
     text = F.coalesce(F.expr("cast(d.text AS string)"), F.lit(""))
     out = docs.alias("d").join(g, F.expr("cast(d.doc_id AS bigint) <=> _doc") & (F.unhex(F.md5(text)) == F.col("_tid")), "left")
-    new = F.when(F.col("_numbers").isNull(), F.col("d.text")).otherwise(F.col("_new"))
-    out = out.withColumn("_new", F.pandas_udf(_rewrite, "string")(F.when(F.col("_numbers").isNotNull(), text), "_numbers"))
-    cols = {"text": new} | ({"n_chars": F.when(F.col("_numbers").isNull(), F.col("d.n_chars")).otherwise(F.char_length("_new"))} if "n_chars" in docs.columns else {})
+    new = F.when(F.col("_gone").isNull(), F.col("d.text")).otherwise(F.col("_new"))
+    out = out.withColumn("_new", F.pandas_udf(_rewrite, "string")(F.when(F.col("_gone").isNotNull(), text), "_gone"))
+    cols = {"text": new} | ({"n_chars": F.when(F.col("_gone").isNull(), F.col("d.n_chars")).otherwise(F.char_length("_new"))} if "n_chars" in docs.columns else {})
     return out.select(*(cols[c].cast(docs.schema[c].dataType).alias(c) if c in cols else F.col(f"d.`{c}`") for c in docs.columns),
         F.size(F.split(text, "\n")).cast("long").alias("_n_lines"), F.coalesce("_n_removed", F.lit(0)).cast("long").alias("_n_removed"))
 

@@ -262,6 +262,46 @@ def test_line_chunks(spark):
     assert all(x in rows[1][1].split("\n") for x in left)
 
 
+def lines_by_force(rows):
+    """Texts without the pairs of neighbouring non-blank lines whose like occurs earlier."""
+    rows, seen, out = sorted({(i is None, i or 0, hashlib.md5((t or "").encode()).digest(), t or "") for i, t in rows}), {}, {}
+    for place, (_, i, _, t) in enumerate(rows):
+        lines, gone = t.split("\n"), set()
+        at = [k for k, x in enumerate(lines) if x.encode().strip()]
+        for k, (a, b) in enumerate(zip(at, at[1:])):
+            head = seen.setdefault("\n".join(lines[a : b + 1]), (place, k))
+            if head[0] != place or head[1] + 1 < k:
+                gone |= set(range(a, b + 1))
+        out[i, t] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_line_chunks_go_whole(spark):
+    r, rows = random.Random(5), []
+    for n in (2, 3, 5, 10):
+        for copy in range(8):
+            block = "\n".join(f"block of {n}, copy {copy}, line {k}" for k in range(n))
+            rows += [(len(rows), f"{r.random()}\n{block}\n{r.random()}"), (len(rows) + 1, f"{r.random()}\n{r.random()}\n{block}\n{r.random()}")]
+    out = {x.doc_id: x for x in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        lines = t.split("\n")
+        assert out[i].text == (t if i % 2 == 0 else "\n".join([*lines[:2], lines[-1]])) and out[i]._n_removed == (i % 2) * (len(lines) - 3)
+
+
+def test_line_chunks_by_force(spark):
+    r = random.Random(8)
+    rows = [(i, "\n".join(r.choice(["a", "b", "c", "d e", "", " "]) + str(r.randrange(9) // 6) * r.randrange(2) for _ in range(r.randrange(12)))) for i in range(60)]
+    rows += [(70, "x\nx"), (71, "y\ny\ny\ny\ny"), (72, "p\n\nq"), (73, "p\n\nq\n"), (None, "p\n\nq"), (74, None), rows[3]]
+    real = [tuple(x) for x in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    for some in (rows, real):
+        want = lines_by_force(some)
+        got = linededup.dedup(spark.createDataFrame(some, "doc_id long, text string").withColumn("was", F.coalesce("text", F.lit("")))).collect()
+        assert len(got) == len(some)
+        for x in got:
+            assert (x.text or "") == want[x.doc_id or 0, x.was] and x._n_lines == x.was.count("\n") + 1
+            assert x._n_removed == len(x.was.split("\n")) - (len(x.text.split("\n")) if x.text and x._n_removed < x._n_lines else 0 if x._n_removed == x._n_lines else 1)
+
+
 def test_pipeline_on_clashing_columns(spark, docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     now = docs
