@@ -7,7 +7,11 @@ place, so one very common passage spreads over many tasks), compared with their
 right and left word by word; spans of MIN_WORDS words or more are repeats. A longer passage is covered by the spans of
 its successive retained places. Texts that are equal as a whole are one entry, so copies cost nothing.
 
-A span may go if it matches a neighbour that belongs to a smaller (doc_id, place); the smallest one always stays.
+A key with more places than a place has neighbours may hold partners that lie far apart in the sort. Its windows of MIN_WORDS
+words (each belongs to the smallest place in it) that no match with a smaller place covers are grouped by their hash. The
+smallest window of each content is always among them, so no repeat is missed.
+
+A span may go if it matches one that belongs to a smaller (doc_id, place); the smallest one always stays.
 
 Defined cases: null text is empty; empty or short texts have no spans; equal texts are whole repeats of the smallest
 doc_id; rows that repeat a doc_id and text count as repeats too; an empty table gives an empty result; other columns are
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded, materialize, ngrams, text_of
+from .common import WordHashes, bounded, materialize, mix, ngrams, text_of
 
 MIN_WORDS, K = 50, 12
 W = MIN_WORDS - K
@@ -71,8 +75,7 @@ def _contexts(batches):
             for tid, label, text, starts in zip(*(part.column(c).to_pylist() for c in ("tid", "label", "text", "starts"))):
                 full = hashes.of(text.split())
                 short = (full >> np.uint64(32)).astype(">u4")
-                for p in starts:
-                    key = int(ngrams(full[p : p + K], K).view(np.int64)[0])
+                for p, key in zip(starts, ngrams(full, K)[np.array(starts)].view(np.int64).tolist()):
                     out.append((tid, label, p, key, short[p : p + CONTEXT].tobytes(), short[max(0, p - CONTEXT) : p][::-1].tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["tid", "label", "place", "key", "after", "ahead"])
@@ -150,7 +153,8 @@ def _spans(rows: dict[str, list], seam: int) -> list[tuple]:
     for s in range(1, NEIGHBOURS + 1):
         skip = max(0, seam - s)
         out += _compare({k: v[skip:] for k, v in rows.items()}, s)
-    return out
+    found = set(out)
+    return [x for x in found if x[3] or (*x[:3], True) not in found]
 
 
 def _emit(rows, seam):
@@ -178,24 +182,64 @@ def _seams(edges):
         yield pd.DataFrame(out, columns=["tid", "start", "stop", "later"])
 
 
+def _windows(batches):
+    """Windows of MIN_WORDS words that belong to a crowded place and lie in none of the spans covered."""
+    hashes, names = WordHashes(), ["tid", "label", "start", "key", "hash"]
+    for b in batches:
+        for at in range(0, b.num_rows, 64):
+            part, out = b.slice(at, 64), []
+            for i, (text, crowded, covered) in enumerate(zip(*(part.column(c).to_pylist() for c in ("text", "crowded", "covered")))):
+                grams = ngrams(hashes.of(text.split()), K)
+                n = len(grams) + K - MIN_WORDS
+                own = np.arange(n) + np.lib.stride_tricks.sliding_window_view(grams, W)[:n].argmin(axis=1)
+                step, mine = np.zeros(n + 1, np.int64), np.zeros(len(grams), bool)
+                mine[crowded] = True
+                for x in covered or ():
+                    step[x["start"]] += 1
+                    step[x["stop"] - MIN_WORDS + 1] -= 1
+                starts = np.flatnonzero(mine[own] & (np.cumsum(step[:n]) == 0))
+                whole = np.zeros(len(starts), np.uint64)
+                for o in (*range(0, W, K), W):  # these grams hold all words of the window
+                    whole = whole * np.uint64(0x100000001B3) + mix(grams[starts + o] + np.uint64(o))
+                out.append((np.full(len(starts), i), starts, grams[own[starts]], mix(whole)))
+            rows, starts, keys, whole = (np.concatenate(c) for c in zip(*out))
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([part.column("tid").take(pa.array(rows)), part.column("label").take(pa.array(rows)), pa.array(starts.astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(whole.view(np.int64))], names)
+
+
+def _far(held: DataFrame, spans: DataFrame) -> DataFrame:
+    """Spans of the repeated windows that comparing neighbours leaves; held are tid, label, text, crowded."""
+    covered = spans.where("later").groupBy("tid").agg(F.collect_set(F.struct("start", "stop")).alias("covered"))
+    open_ = materialize(held.where("size(crowded) > 0").join(covered, "tid", "left").select("tid", "label", "text", "crowded", "covered").mapInArrow(_windows, "tid binary, label long, start int, key long, hash long"))
+    twice = bounded(open_.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
+    again = materialize(open_.join(twice, "hash", "left_semi"))
+    first = F.min(F.struct(F.col("label").isNull().alias("nameless"), "label", "tid", "start"))
+    heads = bounded(again.groupBy("key", "hash").agg(F.count("*").alias("n"), first.alias("head")).where("n > 1").select("key", "hash", "head"))
+    return again.join(heads, ["key", "hash"]).select("tid", "start", F.expr(f"start + {MIN_WORDS}").alias("stop"), F.expr("NOT (head.tid = tid AND head.start = start)").alias("later"))
+
+
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): texts are doc_id, tid, n_words; spans are tid, start, stop (words, end exclusive), later."""
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("t")).select("doc_id", F.unhex(F.md5("t")).alias("tid"), F.col("t").cast("binary").alias("text"))
     texts = materialize(keyed.mapInArrow(_retain, "doc_id long, tid binary, n_words long, starts array<int>, keys array<long>"))
     owners = materialize(texts.where(F.size("keys") > 0).groupBy("tid").agg(F.min("doc_id").alias("label"), F.first(F.struct("starts", "keys")).alias("s")).select("tid", "label", "s.*"))
     retained = owners.select("tid", F.explode(F.arrays_zip("starts", "keys")).alias("x")).select("tid", F.col("x.starts").alias("place"), F.col("x.keys").alias("key"))
-    twice = retained.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    chosen = materialize(retained.join(twice, "key", "left_semi").groupBy("tid").agg(F.sort_array(F.collect_list("place")).alias("starts")).join(owners.select("tid", "label"), "tid"))
+    twice = retained.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # in a group of NEIGHBOURS + 1 places or less, all pairs are compared
+    crowded = F.when(F.col("n") > NEIGHBOURS + 1, F.col("place"))
+    chosen = materialize(retained.join(twice, "key").groupBy("tid").agg(F.sort_array(F.collect_list("place")).alias("starts"), F.collect_list(crowded).alias("crowded")).join(owners.select("tid", "label"), "tid"))
     # one row of each text that has such places, found by the smallest doc_id of its copies
     wanted = bounded(chosen.select(F.col("label").alias("_label"), F.col("tid").alias("_tid")))
     held = keyed.join(wanted, F.expr("doc_id <=> _label AND tid = _tid"), "left_semi").dropDuplicates(["tid"])
-    suffixes = materialize(held.select("tid", "text").join(chosen, "tid").select("tid", "label", "text", "starts").mapInArrow(_contexts, "tid binary, label long, place int, key long, after binary, ahead binary"))
+    held = materialize(held.select("tid", "text").join(chosen, "tid"))
+    suffixes = materialize(held.select("tid", "label", "text", "starts").mapInArrow(_contexts, "tid binary, label long, place int, key long, after binary, ahead binary"))
     order = ["key", "after", "label", "tid", "place"]
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ranked = suffixes.repartitionByRange(int(parts), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     found = materialize(ranked.mapInArrow(_neighbours, f"{SPAN}, edge {EDGE_SQL}"))
     seams = found.where("edge IS NOT NULL").select("edge.*").coalesce(1).mapInPandas(_gathered, SPAN)
-    return texts.select("doc_id", "tid", "n_words"), found.where("edge IS NULL").select("tid", "start", "stop", "later").union(seams)
+    near = found.where("edge IS NULL").select("tid", "start", "stop", "later").union(materialize(seams))
+    return texts.select("doc_id", "tid", "n_words"), near.union(_far(held, near))
 
 
 def _gathered(edges):

@@ -166,6 +166,37 @@ def test_repeated_passages(docs):
     assert not got[9].removable and got[10].removable and not got[1].removable and got[2].n_removable == 200
 
 
+def passages_by_force(rows):
+    """(spans, removable) of distinct texts, from all windows of 50 words."""
+    rows, seen, out = sorted((i, hashlib.md5(t.encode()).digest(), t.encode().split()) for i, t in rows), {}, {}
+    for i, _, w in rows:
+        for k in range(len(w) - 49):
+            seen.setdefault(tuple(w[k : k + 50]), []).append((i, k))
+    for i, _, w in rows:
+        masks = np.zeros((2, len(w) + 2), int)
+        for k in range(len(w) - 49):
+            at = seen[tuple(w[k : k + 50])]
+            masks[0, k + 1 : k + 51] |= len(at) > 1
+            masks[1, k + 1 : k + 51] |= at[0] != (i, k)
+        if masks[0].any():
+            out[i] = [np.flatnonzero(np.diff(m)).reshape(-1, 2).tolist() for m in masks]
+    return out
+
+
+def test_repeated_passages_around_a_frequent_phrase(spark):
+    r = random.Random(4)
+    stream = [r.choice(WORDS) for _ in range(60000)]
+    low = np.argsort(suffixes.ngrams(suffixes.WordHashes().of([w.encode() for w in stream]), 12))
+    phrase = lambda k: " ".join(stream[low[k] : low[k] + 12])
+    # low phrases before each passage and within it, so that its only kept places lie in what all passages share
+    shared, rows = f"{phrase(0)} {prose(13, 900)}", []
+    for i in range(80):
+        rows.append((i, f"{prose(60, 1000 + i)} {phrase(1 + i)} {prose(25, 2000 + i * 7 % 40)} {shared} {prose(60, 3000 + i)}"))
+    want = passages_by_force(rows)
+    got = {x.doc_id: [[[y.start, y.stop] for y in c] for c in (x.spans, x.removable)] for x in suffixes.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) == 80 and got == want
+
+
 def test_mixing(spark, docs):
     real = spark.read.parquet(f"{SF}/documents.parquet")
     for df in (docs, real):
