@@ -1,9 +1,10 @@
 r"""Licence scan by canonical digests, in DataFrame functions only.
 
-A text is brought to canonical form (lower case, copyright lines out, equivalent spellings joined, punctuation and
+A text is brought to canonical form (lower case; copyright, title and "all rights reserved" lines out; equivalent spellings joined, punctuation and
 white space reduced to single spaces) and its SHA-256 is looked up among the digests of known licence texts and
-notices. The whole text and every line of it that names a licence are looked up, in one hash join with a table of a few
-known digests, whose size is fixed by this module.
+notices. The whole text and, in texts that name a licence, every run of lines that starts with a known text's first word
+and has as many words are looked up, so wrapped notices and licences within a text are found. The lookup is one hash join with
+a table of known digests, whose size is fixed by this module and the whole texts in license_texts.
 
 Defined cases: null text is empty; a text without letters or digits has the digest of the empty string and no
 licence; very long texts are hashed whole; rows that repeat doc_id and text are one document and get equal rows; an
@@ -12,6 +13,9 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import cache
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,34 +45,83 @@ KNOWN = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("BSD-3-Clause", "Licensed under the 3-Clause BSD License."),
 )
+#: Creative Commons licences, short and long names, by version; and names of others, each after every lead.
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_LEADS = [f"{who}{how} under {the}" for who in ("", "This work is ", "This project is ", "This file is ") for how in ("licensed", "released") for the in ("", "a ", "the ")]
+
+
+def _named():
+    names = [("CC0-1.0", n) for n in ("CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero 1.0 Universal")]
+    for code, name in _CC.items():
+        for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            port = "International" if v == "4.0" else "Unported"
+            for stem in (f"CC {code} {v}", f"Creative Commons {code} {v}", *(f"Creative Commons {n} {v}{end}" for n in {name, name.replace("NoDerivatives", "NoDerivs")} for end in ("", f" {port}"))):
+                names += [(f"CC-{code}-{v}", stem), (f"CC-{code}-{v}", f"{stem} License")]
+    for code, text in (("MIT", "MIT License"), ("ISC", "ISC License"), ("BSD-2-Clause", "2-Clause BSD License"), ("BSD-3-Clause", "3-Clause BSD License"), ("Apache-2.0", "Apache License, Version 2.0"), ("Apache-2.0", "Apache License 2.0"), ("MPL-2.0", "Mozilla Public License 2.0"), ("MPL-2.0", "Mozilla Public License, version 2.0"),
+                       *((f"{k}-{v}", f"GNU {n}General Public License, version {v[:-2] if v.endswith('.0') else v}") for k, n, vs in (("GPL", "", ("2.0", "3.0")), ("LGPL", "Lesser ", ("2.1", "3.0")), ("AGPL", "Affero ", ("3.0",))) for v in vs)):
+        names.append((code, text))
+    for code, name in names:
+        yield from ((code, lead + name) for lead in _LEADS)
+        if code.startswith("CC"):
+            yield code, name
+
+
+@cache
+def texts() -> tuple:
+    """(licence, text): KNOWN, the named licences, and the whole texts."""
+    return (*KNOWN, *_named(), *((f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))))
+
+
 #: Spellings that count as one (pattern, canonical form), applied to text in lower case.
 SPELLINGS = ((r"licence", "license"), (r"licens(ed|ing)\b", "license"), (r"\bfavour", "favor"), (r"\bauthoris", "authoriz"), (r"\bmerchantibility", "merchantability"), (r"\bnon-infringement", "noninfringement"), (r"\bsub-licens", "sublicens"), (r"\bcopyright owner", "copyright holder"), (r"https:", "http:"), (r"&", " and "))
 COPYRIGHT = r"(?m)^[^\n]{0,10}(?:copyright\b|\(c\)|©)[^\n]*\b[0-9]{4}\b[^\n]*$"
-#: A line is looked up by itself if it names a licence.
-NAMES = r"(?i)licen[sc]|permission|redistribut|copyright"
+#: Copyright lines without a year or after other words; "all rights reserved"; titles. All are lines of their own.
+DROPPED = (COPYRIGHT, r"(?m)^[^\n.;!?]*(?:copyright\s*(?:\(c\)|©)?|\(c\)|©)\s*[0-9]{4}\b[^\n]*$",
+    r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\s*(?:\(c\)|©|:|by\b|the regents\b|the [^\n]{1,60} (?:authors|contributors|developers)\b)|\(c\)\s*(?:copyright\b|by\b)|©)[^\n]*$",
+    r"(?m)^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$",
+    r"(?m)^[^\p{L}\p{N}\n]*(?:the )?(?:mit|expat|isc|0bsd|zero-clause bsd|(?:new |modified |simplified |revised )?bsd|bsd[ -][0-9][ -]clause|[0-9][ -]clause bsd|apache|unlicense|gnu (?:lesser |library |affero )?general public|mozilla public)(?: licen[sc]e)?(?:,? version [0-9.]+| v?[0-9.]+)?(?: \([^)\n]{1,40}\))?[^\p{L}\p{N}\n]*$")
+#: Lines are looked up in a text that names a licence.
+NAMES = r"(?i)licen[sc]|permission|redistribut|copyright|creative commons|\bcc[ -]?(?:0|by)\b|public domain"
 
 
 def canonical_sql(column: str) -> str:
     """Spark SQL for the canonical form of a string column."""
-    out = f"regexp_replace(lower({column}), r'{COPYRIGHT}', '')"
+    out = f"lower({column})"
+    for pattern in DROPPED:
+        out = f"regexp_replace({out}, r'{pattern}', '')"
     for pattern, to in SPELLINGS:
         out = f"regexp_replace({out}, r'{pattern}', '{to}')"
     return f"trim(regexp_replace({out}, r'[^\\p{{L}}\\p{{N}}]+', ' '))"
 
 
+def _runs_sql(lengths: dict[str, list[int]]) -> str:
+    """Spark SQL: digests of the runs of lines of t whose first word and number of words are those of a known text."""
+    by_word = "map(" + ", ".join(f"'{w}', array({', '.join(map(str, n))})" for w, n in sorted(lengths.items())) + ")"
+    lines = f"filter(transform(split(t, '\\n'), x -> {canonical_sql('x')}), x -> x <> '')"
+    ends = "aggregate(s.l, array(0), (a, x) -> array_append(a, element_at(a, -1) + size(split(x, ' '))))"
+    starts = "filter(sequence(0, size(u.l) - 1), i -> map_contains_key(u.m, substring_index(u.l[i], ' ', 1)))"
+    hits = "filter(sequence(i + 1, size(u.l)), j -> array_contains(u.m[substring_index(u.l[i], ' ', 1)], u.c[j] - u.c[i]))"
+    runs = f"flatten(transform({starts}, i -> transform({hits}, j -> sha2(array_join(slice(u.l, i + 1, j - i), ' '), 256))))"
+    some = f"flatten(transform(transform(filter(array(named_struct('l', {lines})), s -> size(s.l) > 0), s -> named_struct('l', s.l, 'c', {ends}, 'm', {by_word})), u -> {runs}))"
+    return f"CASE WHEN t RLIKE r'{NAMES}' THEN {some} ELSE cast(array() AS array<string>) END"
+
+
 def known(spark: SparkSession) -> DataFrame:
-    """digest, license: a row for each distinct canonical text of KNOWN."""
-    rows = spark.createDataFrame(list(KNOWN), "license string, t string")
-    return rows.select(F.sha2(F.expr(canonical_sql("t")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    """digest, license: and the text itself, a row for each distinct canonical text."""
+    rows = spark.createDataFrame(list(texts()), "license string, t string").select(F.expr(canonical_sql("t")).alias("t"), "license").where("t <> ''")
+    return rows.select(F.sha2("t", 256).alias("digest"), F.split("t", " ")[0].alias("word"), F.size(F.split("t", " ")).alias("n"), "license").groupBy("digest", "word", "n").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, digest of the whole canonical text, its license or null, and notices: the licences
-    named by single lines, sorted, once each."""
+    named by runs of lines, sorted, once each."""
     df = docs.select("doc_id", text_of(docs).alias("t")).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "t")
-    lines = F.expr(f"CASE WHEN t RLIKE r'{NAMES}' THEN transform(filter(split(t, '\\n'), x -> x RLIKE r'{NAMES}'), x -> sha2({canonical_sql('x')}, 256)) ELSE cast(array() AS array<string>) END")
+    names, lengths = materialize(known(docs.sparkSession)), {}
+    for r in names.select("word", "n").distinct().collect():
+        lengths.setdefault(r.word, []).append(r.n)
+    lines = F.expr(_runs_sql(lengths))
     rows = materialize(df.select("rid", "doc_id", F.sha2(F.expr(canonical_sql("t")), 256).alias("digest"), lines.alias("lines")))
-    names = F.broadcast(known(docs.sparkSession))
+    names = F.broadcast(names.select("digest", "license"))
     notices = rows.select("rid", F.explode(F.array_distinct("lines")).alias("digest")).join(names, "digest").groupBy("rid").agg(F.array_sort(F.collect_set("license")).alias("notices"))
     return rows.join(names, "digest", "left").join(notices, "rid", "left").select("doc_id", "digest", "license", F.coalesce("notices", F.expr("cast(array() AS array<string>)")).alias("notices"))
 

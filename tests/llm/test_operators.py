@@ -233,6 +233,24 @@ def test_licenses(spark):
     assert got == {1: ("MIT", ["MIT"]), 2: (None, ["Apache-2.0"]), 3: (None, []), 4: (None, [])}
 
 
+def test_licenses_with_titles_and_wrapped_lines(spark):
+    import textwrap
+
+    rows, want = [], {}
+    for name, text in licenses.KNOWN[:5]:
+        rows.append((len(rows), f"The {name} License\n\nCopyright (c) The Authors\nAll rights reserved.\n\n" + textwrap.fill(text, 60)))
+        want[len(want)] = (name, [name])
+    for f in sorted((licenses.Path(licenses.__file__).parent / "license_texts").glob("*.txt")):
+        rows.append((len(rows), f"Some project\n\n{f.read_text()}"))
+        want[len(want)] = (None, f.stem)
+    for line, name in (("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("This work is licensed under a Creative Commons\nAttribution-NoDerivs 3.0 Unported License.", "CC-BY-ND-3.0"), ("# Licensed under the Apache License,\n# Version 2.0.", "Apache-2.0"), ("CC BY-SA 2.5", "CC-BY-SA-2.5")):
+        rows.append((len(rows), f"text\n{line}\nmore"))
+        want[len(want)] = (None, name)
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        license, notices = want[r.doc_id]
+        assert r.license == license and (notices == r.notices if license else notices in r.notices), (rows[r.doc_id][1][:200], r)
+
+
 def test_neighbours_recall_and_odd_vectors(spark):
     r = np.random.default_rng(2)
     x = r.standard_normal((3000, 16)).astype(np.float32)
