@@ -186,7 +186,8 @@ def passages_by_force(rows):
 def test_repeated_passages_around_a_frequent_phrase(spark):
     r = random.Random(4)
     stream = [r.choice(WORDS) for _ in range(60000)]
-    low = np.argsort(suffixes.ngrams(suffixes.WordHashes().of([w.encode() for w in stream]), 12))
+    at = np.arange(len(stream) - 11)
+    low = np.argsort(suffixes.Rolling(suffixes.WordHashes().of([w.encode() for w in stream])).of(at, at + 12))
     phrase = lambda k: " ".join(stream[low[k] : low[k] + 12])
     # low phrases before each passage and within it, so that its only kept places lie in what all passages share
     shared, rows = f"{phrase(0)} {prose(13, 900)}", []
@@ -197,6 +198,18 @@ def test_repeated_passages_around_a_frequent_phrase(spark):
     assert len(want) == 80 and got == want
 
 
+def test_repeated_passages_by_force(spark):
+    r = random.Random(12)
+    pool = [prose(r.randrange(40, 90), 100 + i) for i in range(30)]
+    rows = [(i, " ".join(r.choice(pool) if r.random() < 0.5 else prose(r.randrange(1, 60), 10_000 + 50 * i + k) for k in range(r.randrange(1, 9)))) for i in range(120)]
+    rows += [(500 + i, " ".join(["a"] * (40 + i))) for i in range(40)] + [(600 + i, " ".join(r.choice("ab") for _ in range(150))) for i in range(30)]
+    real = [(x.doc_id, x.text or "") for x in spark.read.parquet(f"{SF}/documents.parquet").dropDuplicates(["text"]).collect()]
+    for some in (rows, real):
+        want = passages_by_force(some)
+        got = {x.doc_id: [[[y.start, y.stop] for y in c] for c in (x.spans, x.removable)] for x in suffixes.find(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+        assert want and got == want
+
+
 def test_mixing(spark, docs):
     real = spark.read.parquet(f"{SF}/documents.parquet")
     for df in (docs, real):
