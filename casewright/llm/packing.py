@@ -20,36 +20,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, word_hashes
 
 LONGEST, END = 2048, 1
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 
-_SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Plain words: Latin letters (composed, so normalisation leaves them alone) and at most one full stop or comma.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-
-
-class Known(dict):
-    """word -> number; a new word gets the next number and waits to be encoded."""
-
-    def __init__(self):
-        self.waiting: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self.waiting.append(word)
-        n = self[word] = len(self)
-        return n
+#: Texts that show whether a tokenizer treats white space and case as WordIds assumes.
+_PROBE = "Some Plain words,  and\nmore\t(of) THEM. Été naïve, x1 #2 don't e-mail a.b@c.org"
 
 
 class WordIds:
-    """Ids of texts as the tokenizer gives them. The tokenizer never joins what white space separates, so a text's ids are
-    those of its words in turn; words met before are looked up. Plain words share the ids of their lower-case letters.
-    Both tables are emptied when full, so memory is bounded by them and the texts in hand. Ids are kept as bytes, which
-    Python's garbage collector never walks."""
+    """Ids of texts as the tokenizer gives them. Where the tokenizer never joins what white space separates, a text's ids are
+    those of its words in turn, and words met before are looked up by a 64-bit hash; plain words share the ids of their
+    lower-case letters where it ignores case. A tokenizer that fails the probe of these properties encodes whole texts.
+    The table is sorted arrays of numbers, emptied when it holds LIMIT words, so memory is bounded by it and the texts in hand."""
 
-    words_limit, cores_limit = 900_000, 1_200_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,12 +48,16 @@ class WordIds:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.cores: dict[str, bytes] = {}
+        whole = self.encode([_PROBE])[0]
+        self.by_words = b"".join(self.encode(_PROBE.split())) == whole
+        self.by_letters = self.by_words and self.encode([_PROBE.lower()])[0] == whole and self.encode(["word."])[0] == b"".join(self.encode(["word", "."]))
         self.marks = {"": b"", **dict(zip(".,", self.encode([".", ","])))}
         self.empty()
 
     def empty(self) -> None:
-        self.words, self.flat, self.starts = Known(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        """known: sorted hashes; at: each one's number; the ids of number n are flat[starts[n] : starts[n + 1]]."""
+        self.known, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for at in range(0, len(words), 1000) for e in self.tokenizer.encode_batch_fast(words[at : at + 1000], add_special_tokens=False)]
@@ -79,35 +72,62 @@ class WordIds:
         flat = ids.tobytes()
         return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def learn(self) -> None:
-        """Encode the waiting words: flat holds the ids of word n from starts[n] to starts[n + 1]."""
-        plain = [(m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(w)) else (w, "") for w in self.words.waiting]
-        if len(self.cores) > self.cores_limit:
-            self.cores.clear()
-        new = {c for c, _ in plain if c not in self.cores}
-        letters = [c for c in new if c.isalpha()]
-        other = [c for c in new if not c.isalpha()]
-        self.cores.update(zip(letters, self.encode_letters(letters)))
-        self.cores.update(zip(other, self.encode(other)))
-        ids = [self.cores[c] + self.marks[m] for c, m in plain]
-        ends = self.starts[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        i = np.searchsorted(self.known, hashes)
+        hit = i < len(self.known)
+        hit[hit] = self.known[i[hit]] == hashes[hit]
+        out = np.full(len(hashes), -1, np.int64)
+        out[hit] = self.at[i[hit]]
+        return out
+
+    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        """Hashes not known yet, each once."""
+        number = len(self.starts) - 1 + np.arange(len(hashes))
+        order = np.argsort(hashes)
+        i = np.searchsorted(self.known, hashes[order])
+        self.known, self.at = np.insert(self.known, i, hashes[order]), np.insert(self.at, i, number[order])
+        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4))
         self.flat = np.append(self.flat, np.frombuffer(b"".join(ids), np.uint32))
-        self.starts = np.append(self.starts, ends)
-        self.words.waiting.clear()
 
-    def of(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > self.words_limit:
+    def ids(self, number: int) -> bytes:
+        return self.flat[self.starts[number] : self.starts[number + 1]].tobytes()
+
+    def learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+        """Encode new words: the letters of plain ones first, which are words themselves."""
+        text = [w.decode() for w in words]
+        parts = [(m[1].lower(), m[2]) if self.by_letters and (m := _PLAIN.fullmatch(w)) else (w, "") for w in text]
+        cores = list({c for c, _ in parts})
+        core_hash = word_hashes([c.encode() for c in cores])
+        new = np.flatnonzero(self.find(core_hash) < 0)
+        letters = [i for i in new if self.by_letters and cores[i].isalpha()]
+        other = [i for i in new if not (self.by_letters and cores[i].isalpha())]
+        for some, how in ((letters, self.encode_letters), (other, self.encode)):
+            if some:
+                self.add(core_hash[some], how([cores[i] for i in some]))
+        number = dict(zip(cores, self.find(core_hash).tolist()))
+        left = np.flatnonzero(self.find(hashes) < 0)
+        if len(left):
+            self.add(hashes[left], [self.ids(number[parts[i][0]]) + self.marks[parts[i][1]] for i in left])
+
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        if not self.by_words:
+            return [np.frombuffer(x, np.uint32) for t in texts for x in self.encode([t.decode()])]
+        if len(self.known) > self.LIMIT:
             self.empty()
         words, stops = [], [0]
         for t in texts:
-            # a text with what only str.split() takes for white space is encoded whole
-            words += [t] if _SEPARATORS.search(t) else t.split()
+            words += t.split()
             stops.append(len(words))
-        n = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        if self.words.waiting:
-            self.learn()
-        start = self.starts[n]
-        size = self.starts[n + 1] - start
+        hashes, first, n = np.unique(word_hashes(words), return_index=True, return_inverse=True)
+        number = self.find(hashes)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            self.learn([words[i] for i in first[new]], hashes[new])
+            number[new] = self.find(hashes[new])
+        number = number[n]
+        start = self.starts[number]
+        size = self.starts[number + 1] - start
         upto = np.append(0, np.cumsum(size))
         ids = self.flat[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
         return np.split(ids, upto[stops[1:-1]])
@@ -151,7 +171,7 @@ def _pieces(path: str):
 def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, bucket (log2 of the
     length), sequence_id, offset. Write it with partitionBy("bucket") for batches of equal length."""
-    pieces = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(_pieces(tokenizer), SCHEMA)
+    pieces = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("text")).mapInArrow(_pieces(tokenizer), SCHEMA)
     return pieces.withColumn("bucket", F.log2("length").cast("int")).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
