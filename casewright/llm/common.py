@@ -51,19 +51,9 @@ def bounded(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
-class WordHashes(dict):
-    """word bytes -> 64-bit hash, computed on first sight; emptied when full, so memory stays bounded."""
-
-    limit = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word. Nothing is kept: hashing again is faster than looking words up, and needs no memory."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -82,7 +72,8 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b): rows (node, root), root the smallest node of the component.
+    """Connected components of edges (a, b): rows (node, root) of every node that isn't its component's root, the smallest
+    node.
 
     Alternating large-star and small-star rounds; each round is written to the shared folder. Every round is joins
     and minimums, so a node with very many neighbours is pre-aggregated and its join side can be split by AQE.
@@ -101,3 +92,13 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = sign
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def joined_by(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """components() of all links so far, from those known as roots and some more links: only components that the new
+    links touch take part in the rounds."""
+    of = lambda c: F.coalesce(F.col(f"r{c}.root"), F.col(c)).alias(c)
+    between = links.join(roots.alias("ra"), F.expr("a = ra.node"), "left").join(roots.alias("rb"), F.expr("b = rb.node"), "left").select(of("a"), of("b"))
+    merged = components(between)
+    moved = roots.join(merged.select(F.col("node").alias("old"), F.col("root").alias("new")), F.expr("root = old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    return materialize(moved.union(merged))

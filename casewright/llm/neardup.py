@@ -1,13 +1,19 @@
 """Near-duplicate groups: MinHash bands propose pairs, odd sketches screen them, full shingle sets decide.
 
-Rows with the same shingle set form one class, so thousands of copies cost one sketch. Within a band's bucket every
-class is paired with the bucket's centre only, never with all others. Classes left outside a bucket's
-largest component then meet a few more centres, round by round, until little is apart; what still is, is compared
-across components, each pair once, so no link between proposed classes is lost. A pair goes to the exact test unless its odd sketch puts the similarity
-four standard errors below the threshold. A bucket's centre is the class that shares most places with others over all
-bands, so a text and its many altered copies meet around the text and not around one of the copies.
+Rows with the same shingle set form one class, so thousands of copies cost one sketch. Bands of classical MinHash samples
+propose: within a band's bucket every class is paired with the bucket's centre, the class that shares most places with
+others over all bands. Classes left outside a bucket's largest component then meet a few more centres, round by round; what
+still is apart is compared across components in tiles of at most TILE members, each pair once, so no link between
+proposed classes is lost and no task holds a whole bucket.
 
-With 32 bands of 5 samples a pair at similarity 0.85 escapes every bucket with probability 9e-9 (0.80: 3e-6).
+The screen is an odd sketch: a set's one-permutation MinHash samples (the smallest shingle hash of each of SAMPLES ranges)
+are folded into BITS parity bits. The XOR of two sketches counts their differing samples; with the numbers of samples
+and shingles known, the count expected at the threshold follows, with the spread of the sampling and of the fold. A pair
+goes to the exact test unless it lies SIGMAS spreads beyond. Small sets have nearly every shingle as a sample, so
+their screen is nearly exact.
+
+With 32 bands of 5 samples a pair at similarity 0.85 escapes every bucket with probability 9e-9 (0.80: 3e-6). Sets are held as
+64-bit hashes of shingles.
 
 Defined cases: null text is empty; a text without words has an empty set and links with nothing; fewer than five words
 are one shingle; repeated rows share one class; a null doc_id takes part and counts as larger than any id; an empty
@@ -16,82 +22,79 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded, components, materialize, ngrams, text_of
+from .common import bounded, components, joined_by, materialize, mix, ngrams, text_of, word_hashes
 
-SHINGLE, BANDS, ROWS, SAMPLES, BITS = 5, 32, 5, 256, 1024
+SHINGLE, BANDS, ROWS, SAMPLES, BITS, SIGMAS = 5, 32, 5, 4096, 2048, 6
 #: Fixed hash parameters, drawn from a stated seed.
 _rng = np.random.default_rng(20240229)
-_A = (_rng.integers(0, 2**32, SAMPLES, np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
-_B = _rng.integers(0, 2**32, SAMPLES, np.uint64).astype(np.uint32)[:, None]
+_A = (_rng.integers(0, 2**32, BANDS * ROWS, np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
+_B = _rng.integers(0, 2**32, BANDS * ROWS, np.uint64).astype(np.uint32)[:, None]
 #: Rounds with CENTRES new centres a bucket go on while rows have more than SMALL partners in other components on average.
-ROUNDS, CENTRES, SMALL = 4, 8, 4
+ROUNDS, CENTRES, SMALL, TILE = 4, 8, 4, 1024
 _LONG, _SIGN = np.int64, [f"o{i}" for i in range(BITS // 64)]
+_KNOWN = ["n_shingles", "samples", *_SIGN]
 
 
-def shingle_set(text: bytes, hashes: WordHashes) -> np.ndarray:
+def shingle_set(text: bytes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the 5-word shingles of a text."""
-    words = hashes.of(text.lower().split())
+    words = word_hashes(text.lower().split())
     if len(words) >= SHINGLE:
         return np.unique(ngrams(words, SHINGLE))
     return np.array([xxhash.xxh3_64_intdigest(words.tobytes(), seed=7)], np.uint64) if len(words) else words
 
 
-def min_samples(found: np.ndarray) -> np.ndarray:
-    x, low = (found >> np.uint64(32)).astype(np.uint32), np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """A key for each band: the minima of ROWS permutations."""
+    x, low = (found >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 1024):
         low = np.minimum(low, (_A * x[None, i : i + 1024] + _B).min(axis=1))
-    return low
-
-
-def band_keys(low: np.ndarray) -> np.ndarray:
-    parts = low[: BANDS * ROWS].reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh3_64_intdigest(p.tobytes(), seed=i) for i, p in enumerate(parts)], np.uint64).view(_LONG)
+    return np.array([xxhash.xxh3_64_intdigest(p.tobytes(), seed=i) for i, p in enumerate(low.reshape(BANDS, ROWS))], np.uint64).view(_LONG)
 
 
-def odd_sketch(low: np.ndarray) -> np.ndarray:
-    """Parity of how many of the samples (number, value) fall on each of BITS places, as longs."""
-    at = (low.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(54)
-    return np.packbits((np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(_LONG)
+def odd_sketch(found: np.ndarray) -> tuple[int, np.ndarray]:
+    """(number of samples, parity of how many of them fall on each of BITS places, as longs)."""
+    part = found >> np.uint64(64 - SAMPLES.bit_length() + 1)
+    least = found[np.append(True, part[1:] != part[:-1])[: len(found)]]
+    at = mix(least) >> np.uint64(64 - BITS.bit_length() + 1)
+    return len(least), np.packbits((np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(_LONG)
 
 
 def _sketches(batches):
-    hashes = WordHashes()
     for b in batches:
-        ns, prints, bands, odd = [], [], [], []
+        ns, prints, bands, many, odd = [], [], [], [], []
         for text in b.column("text").to_pylist():
-            found = shingle_set(text, hashes)
+            found = shingle_set(text)
             ns.append(len(found))
             prints.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-            low = min_samples(found)
-            bands.append(band_keys(low) if len(found) else None)
-            odd.append(odd_sketch(low))
+            bands.append(band_keys(found) if len(found) else None)
+            n, bits = odd_sketch(found)
+            many.append(n)
+            odd.append(bits)
         grid = np.array(odd, _LONG).reshape(-1, len(_SIGN))
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(ns, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *(pa.array(grid[:, i]) for i in range(len(_SIGN)))],
-            ["doc_id", "n_shingles", "node", "bands", *_SIGN])
+            [b.column("doc_id"), pa.array(ns, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(many, pa.int32()), *(pa.array(grid[:, i]) for i in range(len(_SIGN)))],
+            ["doc_id", "n_shingles", "node", "bands", "samples", *_SIGN])
 
 
 def _sets(batches):
-    hashes = WordHashes()
     for b in batches:
-        found = [shingle_set(t, hashes) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(f.tobytes()) for f in found], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], ["node", "items"])
+        for lo in range(0, b.num_rows, 512):
+            found = [shingle_set(t) for t in b.column("text").slice(lo, 512).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(f.tobytes()) for f in found], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], ["node", "items"])
 
 
 def _judge(num: int, den: int):
     def run(batches):
         for b in batches:
             keep = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(b.column("x"), b.column("y")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -99,12 +102,20 @@ def _judge(num: int, den: int):
 
 
 def _near(num: int, den: int) -> str:
-    """SQL over sides p and q: sizes allow the threshold and the odd sketches don't rule it out."""
-    j = num / den
-    floor = max(0.05, j - 4 * math.sqrt(j * (1 - j) / SAMPLES))
-    most = BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - floor) / BITS))
+    """SQL over sides p and q: sizes allow the threshold and the odd sketches don't rule it out.
+
+    At similarity j the union has u = (sum of sizes) / (1 + j) shingles and fills v of the k ranges; a share j of its
+    samples, drawn without replacement, agrees. The other d samples set b / 2 * (1 - exp(-2 d / b)) bits."""
+    j, k, b = num / den, SAMPLES, BITS
+    u = f"((p.n_shingles + q.n_shingles) / {1 + j}D)"
+    e = f"exp(-{u} / {k}D)"
+    v = f"({k}D * (1 - {e}))"
+    d = f"greatest(p.samples + q.samples - {2 * j}D * {v}, 0D)"
+    spread = f"({v} * {j * (1 - j)}D * greatest({u} - {v}, 0D) / {u} + {j * j}D * greatest({k}D * {e} * (1 - (1 + {u} / {k}D) * {e}), 0D))"
+    fold = f"greatest({b / 4}D * (1 - exp(-4 * {d} / {b}D)) - {d} * exp(-4 * {d} / {b}D), 0D)"
+    most = f"{b / 2}D * (1 - exp(-2 * {d} / {b}D)) + {SIGMAS} * sqrt(4 * exp(-4 * {d} / {b}D) * {spread} + {fold}) + 2"
     xor = " + ".join(f"bit_count(p.{o} ^ q.{o})" for o in _SIGN)
-    return f"{den} * least(p.n_shingles, q.n_shingles) >= {num} * greatest(p.n_shingles, q.n_shingles) AND {xor} <= {math.ceil(most)}"
+    return f"{den} * least(p.n_shingles, q.n_shingles) >= {num} * greatest(p.n_shingles, q.n_shingles) AND {xor} <= {most}"
 
 
 def links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -121,10 +132,10 @@ def links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, num: int, den:
 def groups(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id linked, directly or not), kept."""
     rows = materialize(docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("text")).mapInArrow(
-        _sketches, "doc_id long, n_shingles long, node binary, bands array<long>, " + ", ".join(f"{o} long" for o in _SIGN)))
+        _sketches, "doc_id long, n_shingles long, node binary, bands array<long>, samples int, " + ", ".join(f"{o} long" for o in _SIGN)))
     full = rows.where("n_shingles > 0")
-    classes = materialize(full.groupBy("node").agg(F.min("doc_id").alias("label"), F.first(F.struct("n_shingles", *_SIGN, "bands")).alias("s")).select("node", "label", "s.*"))
-    slim = classes.select("node", "n_shingles", *_SIGN)
+    classes = materialize(full.groupBy("node").agg(F.min("doc_id").alias("label"), F.first(F.struct(*_KNOWN, "bands")).alias("s")).select("node", "label", "s.*"))
+    slim = classes.select("node", *_KNOWN)
     banded = classes.select("node", F.explode("bands").alias("key"))
     crowded = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(banded.join(crowded, "key"))
@@ -137,8 +148,7 @@ def groups(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
         return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(slim.alias("p"), F.expr("a = p.node")).join(slim.alias("q"), F.expr("b = q.node")).where(near).select("a", "b")
 
     tested = materialize(screened(members.join(centres, "key").select(F.col("centre").alias("a"), F.col("node").alias("b"))))
-    found = links(docs, tested, classes, num, den)
-    roots = components(found)
+    roots = materialize(components(links(docs, tested, classes, num, den)))
     for round_ in range(ROUNDS + 1):
         # a bucket of two is settled by its one pair; larger ones are settled when they lie in one component
         at = members.where("n > 2").join(roots, "node", "left").select("key", "node", "n", "weight", F.coalesce("root", "node").alias("root"))
@@ -153,17 +163,20 @@ def groups(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
             heavy = at.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("weight", "node", "root")).alias("c"))
             loose = at.where("root <> major").withColumn("nth", F.expr("row_number() OVER (PARTITION BY node ORDER BY n DESC, key)")).where("nth <= 2")
             pairs = screened(loose.join(heavy, "key").where("root <> c.root").select(F.col("c.node").alias("a"), F.col("node").alias("b")))
-        else:  # all that is still apart, each pair in one bucket; the screen is part of the join, so only likely pairs become rows
-            wide = materialize(at.select("key", "node", "root").join(classes.select("node", "n_shingles", *_SIGN, "bands"), "node"))
+        else:  # all that is still apart, each pair in one bucket and tile; the screen is part of the join, so only likely pairs become rows
+            tiles = F.ceil(F.col("n") / TILE).cast("int")
+            wide = at.select("key", "node", "root", tiles.alias("tiles")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+            wide = wide.join(classes.select("node", *_KNOWN, "bands"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+            wide = materialize(wide.withColumn("x", F.least("tile", "other")).withColumn("y", F.greatest("tile", "other")).drop("tiles", "other"))
             once = "array_min(array_intersect(p.bands, q.bands)) = p.key"
-            pairs = wide.alias("p").join(wide.alias("q"), F.expr(f"p.key = q.key AND p.root < q.root AND {_near(num, den)} AND {once}")).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
+            pairs = wide.alias("p").join(wide.alias("q"), F.expr(f"p.key = q.key AND p.x = q.x AND p.y = q.y AND (p.tile <> q.tile OR p.x = p.y) AND p.root < q.root AND {_near(num, den)} AND {once}"))
+            pairs = pairs.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
         fresh = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
         if not fresh.isEmpty():
             more = links(docs, fresh, classes, num, den)
             tested = tested.union(fresh)
             if not more.isEmpty():
-                found = found.union(more)
-                roots = components(found)
+                roots = joined_by(roots, more)
         if last:
             break
     homes = classes.select("node", "label").join(roots, "node", "left").select("node", "label", F.coalesce("root", "node").alias("root"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded, materialize, mix, text_of
+from .common import bounded, materialize, mix, text_of, word_hashes
 
 MIN_WORDS, K = 50, 12
 #: Places in a window, and sorted neighbours on either side that each class is compared with.
@@ -112,7 +112,6 @@ def _groups(sizes: list[int]):
 
 
 def _retain(batches):
-    hashes = WordHashes()
     for b in batches:
         col = b.column("text")
         for lo, hi in _groups([len(x) // 6 for x in (v.as_buffer() for v in col)]):
@@ -120,7 +119,7 @@ def _retain(batches):
             for t in part.column("text").to_pylist():
                 w = t.split()
                 sizes.append(len(w))
-                words.append(hashes.of(w))
+                words.append(word_hashes(w))
             which, *cols = _places(np.concatenate(words), np.array(sizes, np.int64))
             cuts = pa.array(np.append(0, np.cumsum(np.bincount(which, minlength=len(sizes)))).astype(np.int32))
             lists = [pa.ListArray.from_arrays(cuts, pa.array(c).cast(t)) for c, t in zip(cols, _TYPES)]
@@ -134,12 +133,11 @@ _ARROW = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(
 
 def _contexts(batches):
     """For the chosen places of each text: the words of its stretch from the place on and, reversed, those before, as 32-bit hashes."""
-    hashes = WordHashes()
     for b in batches:
         for at in range(0, b.num_rows, 64):
             part, out = b.slice(at, 64), []
             for tid, label, text, wanted in zip(*(part.column(c).to_pylist() for c in ("tid", "label", "text", "wanted"))):
-                short = (hashes.of(text.split()) >> np.uint64(32)).astype(">u4")
+                short = (word_hashes(text.split()) >> np.uint64(32)).astype(">u4")
                 for x in wanted:
                     p = x["place"]
                     out.append((x["key"], x["span"], label is None, label, tid, p, x["low"], x["high"], x["crowded"], short[p : p + RIGHT - x["low"]].tobytes(), short[p - x["high"] : p][::-1].tobytes()))

@@ -187,7 +187,7 @@ def test_repeated_passages_around_a_frequent_phrase(spark):
     r = random.Random(4)
     stream = [r.choice(WORDS) for _ in range(60000)]
     at = np.arange(len(stream) - 11)
-    low = np.argsort(suffixes.Rolling(suffixes.WordHashes().of([w.encode() for w in stream])).of(at, at + 12))
+    low = np.argsort(suffixes.Rolling(suffixes.word_hashes([w.encode() for w in stream])).of(at, at + 12))
     phrase = lambda k: " ".join(stream[low[k] : low[k] + 12])
     # low phrases before each passage and within it, so that its only kept places lie in what all passages share
     shared, rows = f"{phrase(0)} {prose(13, 900)}", []
