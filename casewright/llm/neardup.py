@@ -9,8 +9,9 @@ proposed classes is lost and no task holds a whole bucket.
 The screen is an odd sketch: a set's one-permutation MinHash samples (the smallest shingle hash of each of SAMPLES ranges)
 are folded into BITS parity bits. The XOR of two sketches counts their differing samples; with the numbers of samples
 and shingles known, the count expected at the threshold follows, with the spread of the sampling and of the fold. A pair
-goes to the exact test unless it lies SIGMAS spreads beyond. Small sets have nearly every shingle as a sample, so
-their screen is nearly exact.
+goes to the exact test unless it lies SIGMAS spreads beyond, or beyond what differing shingles can set at most: the XOR
+never counts more bits than samples differ, and those are the differing shingles and one for each shingle that
+shares its range with another of its set. Small sets have nearly every shingle as a sample, so their screen is nearly exact.
 
 With 32 bands of 5 samples a pair at similarity 0.85 escapes every bucket with probability 9e-9 (0.80: 3e-6). Sets are held as
 64-bit hashes of shingles.
@@ -30,13 +31,13 @@ from pyspark.sql import functions as F
 
 from .common import bounded, components, joined_by, materialize, mix, ngrams, text_of, word_hashes
 
-SHINGLE, BANDS, ROWS, SAMPLES, BITS, SIGMAS = 5, 32, 5, 4096, 2048, 6
+SHINGLE, BANDS, ROWS, SAMPLES, BITS, SIGMAS = 5, 32, 5, 8192, 2048, 6
 #: Fixed hash parameters, drawn from a stated seed.
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 2**32, BANDS * ROWS, np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
 _B = _rng.integers(0, 2**32, BANDS * ROWS, np.uint64).astype(np.uint32)[:, None]
-#: Rounds with CENTRES new centres a bucket go on while rows have more than SMALL partners in other components on average.
-ROUNDS, CENTRES, SMALL, TILE = 4, 8, 4, 1024
+#: ROUNDS with CENTRES new centres a bucket go on while rows have more than SMALL partners in other components on average.
+ROUNDS, CENTRES, SMALL, TILE = 1, 8, 4, 1024
 _LONG, _SIGN = np.int64, [f"o{i}" for i in range(BITS // 64)]
 _KNOWN = ["n_shingles", "samples", *_SIGN]
 
@@ -108,20 +109,23 @@ def _near(num: int, den: int) -> str:
     samples, drawn without replacement, agrees. The other d samples set b / 2 * (1 - exp(-2 d / b)) bits."""
     j, k, b = num / den, SAMPLES, BITS
     u = f"((p.n_shingles + q.n_shingles) / {1 + j}D)"
+    full = lambda n: f"({k}D * (1 - exp(-{n} / {k}D)))"
     e = f"exp(-{u} / {k}D)"
-    v = f"({k}D * (1 - {e}))"
+    # expected for the union, in the proportion that the two sets themselves show
+    v = f"({full(u)} * (p.samples + q.samples) / ({full('p.n_shingles')} + {full('q.n_shingles')}))"
     d = f"greatest(p.samples + q.samples - {2 * j}D * {v}, 0D)"
-    spread = f"({v} * {j * (1 - j)}D * greatest({u} - {v}, 0D) / {u} + {j * j}D * greatest({k}D * {e} * (1 - (1 + {u} / {k}D) * {e}), 0D))"
+    spread = f"({v} * {j * (1 - j)}D * greatest({u} - {v}, 0D) / {u} + {j * j * (1 - j * j)}D * greatest({k}D * {e} * (1 - (1 + {u} / {k}D) * {e}), 0D))"
     fold = f"greatest({b / 4}D * (1 - exp(-4 * {d} / {b}D)) - {d} * exp(-4 * {d} / {b}D), 0D)"
-    most = f"{b / 2}D * (1 - exp(-2 * {d} / {b}D)) + {SIGMAS} * sqrt(4 * exp(-4 * {d} / {b}D) * {spread} + {fold}) + 2"
+    likely = f"{b / 2}D * (1 - exp(-2 * {d} / {b}D)) + {SIGMAS} * sqrt(4 * exp(-4 * {d} / {b}D) * {spread} + {fold}) + 1"
+    differ = f"floor({(1 - j) / (1 + j) + 1e-12}D * (p.n_shingles + q.n_shingles)) + p.n_shingles - p.samples + q.n_shingles - q.samples"
     xor = " + ".join(f"bit_count(p.{o} ^ q.{o})" for o in _SIGN)
-    return f"{den} * least(p.n_shingles, q.n_shingles) >= {num} * greatest(p.n_shingles, q.n_shingles) AND {xor} <= {most}"
+    return f"{den} * least(p.n_shingles, q.n_shingles) >= {num} * greatest(p.n_shingles, q.n_shingles) AND {xor} <= {differ} AND {xor} <= {likely}"
 
 
 def links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Those of the written pairs (a, b) of classes that reach the threshold on their full sets; sets are built for the
     pairs' classes only."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     held = bounded(nodes.join(classes.select("node", F.col("label").alias("_label")), "node").select("_label").distinct())
     texts = docs.select("doc_id", text_of(docs).cast("binary").alias("text")).alias("d").join(held, F.expr("d.doc_id <=> _label"), "left_semi")
     sets = materialize(texts.mapInArrow(_sets, "node binary, items binary").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
