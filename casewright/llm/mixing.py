@@ -7,11 +7,14 @@ in a random direction that keeps both expectations; the moved words are equal, s
 changes. Blocks of about 32 documents settle inside one expression, the one document that each block leaves open goes
 on to the next level, and so on up the tree, log(n)/log(32) levels deep. Only the last one is rounded on its own.
 
+Rows with equal doc_id, source and size are one unit. Of its m rows so many take another copy for certain as the whole part
+of m times the fraction says; only the rest, a fraction of one row, is settled by pivots. The copies are dealt to the rows by number.
+
 Random choices are hashes of ids and a seed: reruns agree at any partitioning.
 
 Defined cases: null text has size 0; a document of size 0 is never taken; a null source is a source of its own,
-after all others; rows with equal doc_id, source and size are settled as one and get equal copies; empty tables give
-empty results; other columns are ignored.
+after all others; of repeated rows some take one copy more than others, which ones is open; very long texts are counted
+whole; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,8 +53,8 @@ def targets(units: DataFrame) -> DataFrame:
 _U = f"(pmod(xxhash64(z.o.doc_id, x.doc_id, z.o.size, x.size, z.o.source, {SEED}), 1000003) / 1000003D)"
 _UP = "least((1 - z.o.p) * z.o.s, x.p * x.s)"  # words that can move from x to o
 _DOWN = "least(z.o.p * z.o.s, (1 - x.p) * x.s)"  # and from o to x
-_UNIT = "named_struct('doc_id', {0}.doc_id, 'source', {0}.source, 'size', {0}.size, 's', {0}.s, 'p', {1}, 'whole', {0}.whole)"
-_TYPE = "struct<doc_id:{0},source:string,size:bigint,s:double,p:double,whole:int>"
+_UNIT = "named_struct('doc_id', {0}.doc_id, 'source', {0}.source, 'size', {0}.size, 's', {0}.s, 'p', {1}, 'whole', {0}.whole, 'm', {0}.m, 'sure', {0}.sure)"
+_TYPE = "struct<doc_id:{0},source:string,size:bigint,s:double,p:double,whole:int,m:bigint,sure:bigint>"
 
 
 def _settle(kind: str) -> str:
@@ -70,16 +73,17 @@ def _settle(kind: str) -> str:
 
 
 def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sized rows, units with their copies 0, 1 or 2, sources with their targets)."""
-    sized = materialize(sizes(docs))
+    """(sized rows, units with m rows that all take `whole` copies and `extra` of which take one more, sources with their
+    targets)."""
+    sized = materialize(sizes(docs).withColumn("part", F.spark_partition_id()))
     units = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m"))
     kind = sized.schema["doc_id"].dataType.simpleString()
     per = materialize(targets(units))  # one row a source
     ratio = F.expr("CASE WHEN source_size > 0 THEN target / source_size ELSE 0D END")
     units = units.alias("u").join(bounded(per.select(F.col("source").alias("_source"), ratio.alias("r"))), F.expr("u.source <=> _source"))
-    start = materialize(units.select("doc_id", "source", "size", (F.col("size") * F.col("m")).cast("double").alias("s"),
-        F.expr("CASE WHEN size = 0 THEN 0D WHEN r - floor(r + 1e-9) < 1e-9 THEN 0D ELSE r - floor(r) END").alias("p"), F.expr("CASE WHEN size = 0 THEN 0 ELSE int(floor(r + 1e-9)) END").alias("whole")))
-    unit = F.struct("doc_id", "source", "size", "s", "p", "whole")
+    units = units.select("doc_id", "source", "size", "m", F.expr("CASE WHEN size = 0 THEN 0 ELSE int(floor(r + 1e-9)) END").alias("whole"), F.expr("CASE WHEN size = 0 THEN 0D ELSE greatest(r - floor(r + 1e-9), 0D) * m END").alias("more"))
+    start = materialize(units.select("doc_id", "source", "size", F.col("size").cast("double").alias("s"), F.expr("CASE WHEN more - floor(more + 1e-9) < 1e-9 THEN 0D ELSE more - floor(more + 1e-9) END").alias("p"), "whole", "m", F.expr("bigint(floor(more + 1e-9))").alias("sure")))
+    unit = F.struct("doc_id", "source", "size", "s", "p", "whole", "m", "sure")
     done, now, level = [start.where("p = 0")], start.where("p > 0"), 0
     n = now.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     while n > 1:
@@ -94,22 +98,46 @@ def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     last = now.withColumn("p", F.expr(f"CASE WHEN pmod(xxhash64(doc_id, size, source, {SEED}), 1000003) / 1000003D < p THEN 1D ELSE 0D END"))
     for part in done:
         last = last.unionByName(part)
-    return sized, last.select("doc_id", "source", "size", (F.col("whole") + F.col("p")).cast("long").alias("copies")), per
+    return sized, last.select("doc_id", "source", "size", "m", F.col("whole").cast("long").alias("whole"), (F.col("sure") + F.col("p")).cast("long").alias("extra")), per
+
+
+_SAME = "_d <=> _k AND _s <=> _t AND _n = _z"
+
+
+def dealt(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """Rows with _d, _s, _n (doc_id, source, size) and part, their number of a written partition: adds copies.
+
+    Rows of a unit are numbered by partition first, so a unit that holds very many rows is numbered in many tasks."""
+    units = units.select(F.col("doc_id").alias("_k"), F.col("source").alias("_t"), F.col("size").alias("_z"), "m", "whole", "extra")
+    found = rows.join(units, F.expr(_SAME)).drop("_k", "_t", "_z")
+    alone = found.where("m = 1").withColumn("copies", F.col("whole") + F.col("extra")).drop("m", "whole", "extra")
+    many = found.where("m > 1")
+    counts = many.groupBy(F.col("_d").alias("_k"), F.col("_s").alias("_t"), F.col("_n").alias("_z"), F.col("part").alias("_p")).agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("_before", F.expr("sum(_c) OVER (PARTITION BY _k, _t, _z ORDER BY _p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - _c")).drop("_c")
+    number = F.expr("row_number() OVER (PARTITION BY _d, _s, _n, part ORDER BY part)")
+    many = many.withColumn("_i", number).join(counts, F.expr(f"{_SAME} AND part = _p"))
+    return alone.unionByName(many.withColumn("copies", F.expr("whole + CASE WHEN _before + _i <= extra THEN 1L ELSE 0L END")).select(alone.columns))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken (words)."""
     sized, decided, per = copies(docs)
-    d = decided.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "copies")
+    rows = dealt(sized.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "part"), materialize(decided))
     s = bounded(per.select(F.col("source").alias("_source"), "source_size", "target"))
-    return sized.join(d, F.expr("doc_id <=> _d AND source <=> _s AND size = _n")).join(s, F.expr("source <=> _source")).select(
-        "doc_id", "source", "size", "source_size", F.col("target").cast("double"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.join(s, F.expr("_s <=> _source")).select(F.col("_d").alias("doc_id"), F.col("_s").alias("source"), F.col("_n").alias("size"), "source_size",
+        F.col("target").cast("double"), "copies", (F.col("copies") * F.col("_n")).alias("taken"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them. Only rows that share doc_id, source and size with others are numbered; the rest
+    meets its copies where it is read. Null and repeated rows, empty tables and clashing columns as in copies()."""
     _, decided, _ = copies(docs)
-    taken = decided.where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "copies")
-    words = F.expr(r"cast(size(filter(split(coalesce(cast(d.text AS string), ''), r'[\x20\x09-\x0D]+'), x -> x <> '')) AS bigint)")
-    out = docs.alias("d").join(bounded(taken), F.expr("d.doc_id <=> _d AND cast(d.source AS string) <=> _s") & (words == F.col("_n")))
-    return out.select(*(F.col(f"d.`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    decided = materialize(decided)
+    words = F.expr(r"cast(size(filter(split(coalesce(cast(text AS string), ''), r'[\x20\x09-\x0D]+'), x -> x <> '')) AS bigint)")
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_d"), F.col("source").cast("string").alias("_s"), words.alias("_n"))
+    side = lambda rows: bounded(rows.select(F.col("doc_id").alias("_k"), F.col("source").alias("_t"), F.col("size").alias("_z"), (F.col("whole") + F.col("extra")).alias("copies")))
+    out = packed.join(side(decided.where("m = 1 AND whole + extra > 0")), F.expr(_SAME)).select("_row", "copies")
+    if not decided.where("m > 1").isEmpty():
+        again = materialize(packed.join(side(decided.where("m > 1")).drop("copies"), F.expr(_SAME), "left_semi").withColumn("part", F.spark_partition_id()))
+        out = out.union(dealt(again, decided.where("m > 1")).where("copies > 0").select("_row", "copies"))
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

@@ -238,6 +238,19 @@ def test_mixing(spark, docs):
             assert abs(taken[s] - target) <= 2 * biggest + 1e-6
 
 
+def test_mixing_of_repeated_rows(spark, none):
+    rows = [(None, "ten words " * 5, "x")] * 1000 + [(3, "one two three", "y")] * 7 + [(None, "other words here too " * 3, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(df.repartition(2)).collect()))
+    for source in ("x", "y", None):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= own[0].size and max(r.copies for r in own) - min(r.copies for r in own) <= 1
+    staged = mixing.stage(spark, df, "")
+    assert Counter(r.source for r in staged.collect()) == Counter(r.source for r in got for _ in range(r.copies)) and staged.columns == df.columns
+    assert mixing.stage(spark, none, "").count() == 0
+
+
 def test_licenses(spark):
     mit = "MIT License text\nCopyright (c) 2020 Someone\n"
     text = licenses.KNOWN[0][1]
