@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import materialize, text_of
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: (name, SQL test of failure); the position is the bit and never changes, new rules are appended.
@@ -69,12 +69,15 @@ def _measure(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(grid[:, i]) for i in range(len(MEASURES)))], ["doc_id", *MEASURES])
 
 
+#: The failure bits of a row of measurements.
+BITS = " | ".join(f"CASE WHEN {test} THEN {1 << i}L ELSE 0L END" for i, (_, test) in enumerate(RULES))
+
+
 def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, the measurements, and failed_bits: one bit per failed rule."""
+    """doc_id, the measurements, and failed_bits: one bit per failed rule. It is written once, to the shared folder."""
     measured = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("text")).mapInArrow(
         _measure, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
-    bits = " | ".join(f"CASE WHEN {test} THEN {1 << i}L ELSE 0L END" for i, (_, test) in enumerate(RULES))
-    return measured.withColumn("failed_bits", F.expr(bits))
+    return materialize(measured.withColumn("failed_bits", F.expr(BITS)))
 
 
 def apply_policy(entries: DataFrame, version: str = CURRENT) -> DataFrame:
@@ -101,13 +104,14 @@ def rejected_by(entries: DataFrame, old: str, new: str) -> DataFrame:
     return entries.select("doc_id", verdict(old).alias("kept_old"), verdict(new).alias("kept_new")).where("kept_old <> kept_new")
 
 
-def _keep(texts: pd.Series) -> pd.Series:
-    grid = pd.DataFrame([measure_text(bytes(t)) for t in texts], columns=MEASURES)
-    bits = sum((grid.eval(test).astype(int) * (1 << i) for i, (_, test) in enumerate(RULES)), pd.Series(0, grid.index))
-    return (bits & (POLICIES[CURRENT] | BASE)) == 0
+def _measured(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(np.array([measure_text(bytes(t)) for t in texts], np.int64).reshape(-1, len(MEASURES)), columns=MEASURES)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy rejects go; the ledger is computed beside each row, without a shuffle."""
-    keep = F.pandas_udf(_keep, "boolean")
-    return docs.where(keep(text_of(docs).cast("binary")))
+    """Documents that the current policy rejects go. The ledger's entry is made beside each row and its bits are tested like the
+    ledger's, so nothing is joined or shuffled. Null text has no words and goes; repeated rows are judged alike; columns
+    may have any name; an empty table stays empty."""
+    measured = F.pandas_udf(_measured, ", ".join(f"{m} long" for m in MEASURES))
+    entries = docs.select(F.struct(*docs.columns).alias("_row"), measured(text_of(docs).cast("binary")).alias("_m")).select("_row", "_m.*")
+    return entries.where(f"(({BITS}) & {POLICIES[CURRENT] | BASE}) = 0").select("_row.*")
