@@ -87,6 +87,7 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         _fetch, "doc_id long, tid binary, number int, hash long, chunk binary, start int, stop int"))
     at = F.expr("head.doc_id <=> doc_id AND head.tid = tid AND head.number = number")
     kept = fetched.join(heads.withColumnRenamed("hash", "h"), F.expr("hash = h") & at, "left_semi").select(F.col("hash").alias("h"), F.col("chunk").alias("first"), F.col("doc_id").alias("d0"), F.col("tid").alias("t0"), F.col("number").alias("n0")).dropDuplicates(["h"])
+    kept = materialize(kept)  # so that the join deals both sides anew, and Spark can split a very common window
     # the next window of the same text shares a line with the first one
     again = fetched.join(kept, F.expr("hash = h AND chunk = first AND NOT (doc_id <=> d0 AND tid = t0 AND number <= n0 + 1)"))
     gone = again.groupBy("doc_id", "tid").agg(_runs("start", "stop").alias("gone"))
