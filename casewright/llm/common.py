@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 from uuid import uuid4
 
 import numpy as np
@@ -34,10 +35,31 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/cw-{uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Seconds between collections, and when the last one was.
+RELEASE_EVERY, _released = 8, [0.0]
+
+
+def _release(spark: SparkSession) -> None:
+    """Let Spark delete the broadcasts and shuffle files of finished steps: its cleaner does so once the driver's JVM has
+    collected their handles, which may take half an hour while they fill the executors' memory and disks."""
+    if time.monotonic() - _released[0] > RELEASE_EVERY:
+        spark.sparkContext._jvm.System.gc()
+        _released[0] = time.monotonic()
+
+
+#: Rows of texts that Python gets at a time: thousands of long texts in one batch would fill its memory and the JVM's buffers.
+TEXTS = 1000
+
+
 def text_of(docs: DataFrame) -> Column:
+    """The text column, empty where null; the session's Arrow batches are limited to TEXTS rows, unless it limits them more."""
+    spark = docs.sparkSession
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= TEXTS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS)
     return F.coalesce(docs["text"].cast("string"), F.lit(""))
 
 

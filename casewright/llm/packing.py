@@ -59,13 +59,13 @@ class WordIds:
         self.known, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def encode(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for at in range(0, len(words), 1000) for e in self.tokenizer.encode_batch_fast(words[at : at + 1000], add_special_tokens=False)]
+    def encode(self, words: list[str], step: int = 1000) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for at in range(0, len(words), step) for e in self.tokenizer.encode_batch_fast(words[at : at + step], add_special_tokens=False)]
 
     def encode_letters(self, words: list[str]) -> list[bytes]:
         """encode() for words of letters only: several to a text, whose ids are parted after each one that ends a word."""
         texts = [" ".join(words[at : at + 200]) for at in range(0, len(words), 200)]
-        ids = np.frombuffer(b"".join(self.encode(texts)), np.uint32)
+        ids = np.frombuffer(b"".join(self.encode(texts, 20)), np.uint32)
         cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
         if len(cuts) != len(words) + 1 or cuts[-1] != 4 * len(ids):
             return self.encode(words)
