@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, materialize, text_of
@@ -59,13 +59,13 @@ def _fetch(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32()))], ["doc_id", "tid", "number", "hash", "chunk", "start", "stop"])
 
 
-def _runs(start: str, stop: str) -> Column:
-    """Aggregate: ranges (start, stop) of a group, merged where they overlap or touch."""
-    ranges = f"array_sort(collect_set(named_struct('start', {start}, 'stop', {stop})))"
-    return F.expr(f"""aggregate({ranges}, cast(array() AS array<struct<start:int,stop:int>>), (a, x) -> CASE
-      WHEN size(a) > 0 AND element_at(a, -1).stop >= x.start
-      THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'stop', greatest(element_at(a, -1).stop, x.stop))))
-      ELSE array_append(a, x) END)""")
+def _runs(ranges: DataFrame, name: str) -> DataFrame:
+    """doc_id, tid and an array of the ranges (start, stop) of each text, merged where they overlap or touch."""
+    by = Window.partitionBy("doc_id", "tid").orderBy("start", "stop")
+    reach = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    apart = ranges.select("doc_id", "tid", "start", "stop", F.when(F.col("start") <= reach, 0).otherwise(1).alias("new"))
+    runs = apart.select("doc_id", "tid", "start", "stop", F.sum("new").over(by).alias("run")).groupBy("doc_id", "tid", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return runs.groupBy("doc_id", "tid").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(name))
 
 
 def _bounded(lists: DataFrame, column: str) -> DataFrame:
@@ -81,8 +81,8 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = texts.select("doc_id", "tid", F.posexplode("hashes").alias("number", "hash"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tid", "number"))
     heads = materialize(each.groupBy("hash").agg(F.count("*").alias("n"), first.alias("head")).where("n > 1").select("hash", "head"))
-    wanted = each.join(heads.select("hash"), "hash", "left_semi").groupBy(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid")).agg(_runs("number", "number + 1").alias("wanted"))
-    wanted = _bounded(materialize(wanted), "wanted")
+    again = each.join(heads.select("hash"), "hash", "left_semi").select("doc_id", "tid", F.col("number").alias("start"), (F.col("number") + 1).alias("stop"))
+    wanted = _bounded(materialize(_runs(again, "wanted").withColumnsRenamed({"doc_id": "_doc", "tid": "_tid"})), "wanted")
     fetched = materialize(keyed.join(wanted, F.expr("doc_id <=> _doc AND tid = _tid")).select("doc_id", "tid", "text", "wanted").mapInArrow(
         _fetch, "doc_id long, tid binary, number int, hash long, chunk binary, start int, stop int"))
     at = F.expr("head.doc_id <=> doc_id AND head.tid = tid AND head.number = number")
@@ -90,7 +90,7 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = materialize(kept)  # so that the join deals both sides anew, and Spark can split a very common window
     # the next window of the same text shares a line with the first one
     again = fetched.join(kept, F.expr("hash = h AND chunk = first AND NOT (doc_id <=> d0 AND tid = t0 AND number <= n0 + 1)"))
-    gone = again.groupBy("doc_id", "tid").agg(_runs("start", "stop").alias("gone"))
+    gone = _runs(again.select("doc_id", "tid", "start", "stop"), "gone")
     return texts.select("doc_id", "tid", "n_lines"), materialize(gone.withColumn("n_removed", F.expr("aggregate(gone, 0L, (a, x) -> a + x.stop - x.start)")))
 
 
