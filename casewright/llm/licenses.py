@@ -84,14 +84,25 @@ DROPPED = (COPYRIGHT, r"(?m)^[^\n.;!?]*(?:copyright\s*(?:\(c\)|©)?|\(c\)|©)\s*
 NAMES = r"(?i)licen[sc]|permission|redistribut|copyright|creative commons|\bcc[ -]?(?:0|by)\b|public domain"
 
 
+#: What a text in lower case must hold for a pattern of DROPPED, or of SPELLINGS, to match: looked for first, as searching
+#: for a fixed string is far cheaper than running a pattern over every line.
+HOLDS = (("copyright", "(c)", "©"), ("copyright", "(c)", "©"), ("copyright", "(c)", "©"), ("all rights reserved",),
+    ("mit", "expat", "isc", "bsd", "apache", "unlicense", "general public", "mozilla public"))
+HOLDS_SPELLING = ("licence", "licens", "favour", "authoris", "merchantibility", "non-infringement", "sub-licens", "copyright owner", "https:", "&")
+
+
+def _if_holds(words, column: str, new: str) -> str:
+    return f"CASE WHEN {' OR '.join(f"contains({column}, '{w}')" for w in words)} THEN {new} ELSE {column} END"
+
+
 def canonical_sql(column: str) -> str:
-    """Spark SQL for the canonical form of a string column."""
-    out = f"lower({column})"
-    for pattern in DROPPED:
-        out = f"regexp_replace({out}, r'{pattern}', '')"
-    for pattern, to in SPELLINGS:
-        out = f"regexp_replace({out}, r'{pattern}', '{to}')"
-    return f"trim(regexp_replace({out}, r'[^\\p{{L}}\\p{{N}}]+', ' '))"
+    """Spark SQL for the canonical form of a string column. Each step is a lambda's variable, so that it is computed once."""
+    out = f"array(lower({column}))"
+    for pattern, words in zip(DROPPED, HOLDS):
+        out = f"transform({out}, c -> {_if_holds(words, 'c', f"regexp_replace(c, r'{pattern}', '')")})"
+    for (pattern, to), word in zip(SPELLINGS, HOLDS_SPELLING):
+        out = f"transform({out}, c -> {_if_holds([word], 'c', f"regexp_replace(c, r'{pattern}', '{to}')")})"
+    return f"trim(regexp_replace(element_at({out}, 1), r'[^\\p{{L}}\\p{{N}}]+', ' '))"
 
 
 def _runs_sql(lengths: dict[str, list[int]]) -> str:
