@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from . import more, queries, wider  # noqa: F401
+from . import cases, more, queries, wider  # noqa: F401
