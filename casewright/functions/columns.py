@@ -28,9 +28,13 @@ def lenient_double(x: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
 
 
+#: Words that stand for yes and no.
+YES, NO = ("true", "1", "yes", "y", "ok", "converged"), ("false", "0", "no", "n", "failed", "diverged")
+
+
 def lenient_bool(x: Column) -> Column:
     text = F.lower(F.trim(x))
-    return F.when(text.isin("true", "1", "yes", "y", "ok", "converged"), True).when(text.isin("false", "0", "no", "n", "failed", "diverged"), False)
+    return F.when(text.isin(*YES), True).when(text.isin(*NO), False)
 
 
 def voltage_class(kv: Column) -> Column:
@@ -63,10 +67,36 @@ def percent_of_rating(flow: Column, rating: Column, reported: Column | None = No
     return own if reported is None else F.coalesce(reported, own)
 
 
+#: Names of outages of an element between two buses, and at one bus.
+OUTAGE_TWO, OUTAGE_ONE = r"(?i)^\s*(?:BR|BRANCH|LINE|XF|TR)_(\d+)_(\d+)(?:_|\s*$)", r"(?i)^\s*(?:GN|GEN|G|LOAD|LD)_(\d+)(?:_|\s*$)"
+
+
 def outage_buses(name: Column) -> Column:
-    """Buses that a contingency name (BR_from_to_circuit or GN_bus_id) takes out."""
-    branch = F.array(F.regexp_extract(name, r"^BR_(\d+)_(\d+)_", 1), F.regexp_extract(name, r"^BR_(\d+)_(\d+)_", 2))
-    return F.transform(F.when(name.rlike(r"^BR_\d+_\d+_"), branch).when(name.rlike(r"^GN_\d+_"), F.array(F.regexp_extract(name, r"^GN_(\d+)_", 1))).otherwise(F.array()), lambda x: x.cast("int"))
+    """Buses that a contingency name (BR_from_to_circuit, GN_bus_id and the like) takes out."""
+    branch = F.array(F.regexp_extract(name, OUTAGE_TWO, 1), F.regexp_extract(name, OUTAGE_TWO, 2))
+    return F.transform(F.when(name.rlike(OUTAGE_TWO), branch).when(name.rlike(OUTAGE_ONE), F.array(F.regexp_extract(name, OUTAGE_ONE, 1))).otherwise(F.array()), lambda x: x.cast("int"))
+
+
+def end_area_label(area: Column, name: Column, shared: Column) -> Column:
+    """name (id) where several areas share the name, else the name, else the id."""
+    clean = F.nullif(F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", " ")), F.lit(""))
+    return F.coalesce(F.when(shared & area.isNotNull(), F.concat(clean, F.lit(" ("), area.cast("string"), F.lit(")"))), clean, area.cast("string"))
+
+
+def tie_flag(areas: Column) -> Column:
+    """Whether a facility's ends lie in two known areas."""
+    return F.size(F.array_distinct(F.filter(areas, lambda x: x.isNotNull() & (x != "") & (x != UNKNOWN)))) > 1
+
+
+def utilization_group(branch_type: Column, from_kv: Column, to_kv: Column, stored: Column) -> Column:
+    """Step group of a transformer, voltage class of the higher end of a line, else the stored class."""
+    own = voltage_class(F.greatest(from_kv, to_kv))
+    return F.when(branch_type.contains("_winding_transformer"), transformer_step(from_kv, to_kv)).when(own != UNKNOWN, own).otherwise(F.coalesce(F.nullif(stored, F.lit("")), F.lit(UNKNOWN)))
+
+
+def truthy(x: Column) -> Column:
+    """A lenient boolean; other text counts if it is a number that isn't zero."""
+    return F.coalesce(lenient_bool(x), F.coalesce(lenient_double(x), F.lit(0.0)) != 0)
 
 
 def search_tokens(text: Column) -> Column:

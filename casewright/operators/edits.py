@@ -32,6 +32,25 @@ def describe(before: DataFrame, after: DataFrame, keys: list[str], fields: list[
     return tall(before, "was").join(tall(after, "now"), [*keys, "field"]).where("NOT (was <=> now)")
 
 
+def generator_warnings(generators: DataFrame, buses: DataFrame) -> DataFrame:
+    """Generators (bus, st) in service at a load bus (type 1): the solver holds their output and doesn't let them hold the voltage."""
+    return generators.where("st = 1").join(buses.where("ide = 1").select("bus", "ide"), "bus")
+
+
+def scaled(buses: DataFrame, area: int, column: str, factor: float | None = None, change: float | None = None) -> DataFrame:
+    """The column of an area's live buses times factor, or changed by an amount in all, shared in proportion. A change that no
+    positive factor gives is refused."""
+    chosen = (F.col("area") == area) & (F.col("ide") != 4)
+    if factor is None:
+        total = buses.where(chosen).agg(F.sum(F.col(column).cast("decimal(18,5)")).cast("double")).first()[0]
+        if not total or (total + change) / total <= 0:
+            raise ValueError(f"{column} of area {area} is {total or 0}; it can't change by {change}")
+        factor = (total + change) / total
+    if factor <= 0:
+        raise ValueError("a factor must be positive")
+    return buses.withColumn(column, F.when(chosen, F.col(column) * factor).otherwise(F.col(column)))
+
+
 def area_by_name(areas: DataFrame, wanted: DataFrame) -> DataFrame:
     """name, area: the area of each wanted name: an equal name, else the only one of which either is the other's start."""
     w, a = wanted.select("name", F.lower(F.trim("name")).alias("w")), areas.select("area", F.lower(F.trim("area_name")).alias("a"))

@@ -57,11 +57,11 @@ def splitting(elements: DataFrame, tree: DataFrame) -> DataFrame:
     return inner.select("bus", "parent", "ckt")
 
 
-def cut_off(tree: DataFrame, buses: DataFrame, bridges: DataFrame) -> DataFrame:
+def cut_off(tree: DataFrame, buses: DataFrame, bridges: DataFrame, swing: bool = False) -> DataFrame:
     """For each splitting element: buses, load and generation of the part cut off and of the rest.
 
     The part cut off is the smaller side; of equal ones the one without a swing bus, else the one below in the tree.
-    Totals add up level by level from the deepest one.
+    Totals add up level by level from the deepest one. With swing, has_swing says whether the part cut off holds a swing bus.
     """
     exact = lambda c: F.col(c).cast("decimal(28,5)").alias(c)
     facts = buses.select("bus", F.lit(1).cast("long").alias("n"), exact("load_mw"), exact("generation_mw"), F.expr("CAST(ide = 3 AS BIGINT)").alias("swing"))
@@ -88,7 +88,14 @@ def cut_off(tree: DataFrame, buses: DataFrame, bridges: DataFrame) -> DataFrame:
     under = F.expr(f"n < {rest} OR (n = {rest} AND (swing = 0 OR all_swing - swing > 0))")
     part = lambda c, mine: F.when(under == F.lit(mine), F.col(c)).otherwise(F.col(f"all_{c}") - F.col(c))
     return sides.select(F.least("bus", "parent").alias("i"), F.greatest("bus", "parent").alias("j"), "ckt", part("n", True).alias("buses"), part("load_mw", True).cast("double").alias("load_mw"),
-        part("generation_mw", True).cast("double").alias("generation_mw"), part("n", False).alias("rest_buses"), part("load_mw", False).cast("double").alias("rest_load_mw"))
+        part("generation_mw", True).cast("double").alias("generation_mw"), part("n", False).alias("rest_buses"), part("load_mw", False).cast("double").alias("rest_load_mw"), *([(part("swing", True) > 0).alias("has_swing")] if swing else []))
+
+
+def with_status(parts: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Splitting outages (i, j, ckt) with the solver's status_code by the outage's name, in either direction."""
+    names = parts.select("i", "j", "ckt", F.explode(F.array(F.concat_ws("_", F.lit("BR"), "i", "j", "ckt"), F.concat_ws("_", F.lit("BR"), "j", "i", "ckt"))).alias("contingency"))
+    said = names.join(statuses, "contingency").groupBy("i", "j", "ckt").agg(F.min("status_code").alias("status_code"))
+    return parts.join(said, ["i", "j", "ckt"], "left")
 
 
 def near_elements(elements: DataFrame, hops: DataFrame) -> DataFrame:

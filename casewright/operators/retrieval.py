@@ -26,6 +26,12 @@ def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
     return hits.join(F.broadcast(df), "term").join(F.broadcast(stats)).groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def scoped(docs: DataFrame, wanted: str, columns: tuple[str, ...] = ("source",)) -> DataFrame:
+    """Documents whose file name or title holds the wanted text, without case."""
+    held = [F.lower(F.coalesce(F.col(c), F.lit(""))).contains(wanted.strip().lower()) for c in columns]
+    return docs.where(F.array_contains(F.array(*held), True))
+
+
 def cosine(vectors: DataFrame, query_id: int) -> DataFrame:
     """vec_id, similarity to one of the vectors, unrounded."""
     q = vectors.where(F.col("vec_id") == query_id).select(F.col("embedding").alias("q"))  # one row

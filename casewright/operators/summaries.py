@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.functions.columns import KEY
+from casewright.operators.ranking import running_sum
 
 THERMAL = 100.0
 
@@ -39,17 +40,18 @@ def contingency_summary(cases: DataFrame) -> DataFrame:
 
 
 def statistics(value: Column) -> dict[str, Column]:
-    """The nine group statistics; unknown values drop out of all but the count of rows."""
-    return {
-        "n": F.count(value), "total": F.sum(value.cast("decimal(18,5)")).cast("double"),
-        "mean": F.sum(value.cast("decimal(18,5)")).cast("double") / F.count(value), "median": F.percentile(value, F.lit(0.5)),
-        "low": F.min(value), "high": F.max(value), "sd": F.round(F.stddev_pop(value), 6), "variance": F.round(F.var_pop(value), 4),
-        "iqr": F.percentile(value, F.lit(0.75)) - F.percentile(value, F.lit(0.25)),
-    }
+    """The group statistics; unknown values drop out of all but the count of rows. quartiles are exact: one buffer of distinct
+    values and counts a group."""
+    total = F.sum(value.cast("decimal(18,5)")).cast("double")
+    return {"n": F.count(value), "total": total, "mean": total / F.count(value), "quartiles": F.percentile(value, F.array(*map(F.lit, (0.25, 0.5, 0.75)))),
+        "low": F.min(value), "high": F.max(value), "sd": F.round(F.stddev_pop(value), 6), "variance": F.round(F.var_pop(value), 4)}
 
 
 def by_group(df: DataFrame, group: str, value: Column) -> DataFrame:
-    return df.groupBy(F.coalesce(F.col(group).cast("string"), F.lit("unknown")).alias("label")).agg(*(c.alias(n) for n, c in statistics(value).items()))
+    """label and the nine statistics."""
+    found = df.groupBy(F.coalesce(F.col(group).cast("string"), F.lit("unknown")).alias("label")).agg(*(c.alias(n) for n, c in statistics(value).items()))
+    q = lambda i: F.col("quartiles")[i]
+    return found.select("label", "n", "total", "mean", q(1).alias("median"), "low", "high", "sd", "variance", (q(2) - q(0)).alias("iqr"))
 
 
 def interface_flow(cases: DataFrame, buses: DataFrame, one: int, other: int) -> DataFrame:
@@ -71,5 +73,5 @@ def quantile_bins(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
 def gini(df: DataFrame, value: str) -> DataFrame:
     """Gini coefficient of non-negative values. Equal values are counted first, so the ordered pass sees distinct values."""
     v = df.where(f"{value} >= 0").groupBy(F.col(value).cast("decimal(18,5)").alias("v")).count()
-    ranked = v.withColumn("upto", F.expr("sum(count) OVER (ORDER BY v)"))
+    ranked = running_sum(v, ["v"], "count", "upto")
     return ranked.agg(F.round(F.expr("2 * sum(v * count * (upto - (count - 1) / 2)) / (sum(count) * sum(v * count)) - (sum(count) + 1) / sum(count)").cast("double"), 6).alias("gini"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from casewright.operators.ranking import running_sum
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key. One aggregation with partial results instead of a sort of every group."""
@@ -92,6 +94,6 @@ def top_share(df: DataFrame, value: str, fraction: float) -> DataFrame:
     """Share of the total that the largest ceil(rows * fraction) values hold. Equal values are counted first, so the
     ordered pass sees distinct values only."""
     v = df.where(F.col(value) >= 0).groupBy(F.col(value).cast("decimal(18,5)").alias("v")).agg(F.count("*").alias("c"))
-    ranked = v.withColumn("before", F.expr("sum(c) OVER (ORDER BY v DESC) - c")).join(F.broadcast(v.agg(F.ceil(F.sum("c") * F.lit(fraction)).alias("k"), F.sum(F.col("v") * F.col("c")).alias("total"))))
+    ranked = running_sum(v, [F.desc("v")], "c", "upto").withColumn("before", F.col("upto") - F.col("c")).join(F.broadcast(v.agg(F.ceil(F.sum("c") * F.lit(fraction)).alias("k"), F.sum(F.col("v") * F.col("c")).alias("total"))))
     held = F.greatest(F.lit(0), F.least(F.col("c"), F.col("k") - F.col("before")))
     return ranked.agg(F.round((F.sum(F.col("v") * held) / F.max("total")).cast("double"), 6).alias("share"))

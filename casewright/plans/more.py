@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from casewright.functions import columns as C
-from casewright.operators import network, retrieval, summaries, tables
+from casewright.operators import network, ranking, retrieval, summaries, tables
 from casewright.plans.queries import _ABS, _DEC, _FAC, _KEYS, _stats, query
 from casewright.sources import files
 
@@ -32,7 +32,8 @@ def thermal_bottlenecks(spark, sf_dir):
 
 @query(f"SELECT {_KEYS}, value, row_number() OVER (ORDER BY value, {_KEYS}) AS position FROM ({_FAC}) WHERE rate > 0")
 def utilization_curve(spark, sf_dir):
-    return _facilities(spark).where("rate > 0").select(*C.KEY, "value").withColumn("position", F.row_number().over(Window.orderBy("value", *C.KEY)).cast("long"))
+    rated = _facilities(spark).where("rate > 0").select(*C.KEY, "value")
+    return ranking.numbered(rated, ["value", *C.KEY], "position")
 
 
 @query("SELECT count(CASE WHEN v_from_pu < 0.95 OR v_to_pu < 0.95 THEN 1 END) AS low_cases, count(CASE WHEN v_from_pu > 1.02 OR v_to_pu > 1.02 THEN 1 END) AS high_cases, min(least(v_from_pu, v_to_pu)) AS lowest, max(greatest(v_from_pu, v_to_pu)) AS highest FROM cases")
@@ -188,7 +189,7 @@ def vector_norms(spark, sf_dir):
 def scan_cases_typed(spark, sf_dir):
     """Cases written as CSV with other header names, and read back through the aliases."""
     path = network.shared_path(spark, "csv")
-    spark.table("cases").selectExpr("event_idx AS `Event`", "contingency AS `Contingency Name`", "from_bus AS `From Bus`", "to_bus AS `To-Bus`", "line_id AS `CKT`", "rate_mva AS `Rating`", "loading_percent AS `Loading`", "viol AS `Violation`").write.option("header", True).csv(path)
+    spark.table("cases").selectExpr("event_idx AS `Event Index`", "contingency AS `Contingency Name`", "from_bus AS `From Bus`", "to_bus AS `J Bus`", "line_id AS `CKT`", "rate_mva AS `Rating`", "loading_percent AS `Loading`", "viol AS `Violation`").write.option("header", True).csv(path)
     return files.accepted(files.read_flat(spark, path)).select(F.col("event_idx").cast("int").alias("event_idx"), F.col("from_bus").cast("int").alias("from_bus"), F.col("to_bus").cast("int").alias("to_bus"), "line_id", "loading_percent", "rate_mva")
 
 
@@ -199,10 +200,10 @@ def reject_counts(spark, sf_dir):
     return files.reject_counts(files.read_flat(spark, path))
 
 
-@query("SELECT event_id AS contingency, true AS success, CAST(NULL AS VARCHAR) AS violation, CAST(NULL AS VARCHAR) AS warning FROM events WHERE event_type = 'click'")
+@query("SELECT event_id AS contingency, true AS success, 'none' AS violation, false AS isolated FROM events WHERE event_type = 'click' AND event_id % 2 = 0 UNION ALL SELECT event_id, false, 'voltage', true FROM events WHERE event_type = 'click' AND event_id % 2 = 1")
 def success_log(spark, sf_dir):
     path = network.shared_path(spark, "log")
-    spark.table("solver_lines").select(F.col("line").alias("value")).write.text(path)
+    spark.table("solver_lines").select(F.expr("CASE WHEN line LIKE 'contingency%' AND line_no % 2 = 1 THEN concat(upper(replace(line, 'true', 'false')), ' violation: Voltage warning: ISOLATED') ELSE line END").alias("value")).write.text(path)
     return files.success_log(spark.read.text(path))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from casewright.functions import columns as C
-from casewright.operators import network, retrieval, summaries
+from casewright.operators import edits, network, ranking, retrieval, summaries
 from casewright.sources import fixtures
 from casewright.streaming import streams
 
@@ -167,7 +167,8 @@ _FAC = f"SELECT {_KEYS}, max({_ABS}) AS value, max(rate_mva) AS rate FROM cases
 def rank_facilities(spark, sf_dir):
     v = F.when(F.max("rate_mva") > 0, F.max(F.abs("loading_percent")))
     out = spark.table("cases").groupBy(*C.KEY).agg(v.alias("value"))
-    return out.withColumn("rank", F.when(F.col("value").isNotNull(), F.row_number().over(Window.orderBy(F.col("value").desc_nulls_last(), *C.KEY))).cast("long"))
+    ranked = ranking.numbered(out, [F.col("value").desc_nulls_last(), *C.KEY], "rank")
+    return ranked.withColumn("rank", F.when(F.col("value").isNotNull(), F.col("rank")))
 
 
 @query(f"SELECT {_KEYS}, rate_mva, raw_branch_type FROM branch_metadata JOIN buses f ON f.bus_id = from_bus JOIN buses t ON t.bus_id = to_bus WHERE raw_branch_type IN ('nontransformer_branch', 'two_winding_transformer_branch') AND greatest(f.base_kv, t.base_kv) >= 50 AND rate_mva > 0")
@@ -293,8 +294,7 @@ def raw_totals(spark, sf_dir):
 
 @query("SELECT bus, CASE WHEN area = 3 AND ide <> 4 THEN load_mw * 1.5 ELSE load_mw END AS load_mw FROM net_bus")
 def edit_scale(spark, sf_dir):
-    chosen = (F.col("area") == 3) & (F.col("ide") != 4)
-    return spark.table("net_bus").select("bus", F.when(chosen, F.col("load_mw") * 1.5).otherwise(F.col("load_mw")).alias("load_mw"))
+    return edits.scaled(spark.table("net_bus"), 3, "load_mw", factor=1.5).select("bus", "load_mw")
 
 
 @query("SELECT i, j, ckt, st FROM net_element WHERE NOT (i % 11 = 0 AND ckt = '1')")

@@ -42,7 +42,7 @@ def area_dimension(spark, sf_dir):
     return named.groupBy("area").agg(F.min_by(F.when(F.trim("area_name") != "", F.col("area_name")), F.when(F.trim("area_name") != "", F.col("bus_id"))).alias("area_name"))
 
 
-@query(r"SELECT run_id, CAST(sum(len(regexp_extract_all(lower(line), '\b(success|converged|true)\b'))) AS BIGINT) AS success_like, CAST(sum(len(regexp_extract_all(lower(line), '\b(fail|failed|diverged|false)\b'))) AS BIGINT) AS failure_like FROM solver_lines GROUP BY run_id")
+@query(r"SELECT run_id, CAST(sum(len(regexp_extract_all(lower(line), '\b(true|success|pass|passed|1)\b'))) AS BIGINT) AS success_like, CAST(sum(len(regexp_extract_all(lower(line), '\b(false|failed|fail|0)\b'))) AS BIGINT) AS failure_like FROM solver_lines GROUP BY run_id")
 def token_fallback(spark, sf_dir):
     return files.token_counts(spark.table("solver_lines"), "run_id", "line")
 

@@ -7,21 +7,38 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: JSON is opened this many levels deep at most; deeper values stay as one JSON text.
-LEVELS = 12
+from casewright.functions.names import heading
+from casewright.operators.network import settle
 
 
-def json_leaves(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, path, value: a row for each value that is neither an object nor an array. Text that isn't JSON has none."""
-    now = docs.select(key, F.lit("$").alias("path"), F.try_parse_json(text).alias("v")).where("v IS NOT NULL")
-    for _ in range(LEVELS):
+
+def _opened(now: DataFrame, key: str) -> DataFrame:
+    """key, path, value of the leaves below variants v, level by level: as deep as the deepest document goes, a job a level."""
+    leaves = None
+    while True:
         kind = "schema_of_variant(v)"
-        inner = now.withColumn("_map", F.expr(f"CASE WHEN {kind} LIKE 'OBJECT%' THEN CAST(v AS map<string,variant>) END")).withColumn("_list", F.expr(f"CASE WHEN {kind} LIKE 'ARRAY%' THEN CAST(v AS array<variant>) END"))
-        parts = F.expr("""CASE WHEN _map IS NOT NULL THEN transform(map_entries(_map), e -> named_struct('path', concat(path, '.', e.key), 'v', e.value))
-          WHEN _list IS NOT NULL THEN transform(_list, (x, i) -> named_struct('path', concat(path, '[', i, ']'), 'v', x))
-          ELSE array(named_struct('path', path, 'v', v)) END""")
+        held = settle(now.withColumn("_kind", F.expr(f"CASE WHEN {kind} LIKE 'OBJECT%' THEN 'o' WHEN {kind} LIKE 'ARRAY%' THEN 'a' END")).select(key, "path", "_kind", F.to_json("v").alias("_json"), F.expr("CASE WHEN _kind IS NULL THEN CAST(v AS string) END").alias("value")))
+        here = held.where("_kind IS NULL").select(key, "path", "value")
+        leaves = here if leaves is None else leaves.union(here)
+        inner = held.where("_kind IS NOT NULL").withColumn("v", F.parse_json("_json"))
+        if inner.isEmpty():
+            return leaves
+        parts = F.expr("""CASE WHEN _kind = 'o' THEN transform(map_entries(CAST(v AS map<string,variant>)), e -> named_struct('path', concat(path, '.', e.key), 'v', e.value))
+          ELSE transform(CAST(v AS array<variant>), (x, i) -> named_struct('path', concat(path, '[', i, ']'), 'v', x)) END""")
         now = inner.select(key, F.explode(parts).alias("e")).select(key, "e.path", "e.v")
-    return now.select(key, "path", F.col("v").cast("string").alias("value"))
+
+
+def json_leaves(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, path, value: a row for each value that is neither an object nor an array. Text that isn't JSON has none."""
+    return _opened(docs.select(key, F.lit("$").alias("path"), F.try_parse_json(text).alias("v")).where("v IS NOT NULL"), key)
+
+
+def xml_leaves(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, path, value: a row for each attribute (@name) and text of an XML document; repeated siblings are numbered from 1."""
+    found = _opened(docs.select(key, F.lit("").alias("path"), F.expr(f"from_xml({text}, 'variant')").alias("v")).where("v IS NOT NULL"), key)
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"\._VALUE$", ""), r"\._([^.\[]+)$", ".@$1"), r"^\.", "")
+    numbered = F.expr(r"aggregate(regexp_extract_all(p, '([^\\[]+)(?:\\[(\\d+)\\])?', 0), '', (a, x) -> concat(a, CASE WHEN x RLIKE '\\[' THEN concat(substring_index(x, '[', 1), '[', int(regexp_extract(x, '\\[(\\d+)', 1)) + 1, ']') ELSE x END))")
+    return found.select(key, path.alias("p"), "value").select(key, numbered.alias("path"), "value").where("value IS NOT NULL")
 
 
 #: What a page's text loses or turns into, in this order.
@@ -51,22 +68,27 @@ def _html_sql() -> str:
 
 HTML_SQL = _html_sql()
 
-#: A passage ends before a heading once it has LEAST characters, and before it would exceed MOST. Longer lines are cut.
+#: A passage ends before a heading once it has LEAST characters, and before a line that would take it beyond MOST.
 LEAST, MOST = 200, 1200
 
 
 def passages(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, passage (from 1), body. Each document is folded over its own lines; every character of a line is in one passage."""
-    pieces = F.expr(f"""flatten(transform(split(coalesce({text}, ''), '\\n', -1), l ->
-        transform(sequence(0, greatest(0, int((length(l) - 1) / {MOST}))), i -> substring(l, i * {MOST} + 1, {MOST}))))""")
-    fold = f"""aggregate(_pieces, named_struct('done', cast(array() AS array<string>), 'open', cast(NULL AS string)),
-      (a, l) -> CASE WHEN a.open IS NULL THEN named_struct('done', a.done, 'open', l)
-        WHEN length(a.open) + 1 + length(l) > {MOST} OR (startswith(l, '#') AND length(a.open) >= {LEAST})
-        THEN named_struct('done', array_append(a.done, a.open), 'open', l)
-        ELSE named_struct('done', a.done, 'open', concat(a.open, '\\n', l)) END,
-      a -> filter(array_append(a.done, a.open), x -> trim(x) <> ''))"""
-    found = docs.select(key, pieces.alias("_pieces")).select(key, F.posexplode(F.expr(fold)).alias("at", "body"))
-    return found.select(key, (F.col("at") + 1).alias("passage"), "body")
+    """key, passage (from 1), section, body. Each document is folded over its own lines. A passage's section is the latest heading
+    before its first line of text."""
+    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda l: F.struct(F.rtrim(l).alias("l"), heading(l).alias("h")))
+    state = "named_struct('done', {done}, 'open', {open}, 'size', {size}, 'section', {section}, 'start', {start}, 'only', {only})"
+    empty = "cast(array() AS array<struct<section:string,body:string>>)"
+    closed = "array_append(a.done, named_struct('section', a.start, 'body', a.open))"
+    now = "CASE WHEN x.h <> '' THEN x.h ELSE a.section END"
+    # cut at a heading: the passage so far keeps its section; cut for length: the next one starts in the section of now
+    cut = f"(a.open IS NOT NULL AND ((x.h <> '' AND a.size >= {LEAST}) OR a.size + length(x.l) > {MOST}))"
+    fold = f"""aggregate(_lines, {state.format(done=empty, open="cast(NULL AS string)", size="0", section="''", start="''", only="true")},
+      (a, x) -> CASE WHEN {cut} THEN {state.format(done=closed, open="x.l", size="length(x.l) + 1", section=now, start=now, only="(trim(x.l) = '' OR x.h <> '')")}
+        ELSE {state.format(done="a.done", open="CASE WHEN a.open IS NULL THEN x.l ELSE concat(a.open, chr(10), x.l) END", size="a.size + length(x.l) + 1", section=now,
+          start="CASE WHEN x.h <> '' AND a.only THEN x.h ELSE a.start END", only="a.only AND (trim(x.l) = '' OR x.h <> '')")} END,
+      a -> filter(array_append(a.done, named_struct('section', a.start, 'body', a.open)), p -> trim(BOTH concat(' ', chr(10), chr(9), chr(13)) FROM p.body) <> ''))"""
+    found = docs.select(key, lines.alias("_lines")).select(key, F.posexplode(F.expr(fold)).alias("at", "p"))
+    return found.select(key, (F.col("at") + 1).alias("passage"), "p.section", F.trim(F.col("p.body"), F.lit(" \n\t\r")).alias("body"))
 
 
 def refresh(found: DataFrame, recorded: DataFrame) -> DataFrame:

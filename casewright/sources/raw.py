@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from casewright.functions.columns import lenient_double, lenient_int
 
@@ -79,7 +80,7 @@ def lines(cases: DataFrame) -> DataFrame:
     return out.withColumn("ordinal", F.row_number().over(Window.partitionBy("file", "part").orderBy("n")) - 1)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def _record_of(flags: pd.Series) -> pd.Series:
     """For the lines of a transformer section, in order, with 1 where the third field names a bus: each line's record."""
     out = []

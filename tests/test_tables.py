@@ -39,22 +39,22 @@ def test_group_any_names_blank_labels_and_counts_text(spark):
 
 
 def test_roles_and_aliases_of_headers():
-    assert files.role(["From Bus", "To-Bus", "CKT", "Loading"]) == "flat"
-    assert files.role(["event_idx", "converged"]) == "convergence"
-    assert files.role(["bus_id", "bus_name"]) == "bus"
+    assert files.role(["From Bus", "J-Bus", "CKT", "Loading (pct)"]) == "flat"
+    assert files.role(["Event Index", "event", "converged", "Status"]) == "convergence"
+    assert files.role(["bus_id", "bus_name"]) == "unknown" and files.role(["bus_id", "base-kV", "Area ID"]) == "bus"
     assert files.role(["x"]) == "unknown"
     assert files.canonical_columns(["FROM_BUS", "Circuit ID"]) == {"from_bus": "FROM_BUS", "line_id": "Circuit ID"}
 
 
 def test_flat_rows_keep_labels_and_reject_what_is_no_number(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("From,To,CKT,Loading,other\n1.0,2,01,55.5,q\n1,2,'2 ',nan,q\n1,,A,3,q\n")
+    (tmp_path / "a.csv").write_text("i bus,J-Bus,CKT,Loading,event\n1.0,2,01,55.5,q\n1,2,'2 ',nan,q\n1,,A,3,q\n")
     rows = files.read_flat(spark, str(tmp_path / "a.csv"))
     assert [(r.from_bus, r.to_bus, r.line_id, r.section, r.loading_percent, r.viol) for r in files.accepted(rows).collect()] == [(1, 2, "01", "", 55.5, 0)]
     assert tuple(files.reject_counts(rows).first()) == (3, 1, 2, 0, 1, 0, 1)
 
 
 def test_missing_required_columns_are_named(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("From,To\n1,2\n")
+    (tmp_path / "a.csv").write_text("ibus,jbus\n1,2\n")
     with pytest.raises(ValueError, match="line_id, loading_percent"):
         files.read_flat(spark, str(tmp_path / "a.csv"))
 
@@ -65,8 +65,8 @@ def test_whitespace_table_rejects_other_widths_and_types(spark):
 
 
 def test_success_log(spark):
-    lines = spark.createDataFrame([("contingency: 4 success: false violation: V warning: W",), ("contingency: 5 success: true",), ("other",), (None,)], "value string")
-    assert _rows(files.success_log(lines)) == [(4, False, "V", "W"), (5, True, None, None)]
+    lines = spark.createDataFrame([("contingency: 4 success: false violation: V warning: W",), ("contingency: 5 success: true",), ("CONTINGENCY: 6 Success: TRUE warning: Isolated",), ("other",), (None,)], "value string")
+    assert _rows(files.success_log(lines)) == [(4, False, "v", False), (5, True, "none", False), (6, True, "none", True)]
 
 
 def test_findings(spark):
