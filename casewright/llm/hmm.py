@@ -4,8 +4,9 @@ A word's class is itself for the WORDS most frequent training words, else one of
 emits a class, the class emits the word by its smoothed training count, so the counts of all words count in full
 while transitions and emissions keep a fixed size (STATES x classes). Baum-Welch: every partition runs forward and
 backward over all its training sequences (in segments of SEGMENT tokens; a segment that continues a document has its own
-start distribution), expected counts are summed across partitions by position, and the few thousand sums make the next
-parameters. Scores are exact: the scaled forward recursion over the whole document, never cut.
+start distribution, so what the state knew before a cut is not trained across it), expected counts are summed across
+partitions by position, and the few thousand sums make the next parameters. States start out sticky, so that they settle on
+kinds of text. Scores are exact: the scaled forward recursion over the whole document, never cut.
 
 Word counts are exact over all training documents. Those of the COMMON most frequent words (a fixed bound) go to every
 task; the others are joined by word, once per document and word.
@@ -25,57 +26,58 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import materialize, text_of, word_hashes
 
-STATES, WORDS, TIED, COMMON, ROUNDS, SEGMENT, SEED = 4, 2048, 512, 131072, 4, 128, 3
+STATES, WORDS, TIED, COMMON, ROUNDS, SEGMENT, SEED, STICKY = 8, 2048, 512, 131072, 5, 128, 3, 400
 CLASSES = WORDS + TIED + 1  # the last is the end
 #: The end token's hash; white space is never part of a word.
 END = xxhash.xxh3_64_intdigest(b"\n")
 SMOOTH = 0.01
 
 
-class Vocabulary(dict):
-    """word -> row of the arrays h (hash), cls (class) and c (count, 0 if not COMMON); emptied when full."""
+#: Class of a word that isn't one of the WORDS: by its last byte, and by its last two.
+_ONE = np.array([WORDS + zlib.crc32(bytes([i])) % TIED for i in range(256)], np.uint16)
+_TWO = np.array([WORDS + zlib.crc32(bytes([i >> 8, i & 255])) % TIED for i in range(65536)], np.uint16)
 
-    limit = 300_000
 
-    def __init__(self, common: np.ndarray, counts: np.ndarray, ranks: np.ndarray):
-        self.common, self.counts, self.ranks = common, counts, ranks
-        self.h, self.cls, self.c = np.zeros(self.limit, np.uint64), np.zeros(self.limit, np.uint16), np.zeros(self.limit, np.int64)
+def tied(words: list[bytes]) -> np.ndarray:
+    """The ending class of each word."""
+    if not words:
+        return np.zeros(0, np.uint16)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    laid, end = np.frombuffer(b" ".join(words), np.uint8), np.cumsum(size + 1) - 2
+    last, before = laid[end], laid[np.maximum(end - 1, 0)]
+    return np.where(size > 1, _TWO[before.astype(np.int64) << 8 | last], _ONE[last])
 
-    def __missing__(self, word: bytes) -> int:
-        i = self[word] = len(self)
-        h = xxhash.xxh3_64_intdigest(word)
-        at = int(np.searchsorted(self.common, np.uint64(h)))
-        hit = at < len(self.common) and int(self.common[at]) == h
-        self.h[i], self.c[i] = h, self.counts[at] if hit else 0
-        self.cls[i] = self.ranks[at] if hit and self.ranks[at] < WORDS else tied(word)
-        return i
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) + len(words) > self.limit:
-            self.clear()
-            if len(words) > self.limit:  # one huge text: room for all of it, at most its own size
-                self.h, self.cls, self.c = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint16), np.zeros(len(words), np.int64)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+class Vocabulary:
+    """The COMMON words by hash, with their counts and ranks."""
 
+    def __init__(self, common: np.ndarray, counts: np.ndarray, ranks: np.ndarray):
+        self.common, self.counts, self.ranks = common, counts, ranks
 
-def tied(word: bytes) -> int:
-    return WORDS + zlib.crc32(word[-2:]) % TIED
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, class and count (0 if not COMMON) of each word."""
+        h = word_hashes(words)
+        cls, c = tied(words), np.zeros(len(h), np.int64)
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, h), len(self.common) - 1)
+            hit = np.flatnonzero(self.common[at] == h)
+            at = at[hit]
+            c[hit] = self.counts[at]
+            top = self.ranks[at] < WORDS
+            cls[hit[top]] = self.ranks[at[top]].astype(np.uint16)
+        return h, cls, c
 
 
 def _count(batches):
     """Counts of the words of training documents, summed per batch: (h, cls of an infrequent word, n)."""
     for b in batches:
-        seen: dict[bytes, int] = {}
-        ends = 0
+        words, ends = [], b.num_rows
         for text in b.column("text").to_pylist():
-            ends += 1
-            for w in text.lower().split():
-                seen[w] = seen.get(w, 0) + 1
-        h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in seen), np.uint64, len(seen))
-        cls = np.fromiter(map(tied, seen), np.int32, len(seen))
-        n = np.fromiter(seen.values(), np.int64, len(seen))
+            words += text.lower().split()
+        h, first, n = np.unique(word_hashes(words), return_index=True, return_counts=True)
+        cls = tied([words[i] for i in first]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(h, np.uint64(END)).view(np.int64)), pa.array(np.append(cls, np.int32(CLASSES - 1))), pa.array(np.append(n, ends))], ["h", "cls", "n"])
 
 
@@ -110,15 +112,13 @@ def _encode(t: Counts):
         for b in batches:
             cols = [[] for _ in range(7)]
             for text in b.column("text").to_pylist():
-                i = vocabulary.of(text.lower().split())
-                cls, c = vocabulary.cls[i], vocabulary.c[i]
-                own = c > 0
+                h, cls, c = vocabulary.of(text.lower().split())
+                own, loose = c > 0, cls >= WORDS
                 logs = np.log10(c[own] + 0.5)
-                loose = cls >= WORDS
-                rare, n = np.unique(vocabulary.h[i[~own]], return_counts=True)
-                base = logs.sum() + np.log10(t.end + 0.5) - t.log_z * (len(i) + 1)
-                word = np.log10(vocabulary.c[i[own & loose]] + 0.5).sum() - t.log_d[cls[loose]].sum()
-                row = (len(i) + 1, int(own.sum()) + (t.end > 0), float(base), float(word), np.append(cls, np.uint16(CLASSES - 1)).astype("<u2").tobytes(), rare.view(np.int64), n.astype(np.int32))
+                rare, n = np.unique(h[~own], return_counts=True)
+                base = logs.sum() + np.log10(t.end + 0.5) - t.log_z * (len(h) + 1)
+                word = np.log10(c[own & loose] + 0.5).sum() - t.log_d[cls[loose]].sum()
+                row = (len(h) + 1, int(own.sum()) + (t.end > 0), float(base), float(word), np.append(cls, np.uint16(CLASSES - 1)).astype("<u2").tobytes(), rare.view(np.int64), n.astype(np.int32))
                 for col, x in zip(cols, row):
                     col.append(x)
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
@@ -133,7 +133,8 @@ class Model:
         k = STATES
         if sums is None:
             rng = np.random.default_rng(SEED)
-            sums = np.concatenate([np.ones(2 * k), rng.uniform(0.5, 1.5, k * k), rng.uniform(0.5, 1.5, k * CLASSES)])
+            # states that last, and emissions far enough apart that documents of a kind soon share one
+            sums = np.concatenate([np.ones(2 * k), (np.eye(k) * STICKY + rng.uniform(0.5, 1.5, (k, k))).ravel(), rng.exponential(1.0, k * CLASSES)])
         start, trans, emit = np.split(sums + SMOOTH, [2 * k, 2 * k + k * k])
         norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
         self.start, self.trans = norm(start.reshape(2, k), 1), norm(trans.reshape(k, k), 1)

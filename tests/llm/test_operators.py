@@ -312,10 +312,44 @@ def test_language_model(docs):
 
 def test_forward_is_exact():
     m, cls = hmm.Model(), np.array([5, 9, hmm.CLASSES - 1])
-    total = sum(m.start[0][a] * m.emit[5, a] * m.trans[a, b] * m.emit[9, b] * m.trans[b, c] * m.emit[-1, c] for a in range(4) for b in range(4) for c in range(4))
+    total = sum(m.start[0][a] * m.emit[5, a] * m.trans[a, b] * m.emit[9, b] * m.trans[b, c] * m.emit[-1, c] for a in range(hmm.STATES) for b in range(hmm.STATES) for c in range(hmm.STATES))
     assert m.log10(cls, np.array([3]))[0] == pytest.approx(log10(total))
 
 
+def test_held_out_text_scores_above_its_base(spark):
+    rows = hmm.score(spark.read.parquet(f"{SF}/documents.parquet")).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert (rows.s - rows.b) / rows.n > 0.1
+
+
+def test_score_by_force(spark, docs):
+    """The path over classes and the words within them, summed state by state, with the model that training gives."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.pmod(F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1).alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    vocabulary = rows.where("NOT held_out").select("text").mapInArrow(hmm._count, "h long, cls int, n long").groupBy("h").agg(F.min("cls").alias("cls"), F.sum("n").alias("c")).persist()
+    t = hmm.Counts(vocabulary)
+    model = hmm.train(rows.mapInArrow(hmm._encode(t), hmm.ENCODED).persist())
+    count = Counter()
+    for i, text, _ in ROWS:
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1:
+            count.update([w.encode() for w in words(lower(text))])
+    order = sorted(count, key=lambda w: (-count[w], int(hmm.word_hashes([w]).view(np.int64)[0])))
+    own = {w: k for k, w in enumerate(order[: hmm.WORDS])}
+    cls = lambda w: own[w] if w in own else int(hmm.tied([w])[0])
+    size, kinds = Counter(), Counter()
+    for w in order[hmm.WORDS :]:
+        size[cls(w)] += count[w]
+        kinds[cls(w)] += 1
+    for r in (r for r in hmm.score(docs).collect() if r.n_tokens < 100):
+        text = next(x for i, x, _ in ROWS if i == r.doc_id)
+        seq = [w.encode() for w in words(lower(text))]
+        total, alpha = 0.0, None
+        for c in [*map(cls, seq), hmm.CLASSES - 1]:
+            alpha = (model.start[0] if alpha is None else alpha @ model.trans) * model.emit[c]
+            total += log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+        within = sum(log10((count[w] + 0.5) / (size[cls(w)] + 0.5 * (kinds[cls(w)] + 1))) for w in seq if w not in own)
+        assert r.score == pytest.approx(total + within)
+
+
 def test_training_raises_likelihood():
     r = np.random.default_rng(1)
     seq = np.concatenate([np.tile([3, 7], 40), np.tile([11, 12, 13], 30)])
