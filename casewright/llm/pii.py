@@ -1,9 +1,11 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Regex, gazetteer, context and structure labelers vote on candidate spans. Expectation-maximisation over the counts of
-vote patterns (at most 16 patterns for each of 4 kinds) estimates each labeler's reliability; the posteriors are soft
-labels on which a naive Bayes span classifier is trained, which then decides on the candidates beyond the base
-patterns. The base spans themselves always stay.
+Labelers vote on candidate spans: a gazetteer of endings and prefixes, cue words before and after, no counter-cue before
+(order numbers, versions and the like), and a strong shape. Expectation-maximisation over the counts of vote patterns (at most
+32 for each of 4 kinds) estimates each labeler's reliability; the posteriors are soft labels on which a naive Bayes span
+classifier is trained. It sees other things than the votes: shape, size, the characters around the span and the kind of word
+that leads to it. It decides on the candidates beyond the base patterns. Whether a candidate is a base match is no vote, and the
+base spans themselves always stay. Where a corpus holds no candidates beyond the base, as the given tables, none is added.
 
 Defined cases: a null text is empty; an empty text has no span; every input row gives one output row, repeated rows
 included; an empty table gives an empty result; other columns of the input are ignored.
@@ -39,18 +41,31 @@ GAZETTEER = {
     "card": r"^(?:4|5[1-5]|2[2-7]|3[4-7]|6011|65)",
     "phone": r"^\+(?:1|7|2[07]|3[0-69]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|^\(?[2-9][0-9]{2}",
 }
-LABELERS = 4
-ROUNDS = 30
+#: Words after a span that confirm it, words before it that speak against it, and strong shapes.
+AFTER = r"^[^\p{L}\p{N}]{0,3}(?:mobile|cell|fax|office|home|work|direct|visa|amex|mastercard|is my|or email|or call)"
+COUNTER = r"(?:order|invoice|version|ver\.|release|build|ref|serial|isbn|doi|figure|table|section|page|case|ticket|part|model|sku|no\.|#)[^\p{L}\p{N}]{0,3}(?:[\p{L}]{1,8}[^\p{L}\p{N}]{1,2})?$"
+SHAPE = {
+    "email": r"(?i)[(\[]dot[)\]]|\.[a-z]{2,6}$",
+    "ip": r"^(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}$|:",
+    "card": r"^[0-9]{4}(?:[\x20._/-][0-9]{4}){3}$|^[0-9]{15,16}$",
+    "phone": r"^\+|^\(|^[2-9][0-9]{2}([.-])[0-9]{3}\1",
+}
+LABELERS, ROUNDS, SHAPES = 5, 30, 64
+#: Matches laid end to end by so many at a time: growing one array match by match would copy it each time.
+STRIDE = 64
+_SPAN = "array<struct<s:int,e:int,m:string>>"
 
 
 def _spans(rx: str) -> str:
     """SQL: spans (s, e, m) of rx in column t, by code point; matches and the gaps between them are laid end to end."""
-    return f"""CASE WHEN t RLIKE r'{rx}' THEN aggregate(
-      zip_with(split(t, r'{rx}', -1), regexp_extract_all(t, r'{rx}', 0), (g, m) -> named_struct('g', char_length(g), 'm', m)),
-      named_struct('p', 0, 'a', cast(array() AS array<struct<s:int,e:int,m:string>>)),
-      (z, x) -> CASE WHEN x.m IS NULL THEN z ELSE named_struct('p', z.p + x.g + char_length(x.m),
-        'a', array_append(z.a, named_struct('s', z.p + x.g, 'e', z.p + x.g + char_length(x.m), 'm', x.m))) END,
-      z -> z.a) ELSE cast(array() AS array<struct<s:int,e:int,m:string>>) END"""
+    step = f"""(z, x) -> CASE WHEN x.m IS NULL THEN z ELSE named_struct('p', z.p + x.g + char_length(x.m),
+        'a', array_append(z.a, named_struct('s', z.p + x.g, 'e', z.p + x.g + char_length(x.m), 'm', x.m))) END"""
+    some = f"aggregate(slice(w, {STRIDE} * k + 1, {STRIDE}), named_struct('p', z.p, 'a', cast(array() AS {_SPAN})), {step})"
+    laid = f"""aggregate(sequence(0, size(w) DIV {STRIDE}), named_struct('p', 0, 'a', cast(array() AS array<{_SPAN}>)),
+      (z, k) -> element_at(transform(array({some}), y -> named_struct('p', y.p, 'a', array_append(z.a, y.a))), 1), z -> flatten(z.a))"""
+    return f"""CASE WHEN t RLIKE r'{rx}' THEN element_at(transform(array(
+      zip_with(split(t, r'{rx}', -1), regexp_extract_all(t, r'{rx}', 0), (g, m) -> named_struct('g', char_length(g), 'm', m))), w -> {laid}), 1)
+      ELSE cast(array() AS {_SPAN}) END"""
 
 
 def _valid(kind: str, m: str = "x.m") -> str:
@@ -72,10 +87,14 @@ def candidates(docs: DataFrame) -> DataFrame:
     for k in KINDS:
         raw[f"b_{k}"], raw[f"w_{k}"] = F.expr(_spans(BASE[k])), F.expr(_spans(WIDE[k]))
     df = df.select("doc_id", "t", *(c.alias(n) for n, c in raw.items()))
-    tell = lambda k, i, base: f"""x -> named_struct('kind', {i}, 's', x.s, 'e', x.e, 'ok', {_valid(k)}, 'base', {base}, 'votes',
-        int({base} AND {_valid(k)}) + 2 * int(x.m RLIKE r'{GAZETTEER[k]}')
-        + 4 * int(lower(substring(t, greatest(x.s - 23, 1), least(x.s, 24))) RLIKE r'{CUES[k]}') + 8 * int({_valid(k)}),
-        'size', least(x.e - x.s, 40) DIV 4, 'before', CASE WHEN x.s = 0 THEN 0 WHEN substring(t, x.s, 1) RLIKE r'[\\x20\\x09-\\x0D]' THEN 1 ELSE 2 END)"""
+    shape = "regexp_replace(regexp_replace(x.m, '[A-Za-z]+', 'x'), '[0-9]+', '9')"
+    tell = lambda k, i, base: f"""x -> element_at(transform(array(named_struct('b', lower(substring(t, greatest(x.s - 23, 1), least(x.s, 24))), 'a', lower(substring(t, x.e + 1, 16)))), c ->
+        named_struct('kind', {i}, 's', x.s, 'e', x.e, 'ok', {_valid(k)}, 'base', {base}, 'votes',
+        int(x.m RLIKE r'{GAZETTEER[k]}') + 2 * int(c.b RLIKE r'{CUES[k]}') + 4 * int(c.a RLIKE r'{AFTER}') + 8 * int(NOT c.b RLIKE r'{COUNTER}') + 16 * int(x.m RLIKE r'{SHAPE[k]}'),
+        'seen', array(concat('s', least(x.e - x.s, 40) DIV 4), concat('h', pmod(hash({shape}), {SHAPES})),
+          concat('b', CASE WHEN c.b = '' THEN 0 WHEN c.b RLIKE r'[\\x20\\x09-\\x0D]$' THEN 1 WHEN c.b RLIKE r'[\\p{{L}}\\p{{N}}]$' THEN 2 ELSE 3 END),
+          concat('a', CASE WHEN c.a = '' THEN 0 WHEN c.a RLIKE r'^[\\x20\\x09-\\x0D]' THEN 1 WHEN c.a RLIKE r'^[\\p{{L}}\\p{{N}}]' THEN 2 ELSE 3 END),
+          concat('l', CASE WHEN c.b RLIKE r'{COUNTER}' THEN 2 WHEN c.b RLIKE r'{CUES[k]}' THEN 1 ELSE 0 END)))), 1)"""
     for i, k in enumerate(KINDS):
         out.append(f"transform(b_{k}, {tell(k, i, 'true')})")
         out.append(f"transform(w_{k}, {tell(k, i, 'false')})")
@@ -85,8 +104,8 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def reliabilities(cand: DataFrame) -> DataFrame:
-    """kind, prior, hit, slip and the posterior of each vote pattern, by EM inside one expression over <= 16 patterns."""
-    pats = cand.groupBy("kind", "votes").count().groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("votes", F.col("count").cast("double").alias("n")))).alias("pats"))
+    """kind, prior, hit, slip and the posterior of each vote pattern, by EM inside one expression over <= 32 patterns of valid candidates."""
+    pats = cand.where("ok").groupBy("kind", "votes").count().groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("votes", F.col("count").cast("double").alias("n")))).alias("pats"))
     like = lambda p, v: "*".join(f"(CASE WHEN {v} & {1 << j} <> 0 THEN {p}[{j}] ELSE 1 - {p}[{j}] END)" for j in range(LABELERS))
     post = lambda z, v: f"({z}.prior * {like(z + '.hit', v)}) / ({z}.prior * {like(z + '.hit', v)} + (1 - {z}.prior) * {like(z + '.slip', v)})"
     total = lambda w: f"aggregate(q, double(0), (a, x) -> a + x.n * {w})"
@@ -98,19 +117,16 @@ def reliabilities(cand: DataFrame) -> DataFrame:
     return em.select("kind", "z.*", F.expr(f"map_from_entries(transform(pats, y -> named_struct('k', y.votes, 'p', {post('z', 'y.votes')})))").alias("soft"))
 
 
-FEATURES = "array(concat('v', votes), concat('s', size), concat('b', before))"
-
-
 def classifier(cand: DataFrame, model: DataFrame) -> DataFrame:
-    """kind, bias and log-odds by feature value (at most 30 values a kind): naive Bayes on the soft labels."""
-    soft = cand.join(F.broadcast(model.select("kind", "soft")), "kind").withColumn("p", F.expr("soft[votes]"))
-    by = soft.select("kind", "p", F.explode(F.expr(FEATURES)).alias("f")).groupBy("kind", "f").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no"))
+    """kind, bias and log-odds by feature value (at most 100 values a kind): naive Bayes on the soft labels."""
+    soft = cand.where("ok").join(F.broadcast(model.select("kind", "soft")), "kind").withColumn("p", F.expr("soft[votes]"))
+    by = soft.select("kind", "p", F.explode("seen").alias("f")).groupBy("kind", "f").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no"))
     both = soft.groupBy("kind").agg(F.sum("p").alias("y"), F.sum(1 - F.col("p")).alias("n"))
     odds = by.join(F.broadcast(both), "kind").withColumn("w", F.log((F.col("yes") + 0.5) / (F.col("y") + 5)) - F.log((F.col("no") + 0.5) / (F.col("n") + 5)))
     return odds.groupBy("kind").agg(F.first(F.log((F.col("y") + 1) / (F.col("n") + 1))).alias("bias"), F.map_from_entries(F.collect_list(F.struct("f", "w"))).alias("w"))
 
 
-def find(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
+def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row per document: doc_id, base and all spans as arrays of (kind, s, e), in order of kind, then start.
 
     A wide candidate is added if its classifier probability reaches threshold, its structure is valid and it overlaps
@@ -122,7 +138,7 @@ def find(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     scores = materialize(classifier(cand, model))  # 4 rows at most
     added = (
         cand.where("NOT base AND ok").join(F.broadcast(scores), "kind")
-        .withColumn("p", F.expr(f"1 / (1 + exp(-(bias + aggregate(transform({FEATURES}, f -> coalesce(w[f], double(0))), double(0), (a, b) -> a + b))))"))
+        .withColumn("p", F.expr("1 / (1 + exp(-(bias + aggregate(transform(seen, f -> coalesce(w[f], double(0))), double(0), (a, b) -> a + b))))"))
         .where(F.col("p") >= threshold)
         .groupBy("rid").agg(F.collect_list(F.struct("kind", "s", "e")).alias("more"))
     )

@@ -84,6 +84,47 @@ def test_pii(spark, docs):
     check_pii(pii.digest(pii.find(real)), [(r.doc_id, r.text) for r in real.collect()])
 
 
+def test_wider_personal_data_on_labelled_text(spark):
+    """Half of the candidates beyond the base are personal data, the others order numbers and the like in the same form."""
+    r, rows, want, all_wide = random.Random(6), [], set(), set()
+    digits = lambda n: "".join(r.choice("23456789") for _ in range(n))
+    for i in range(400):
+        good = i % 2 == 0
+        form = f"({digits(3)}) {digits(3)}-{digits(4)}" if r.random() < (0.7 if good else 0.3) else f"{digits(3)}-{digits(3)}-{digits(4)}"
+        lead = (r.choice(["call me at ", "my phone is ", "tel: ", "reach us by phone "]) if r.random() < 0.85 else "it was ") if good else (r.choice(["order no. ", "invoice ", "serial ", "ticket # "]) if r.random() < 0.85 else "it was ")
+        text = f"{prose(5, i)} {lead}{form} {r.choice(['mobile', 'office', 'or email']) if good and r.random() < 0.5 else 'then'} {prose(4, i + 1000)}"
+        at = text.index(form)
+        rows.append((i, text))
+        all_wide.add((i, at, at + len(form)))
+        if good:
+            want.add((i, at, at + len(form)))
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(x.doc_id, y.s, y.e) for x in found for y in x.spans if y.kind == 3}
+    assert got <= all_wide and not any(x.base for x in found)
+    assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.1 * len(want)
+
+
+def test_reliabilities_by_force(spark):
+    r = np.random.default_rng(8)
+    true = r.random(4000) < 0.4
+    hit, slip = np.array([0.9, 0.8, 0.7, 0.95, 0.6]), np.array([0.1, 0.3, 0.2, 0.4, 0.5])
+    votes = (np.where(true[:, None], hit, slip) > r.random((4000, 5))) @ (1 << np.arange(5))
+    got = pii.reliabilities(spark.createDataFrame([(0, int(v), True) for v in votes], "kind int, votes int, ok boolean")).first()
+    v = votes[:, None] >> np.arange(5) & 1
+    prior, a, b = 0.5, np.full(5, 0.8), np.full(5, 0.2)
+    for _ in range(pii.ROUNDS):
+        x, y = prior * np.prod(np.where(v, a, 1 - a), axis=1), (1 - prior) * np.prod(np.where(v, b, 1 - b), axis=1)
+        w = x / (x + y)
+        prior, a, b = (w.sum() + 1) / (len(w) + 2), (w @ v + 4) / (w.sum() + 5), ((1 - w) @ v + 1) / ((1 - w).sum() + 5)
+    assert got.prior == pytest.approx(prior) and np.allclose(got.hit, a) and np.allclose(got.slip, b)
+    assert np.abs(a - hit).max() < 0.08
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"user{i}@example.org" for i in range(3000))
+    check_pii(pii.digest(pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"))), [(1, text)])
+
+
 def shingles(t):
     w = words(lower(t))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
