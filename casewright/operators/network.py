@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -9,10 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new path below the cluster's shared folder; a temporary one only where that setting is missing (local tests)."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="casewright-")
-    return f"{top.rstrip('/')}/{kind}-{uuid4().hex}"
+    """A new path below the cluster's shared folder, in one folder for each application. Where spark.checkpoint.dir is unset, a
+    temporary folder serves a local master (as in tests); any other master is refused, as its executors wouldn't share it."""
+    context = spark.sparkContext
+    top = context.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = _LOCAL.setdefault(context.applicationId, tempfile.mkdtemp(prefix="casewright-"))
+    return f"{top.rstrip('/')}/casewright-{context.applicationId}/{kind}-{uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete what this application wrote below the shared folder; frames that read it can't be used any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_path(spark, "x").rsplit("/", 1)[0])
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
