@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import time
-from uuid import uuid4
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewright.operators.network import shared_path
+
 #: A word is a maximal run of anything but ASCII white space, which is what bytes.split() yields.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,21 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where the setting is missing (local tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    known = spark.conf.get("casewright.checkpoint.dir", None)
-    if not known:
-        known = tempfile.mkdtemp(prefix="casewright-")
-        spark.conf.set("casewright.checkpoint.dir", known)
-    return known
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/cw-{uuid4().hex}"
+    path = shared_path(df.sparkSession, "llm")
     df.write.option("compression", "zstd").parquet(path)
     _release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)

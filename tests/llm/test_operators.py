@@ -336,6 +336,31 @@ def test_neighbours_recall_and_odd_vectors(spark):
     assert len({g.query_id for g in got}) == 60
 
 
+def test_neighbours_edge_cases(spark):
+    """Clashing names, repeated ids, ties, fewer than ten candidates, unlike lengths."""
+    rows = [(i, [float(x), float(y)], "c", 1.0) for i, (x, y) in enumerate([(0, 1), (1, 1), (1, -1), (-1, 1), (-1, -1), (3, 1)])] + [(0, [0.5, 0.5], "c", 1.0), (7, [1.0], "c", 1.0), (8, [2.0], "c", 1.0), (9, [1.0, 1.0], "c", 1.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block string, radius double")
+    got = [tuple(x) for x in neighbours.nearest(df, df.where("vec_id IN (0, 7)"), 10).collect()]
+    for q, v in [(0, (0, 1)), (0, (0.5, 0.5)), (7, (1.0,))]:
+        want = sorted((float(np.sqrt(sum((a - b) ** 2 for a, b in zip(v, w)))), i) for i, w, *_ in rows if i != q and len(w) == len(v))
+        assert {(q, k + 1, i, d) for k, (d, i) in enumerate(want)} <= set(got)
+    assert len(got) == 6 + 6 + 1
+
+
+def test_neighbours_of_plain_vectors_verify_few(spark):
+    """20,000 vectors without structure: recall, and the share of rows whose distance is computed in a block."""
+    x = np.random.default_rng(4).standard_normal((20000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = neighbours.search(df, df.where("vec_id % 1000 = 0"), 10).collect()
+    hit = 0
+    for q in range(0, 20000, 1000):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1)
+        best = sorted((f.score, f.vec_id) for f in found if f.query_id == q)[:10]
+        hit += len({i for _, i in best} & set(np.argsort(d)[1:11].tolist()))
+    assert hit / 200 >= 0.9
+    assert np.mean([f.verified for f in found]) < 0.1 * neighbours.BLOCK
+
+
 def test_language_model(docs):
     rows = hmm.score(docs).collect()
     held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, _, _ in ROWS}
@@ -452,6 +477,58 @@ def test_line_chunks_by_force(spark):
             assert x._n_removed == len(x.was.split("\n")) - (len(x.text.split("\n")) if x.text and x._n_removed < x._n_lines else 0 if x._n_removed == x._n_lines else 1)
 
 
+def test_pipeline_by_force(spark, none):
+    """Every stage on what its predecessor kept, against brute force, and the pieces of run() against the documents that the mix took."""
+    from tokenizers import Tokenizer
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(21)
+    shared = "\n".join(prose(9, 7000 + k) for k in range(4))
+    rows = [(i, "\n".join(prose(12, 500 + 10 * i + k) for k in range(8)), f"s{i % 3}") for i in range(24)]
+    rows += [(30 + i, f"{prose(20, 900 + i)}\n{shared}\n{prose(40, 950 + i)}", "s1") for i in range(4)]
+    near = [rows[3][1], rows[5][1]]
+    rows += [(40 + i, t.replace(t.split()[50], "swapped", 1), "s2") for i, t in enumerate(near)] + [(45, near[0], None), (46, near[0], "s0"), (47, None, "s0"), (48, "few words", "s1"), (49, "a b c " * 60, "s1"), (None, prose(70, 77), "s0"), (None, prose(80, 78), "s1")]
+    line = prose(120, 4242)
+    rows += [(60, line, "s0"), (61, line.replace(line.split()[70], "swapped", 1), "s1"), (62, line, "s2")]
+    r.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    said = lambda df: Counter((x.doc_id, x.text, x.source) for x in df.collect())
+
+    def good(t):
+        w = words(t)
+        tri = Counter(zip(w, w[1:], w[2:]))
+        return len(w) >= 50 and 100 * len({i + k for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for k in range(3)}) <= 50 * len(w)
+
+    stages = dict(pipeline.STAGES)
+    one = stages["quality rules"](spark, docs, "").persist()
+    want = [x for x in rows if good(x[1])]
+    assert said(one) == Counter(want) and len(want) < len(rows)
+    cut = lines_by_force([(i, t) for i, t, _ in want])
+    want = [(i, cut[i or 0, t], s) for i, t, s in want]
+    two = stages["line dedup"](spark, one, "").persist()
+    assert said(two) == Counter(want) and any("\n" in t and len(words(t)) < 65 for _, t, _ in want)
+    kept = {(d, n) for d, n, c in groups_by_force([(i, t) for i, t, _ in want], 80) if d == c}
+    want = [x for x in want if (x[0], len(shingles(x[1]))) in kept]
+    three = stages["near dedup"](spark, two, "").persist()
+    assert said(three) == Counter(want) and {60, 61, 62} & {x[0] for x in want} == {60}
+    took = Counter()
+    for x in mixing.mix(three).collect():
+        took[x.doc_id, x.source, x.size] += x.copies
+    four = stages["mixing"](spark, three, "").persist()
+    got = Counter()
+    for (i, t, s), n in said(four).items():
+        got[i, s, len(words(t))] += n
+    assert got == +took and set(said(four)) <= set(want)
+    tok, pieces = Tokenizer.from_file(packing.tokenizer_path()), Counter()
+    for (_, t, _), n in said(four).items():
+        ids = tok.encode(t, add_special_tokens=False).ids + [1]
+        pieces[len(ids)] += n
+    five = stages["packing"](spark, four, "").collect()
+    assert Counter(x.doc_tokens for x in five if x.start == 0) == pieces and sum(x.length for x in five) == sum(k * n for k, n in pieces.items())
+    for _, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, none, "").count() == 0
+
+
 def test_pipeline_on_clashing_columns(spark, docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     now = docs
