@@ -15,12 +15,13 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: Tokenizing and minimum hashes have no SQL; tests hold every stage against a brute-force version.
+#: Tokenizing and random rounding have no SQL; tests hold every stage, in turn, against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of the documents that pass, as packing.pack() gives them."""
+    """Pieces of the documents that pass, as packing.pack() gives them. Null, empty, repeated and very long texts, null ids and
+    an empty table are as each stage states them; the columns of documents stay until the last stage."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
