@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 
 import numpy as np
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,19 @@ def bounded(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
+def slices(batch, column: str = "text", most: int = 1 << 21):
+    """Parts of an Arrow batch whose binary column holds `most` bytes or so, or one longer text."""
+    sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    at = total = 0
+    for i, n in enumerate(sizes):
+        if i > at and total + n > most:
+            yield batch.slice(at, i - at)
+            at, total = i, 0
+        total += int(n)
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word. Nothing is kept: hashing again is faster than looking words up, and needs no memory."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of, word_hashes
+from .common import materialize, slices, text_of, word_hashes
 
 STATES, WORDS, TIED, COMMON, ROUNDS, SEGMENT, SEED, STICKY = 8, 2048, 512, 131072, 5, 128, 3, 400
 CLASSES = WORDS + TIED + 1  # the last is the end
@@ -72,7 +72,7 @@ class Vocabulary:
 
 def _count(batches):
     """Counts of the words of training documents, summed per batch: (h, cls of an infrequent word, n)."""
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole)):
         words, ends = [], b.num_rows
         for text in b.column("text").to_pylist():
             words += text.lower().split()

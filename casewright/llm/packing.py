@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, word_hashes
+from .common import slices, text_of, word_hashes
 
 LONGEST, END = 2048, 1
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
@@ -156,8 +156,8 @@ def _pieces(path: str):
     def run(batches):
         known = word_ids(path, call)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part, out = b.slice(at, 512), []
+            for part in slices(b):
+                out = []
                 for doc, found in zip(part.column("doc_id").to_pylist(), known.of(part.column("text").to_pylist())):
                     ids = np.append(found, np.uint32(END)).astype("<u4", copy=False)
                     start = 0
