@@ -95,6 +95,18 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def agreement(a: bytes, at: int, b: bytes) -> int:
+    """How many bytes of b, and of a from at on, agree."""
+    n = min(len(a) - at, len(b))
+    if a.startswith(b[:n], at):
+        return n
+    low, high = 0, n - 1  # agree in low, not in high + 1
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a.startswith(b[low:mid], at + low) else (low, mid - 1)
+    return low
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root) of every node that isn't its component's root, the smallest
     node.
