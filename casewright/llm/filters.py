@@ -3,7 +3,7 @@
 One pass over the texts: a task inserts its texts, CHUNK bytes at a time, into a compressed trie that holds the smallest id at each
 terminal. So a chunk's copies of a text become one entry, with the text's failure bits, however many there are. Entries
 are then range-partitioned by adaptive text prefixes: a prefix of FIRST bytes, then four times as many and so on, until the entries
-that share it hold at most HEAVY bytes (or it is the whole text). A task inserts the entries of its prefixes, whole, into one
+that share it hold no more than a task's fair share, at most HEAVY bytes (or it is the whole text). A task inserts the entries of its prefixes, whole, into one
 trie and hands the smallest id back to the entries that share a terminal. Documents carry that as a bit of their mask, meet
 their labels, and masks are counted by part; all orders are derived from those counts.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import agreement, bounded, materialize, slices, text_of
 
 FILTERS = "ABCDE"
-CHUNK, HEAVY, FIRST = 16 << 20, 256 << 20, 8
+CHUNK, HEAVY, LEAST, FIRST = 16 << 20, 256 << 20, 1 << 16, 8
 _UPPER, _MARKS = bytes(range(65, 91)), b"#$%&*|"
 _ENTRY = "chunk long, number int, text binary, size long, bits int, low long, steps array<long>, members array<struct<doc_id: long, part: string>>"
 
@@ -166,10 +166,11 @@ def placed(entries: DataFrame, heavy_bytes: int = HEAVY) -> DataFrame:
 
 def duplicates(entries: DataFrame, heavy_bytes: int = HEAVY) -> DataFrame:
     """chunk, number and the smallest id of the text, for written entries that share their text with others. There are so many tasks that
-    one has about heavy_bytes of texts to hold."""
+    one has about heavy_bytes of texts to hold; a prefix is heavy from a task's fair share on."""
     spark, total = entries.sparkSession, entries.agg(F.sum("size")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // heavy_bytes))
-    dealt = placed(entries.select("chunk", "number", "text", "low", "size", "steps"), heavy_bytes).select("chunk", "number", "text", "low", "place")
+    share = min(heavy_bytes, max(total // tasks, LEAST))
+    dealt = placed(entries.select("chunk", "number", "text", "low", "size", "steps"), share).select("chunk", "number", "text", "low", "place")
     return dealt.repartitionByRange(tasks, "place").mapInArrow(_merge, "chunk long, number int, least long")
 
 
