@@ -23,6 +23,8 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -68,9 +70,10 @@ def odd_sketch(found: np.ndarray) -> tuple[int, np.ndarray]:
 
 def _sketches(batches):
     for b in batches:
-        ns, prints, bands, many, odd = [], [], [], [], []
+        ns, tids, prints, bands, many, odd = [], [], [], [], [], []
         for text in b.column("text").to_pylist():
             found = shingle_set(text)
+            tids.append(hashlib.md5(text).digest())
             ns.append(len(found))
             prints.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
             bands.append(band_keys(found) if len(found) else None)
@@ -79,8 +82,8 @@ def _sketches(batches):
             odd.append(bits)
         grid = np.array(odd, _LONG).reshape(-1, len(_SIGN))
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(ns, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(many, pa.int32()), *(pa.array(grid[:, i]) for i in range(len(_SIGN)))],
-            ["doc_id", "n_shingles", "node", "bands", "samples", *_SIGN])
+            [b.column("doc_id"), pa.array(tids, pa.binary()), pa.array(ns, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(many, pa.int32()), *(pa.array(grid[:, i]) for i in range(len(_SIGN)))],
+            ["doc_id", "tid", "n_shingles", "node", "bands", "samples", *_SIGN])
 
 
 def _sets(batches):
@@ -133,10 +136,11 @@ def links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, num: int, den:
     return materialize(both.mapInArrow(_judge(num, den), "a binary, b binary"))
 
 
-def groups(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id linked, directly or not), kept."""
+def members(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """One row per document: doc_id, tid (digest of its text), n_shingles, root (its group, null without words), component_id (smallest
+    doc_id of the group)."""
     rows = materialize(docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("text")).mapInArrow(
-        _sketches, "doc_id long, n_shingles long, node binary, bands array<long>, samples int, " + ", ".join(f"{o} long" for o in _SIGN)))
+        _sketches, "doc_id long, tid binary, n_shingles long, node binary, bands array<long>, samples int, " + ", ".join(f"{o} long" for o in _SIGN)))
     full = rows.where("n_shingles > 0")
     classes = materialize(full.groupBy("node").agg(F.min("doc_id").alias("label"), F.first(F.struct(*_KNOWN, "bands")).alias("s")).select("node", "label", "s.*"))
     slim = classes.select("node", *_KNOWN)
@@ -144,18 +148,18 @@ def groups(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     crowded = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(banded.join(crowded, "key"))
     weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
-    members = materialize(shared.join(weight, "node"))
-    centres = members.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
+    places = materialize(shared.join(weight, "node"))
+    centres = places.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
     near = F.expr(_near(num, den))
 
     def screened(pairs: DataFrame) -> DataFrame:
         return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(slim.alias("p"), F.expr("a = p.node")).join(slim.alias("q"), F.expr("b = q.node")).where(near).select("a", "b")
 
-    tested = materialize(screened(members.join(centres, "key").select(F.col("centre").alias("a"), F.col("node").alias("b"))))
+    tested = materialize(screened(places.join(centres, "key").select(F.col("centre").alias("a"), F.col("node").alias("b"))))
     roots = materialize(components(links(docs, tested, classes, num, den)))
     for round_ in range(ROUNDS + 1):
         # a bucket of two is settled by its one pair; larger ones are settled when they lie in one component
-        at = members.where("n > 2").join(roots, "node", "left").select("key", "node", "n", "weight", F.coalesce("root", "node").alias("root"))
+        at = places.where("n > 2").join(roots, "node", "left").select("key", "node", "n", "weight", F.coalesce("root", "node").alias("root"))
         parts = at.groupBy("key", "root").agg(F.count("*").alias("m"))
         open_ = parts.groupBy("key").agg(F.max(F.struct("m", "root")).alias("major"), F.sum(F.col("m") * F.col("m")).alias("within"), F.count("*").alias("roots")).where("roots > 1").select("key", "major.root", "within").withColumnRenamed("root", "major")
         at = materialize(at.join(open_, "key"))
@@ -185,19 +189,27 @@ def groups(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
             break
     homes = classes.select("node", "label").join(roots, "node", "left").select("node", "label", F.coalesce("root", "node").alias("root"))
     lows = homes.groupBy("root").agg(F.min("label").alias("component_id"))
-    homes = homes.join(lows, "root").select("node", "component_id")
-    return rows.select("doc_id", "n_shingles", "node").join(homes, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+    homes = homes.join(lows, "root").select("node", "root", "component_id")
+    return rows.select("doc_id", "tid", "n_shingles", "node").join(homes, "node", "left").select("doc_id", "tid", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def groups(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id linked, directly or not), kept."""
+    return members(docs, num, den).select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group. Rows that repeat a kept doc_id and its text go too; documents without an id
-    can't be told apart and stay unless one with an id is in their group."""
-    kept = materialize(groups(docs, 80, 100).where("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")))
-    out = docs.alias("d").join(bounded(kept.select("_kept")), F.expr("d.doc_id <=> _kept"), "left_semi")
-    repeated = bounded(kept.where("_rows > 1").select("_kept"))
+    """Keep one document of each group: the one with the smallest doc_id (an id before none), then the smallest digest of its text, and of rows
+    that repeat both just one. Texts without words are in no group and all stay. A doc_id may stand at several texts: each of them
+    goes or stays by its own group."""
+    found = materialize(members(docs, 80, 100).select("doc_id", "tid", "root"))
+    rows = found.where("root IS NOT NULL").groupBy("root", "doc_id", "tid").agg(F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tid", "n")).alias("x")).select("x.doc_id", "x.tid", "x.n")
+    alone = found.where("root IS NULL").select("doc_id", "tid").distinct()
+    side = lambda df: bounded(df.select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid")))
+    same = F.expr("d.doc_id <=> _doc") & (F.unhex(F.md5(text_of(docs))) == F.col("_tid"))
+    single = docs.alias("d").join(side(first.where("n = 1").select("doc_id", "tid").union(alone)), same, "left_semi")
+    repeated = side(first.where("n > 1"))
     if repeated.isEmpty():
-        return out
-    again = out.alias("d").join(repeated, F.expr("d.doc_id <=> _kept"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return out.alias("d").join(repeated, F.expr("d.doc_id <=> _kept"), "left_anti").union(again)
+        return single
+    return single.union(docs.alias("d").join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
