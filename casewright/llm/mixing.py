@@ -13,7 +13,7 @@ of m times the fraction says; only the rest, a fraction of one row, is settled b
 Random choices are hashes of ids and a seed: reruns agree at any partitioning.
 
 Defined cases: null text has size 0; a document of size 0 is never taken; a null source is a source of its own,
-after all others; of repeated rows some take one copy more than others, which ones is open; very long texts are counted
+after all others; of rows with one doc_id, source and size some take one copy more than others, those whose text has the smaller digest; very long texts are counted
 whole; empty tables give empty results; other columns are ignored.
 """
 
@@ -105,24 +105,25 @@ _SAME = "_d <=> _k AND _s <=> _t AND _n = _z"
 
 
 def dealt(rows: DataFrame, units: DataFrame) -> DataFrame:
-    """Rows with _d, _s, _n (doc_id, source, size) and part, their number of a written partition: adds copies.
+    """Rows with _d, _s, _n (doc_id, source, size), _h (digest of the text) and part, their number of a written partition: adds copies.
 
-    Rows of a unit are numbered by partition first, so a unit that holds very many rows is numbered in many tasks."""
+    Rows of a unit are numbered by the digests of their texts, so the same texts are taken at any partitioning; rows that repeat a text are numbered by
+    partition first, so a unit that holds very many rows is numbered in many tasks."""
     units = units.select(F.col("doc_id").alias("_k"), F.col("source").alias("_t"), F.col("size").alias("_z"), "m", "whole", "extra")
     found = rows.join(units, F.expr(_SAME)).drop("_k", "_t", "_z")
     alone = found.where("m = 1").withColumn("copies", F.col("whole") + F.col("extra")).drop("m", "whole", "extra")
     many = found.where("m > 1")
-    counts = many.groupBy(F.col("_d").alias("_k"), F.col("_s").alias("_t"), F.col("_n").alias("_z"), F.col("part").alias("_p")).agg(F.count("*").alias("_c"))
-    counts = counts.withColumn("_before", F.expr("sum(_c) OVER (PARTITION BY _k, _t, _z ORDER BY _p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - _c")).drop("_c")
-    number = F.expr("row_number() OVER (PARTITION BY _d, _s, _n, part ORDER BY part)")
-    many = many.withColumn("_i", number).join(counts, F.expr(f"{_SAME} AND part = _p"))
+    counts = many.groupBy(F.col("_d").alias("_k"), F.col("_s").alias("_t"), F.col("_n").alias("_z"), F.col("_h").alias("_g"), F.col("part").alias("_p")).agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("_before", F.expr("sum(_c) OVER (PARTITION BY _k, _t, _z ORDER BY _g, _p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - _c")).drop("_c")
+    number = F.expr("row_number() OVER (PARTITION BY _d, _s, _n, _h, part ORDER BY part)")
+    many = many.withColumn("_i", number).join(counts, F.expr(f"{_SAME} AND _h = _g AND part = _p"))
     return alone.unionByName(many.withColumn("copies", F.expr("whole + CASE WHEN _before + _i <= extra THEN 1L ELSE 0L END")).select(alone.columns))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken (words)."""
     sized, decided, per = copies(docs)
-    rows = dealt(sized.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "part"), materialize(decided))
+    rows = dealt(sized.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.lit("").alias("_h"), "part"), materialize(decided))
     s = bounded(per.select(F.col("source").alias("_source"), "source_size", "target"))
     return rows.join(s, F.expr("_s <=> _source")).select(F.col("_d").alias("doc_id"), F.col("_s").alias("source"), F.col("_n").alias("size"), "source_size",
         F.col("target").cast("double"), "copies", (F.col("copies") * F.col("_n")).alias("taken"))
@@ -134,7 +135,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     _, decided, _ = copies(docs)
     decided = materialize(decided)
     words = F.expr(r"cast(size(filter(split(coalesce(cast(text AS string), ''), r'[\x20\x09-\x0D]+'), x -> x <> '')) AS bigint)")
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_d"), F.col("source").cast("string").alias("_s"), words.alias("_n"))
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_d"), F.col("source").cast("string").alias("_s"), words.alias("_n"), F.md5(text_of(docs)).alias("_h"))
     side = lambda rows: bounded(rows.select(F.col("doc_id").alias("_k"), F.col("source").alias("_t"), F.col("size").alias("_z"), (F.col("whole") + F.col("extra")).alias("copies")))
     out = packed.join(side(decided.where("m = 1 AND whole + extra > 0")), F.expr(_SAME)).select("_row", "copies")
     if not decided.where("m > 1").isEmpty():
