@@ -105,15 +105,26 @@ def canonical_sql(column: str) -> str:
     return f"trim(regexp_replace(element_at({out}, 1), r'[^\\p{{L}}\\p{{N}}]+', ' '))"
 
 
+#: Lines whose words are counted together.
+STRIDE = 64
+
+
 def _runs_sql(lengths: dict[str, list[int]]) -> str:
     """Spark SQL: digests of the runs of lines of t whose first word and number of words are those of a known text."""
     by_word = "map(" + ", ".join(f"'{w}', array({', '.join(map(str, n))})" for w, n in sorted(lengths.items())) + ")"
     lines = f"filter(transform(split(t, '\\n'), x -> {canonical_sql('x')}), x -> x <> '')"
-    ends = "aggregate(s.l, array(0), (a, x) -> array_append(a, element_at(a, -1) + size(split(x, ' '))))"
+    # words before each line: sums of whole strides of lines, and of the lines since
+    words = "transform(s.l, x -> size(split(x, ' ')))"
+    marks = f"aggregate(sequence(0, size(w.n) div {STRIDE}), array(0), (a, k) -> array_append(a, element_at(a, -1) + aggregate(slice(w.n, k * {STRIDE} + 1, {STRIDE}), 0, (y, x) -> y + x)))"
+    ends = f"transform(sequence(0, size(v.n)), k -> v.k[k div {STRIDE}] + aggregate(slice(v.n, (k div {STRIDE}) * {STRIDE} + 1, k % {STRIDE}), 0, (y, x) -> y + x))"
     starts = "filter(sequence(0, size(u.l) - 1), i -> map_contains_key(u.m, substring_index(u.l[i], ' ', 1)))"
-    hits = "filter(sequence(i + 1, size(u.l)), j -> array_contains(u.m[substring_index(u.l[i], ' ', 1)], u.c[j] - u.c[i]))"
+    # a run of n words ends within n lines of its start, at one place at most
+    hits = "filter(transform(u.m[substring_index(u.l[i], ' ', 1)], n -> i + int(nullif(array_position(slice(u.c, i + 2, n), u.c[i] + n), 0L))), j -> j IS NOT NULL)"
     runs = f"flatten(transform({starts}, i -> transform({hits}, j -> sha2(array_join(slice(u.l, i + 1, j - i), ' '), 256))))"
-    some = f"flatten(transform(transform(filter(array(named_struct('l', {lines})), s -> size(s.l) > 0), s -> named_struct('l', s.l, 'c', {ends}, 'm', {by_word})), u -> {runs}))"
+    some = f"filter(array(named_struct('l', {lines})), s -> size(s.l) > 0)"
+    for step in (f"s -> named_struct('l', s.l, 'n', {words})", f"w -> named_struct('l', w.l, 'n', w.n, 'k', {marks})", f"v -> named_struct('l', v.l, 'c', {ends}, 'm', {by_word})", f"u -> {runs}"):
+        some = f"transform({some}, {step})"
+    some = f"flatten({some})"
     return f"CASE WHEN t RLIKE r'{NAMES}' THEN {some} ELSE cast(array() AS array<string>) END"
 
 
