@@ -37,6 +37,16 @@ def lenient_bool(x: Column) -> Column:
     return F.when(text.isin(*YES), True).when(text.isin(*NO), False)
 
 
+#: Names of the base case once everything but letters and digits is an underscore.
+BASE_NAMES = ("base", "base_case", "basecase")
+
+
+def base_case(event: Column, name: Column) -> Column:
+    """Whether a case is the base case: event 0, or one of its names in any spelling."""
+    key = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.coalesce(event == 0, F.lit(False)) | F.coalesce(key.isin(*BASE_NAMES), F.lit(False))
+
+
 def voltage_class(kv: Column) -> Column:
     out = F.when(kv.isNull(), UNKNOWN)
     for edge, name in VOLTAGE_BANDS:

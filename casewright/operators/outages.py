@@ -1,4 +1,4 @@
-"""Trees, paths and splitting outages of the case network. A round is a join per level; each is written to the shared folder."""
+"""Breadth-first trees, paths and facts of outages of the case network. A search takes a round for each level; what follows its pointers doubles."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from casewright.operators.network import settle
 
-_PAIR = ("least(i, j) AS low", "greatest(i, j) AS high", "ckt")
-
 
 def forest(elements: DataFrame, roots: DataFrame) -> DataFrame:
     """bus, parent, ckt, depth: breadth-first trees from the roots (column bus); ties go to the smallest parent, then circuit.
@@ -27,68 +25,14 @@ def forest(elements: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def path(tree: DataFrame, end: int) -> DataFrame:
-    """step, bus, ckt: the way from the tree's root to a bus; no rows if it isn't in the tree."""
-    at, steps = tree.where(F.col("bus") == end), []
-    while not at.isEmpty():
-        steps.append(at.select(F.col("depth").alias("step"), "bus", "ckt"))
-        at = settle(tree.join(at.select(F.col("parent").alias("bus")), "bus", "left_semi"))
-    return reduce(DataFrame.union, steps) if steps else tree.select(F.col("depth").alias("step"), "bus", "ckt").limit(0)
-
-
-def splitting(elements: DataFrame, tree: DataFrame) -> DataFrame:
-    """bus, parent, ckt of the tree's elements whose outage splits the network.
-
-    Every other element closes a ring: its two ends climb to where they meet, and the tree elements on the way don't
-    split. Parallel circuits are elements of their own, so they close a ring too.
-    """
-    keyed = elements.where("i <> j").groupBy(*map(F.expr, _PAIR)).agg(F.count("*").alias("n"))
-    inner = tree.where("parent IS NOT NULL")
-    own = inner.select(F.least("bus", "parent").alias("low"), F.greatest("bus", "parent").alias("high"), "ckt")
-    rings = keyed.join(own, ["low", "high", "ckt"], "left_anti").union(keyed.where("n > 1")).select("low", "high").distinct()
-    at = tree.select("bus", "parent", "depth")
-    x, y = at.toDF("x", "px", "dx"), at.toDF("y", "py", "dy")
-    now, marked = settle(rings.toDF("x", "y")), []
-    while not now.isEmpty():
-        ends = settle(now.join(x, "x").join(y, "y"))
-        marked.append(ends.select(F.explode(F.expr("filter(array(IF(dx >= dy, x, NULL), IF(dy >= dx, y, NULL)), v -> v IS NOT NULL)")).alias("bus")))
-        now = settle(ends.select(F.expr("IF(dx >= dy, px, x)").alias("x"), F.expr("IF(dy >= dx, py, y)").alias("y")).where("x <> y").distinct())
-    if marked:
-        inner = inner.join(reduce(DataFrame.union, marked).distinct(), "bus", "left_anti")
-    return inner.select("bus", "parent", "ckt")
-
-
-def cut_off(tree: DataFrame, buses: DataFrame, bridges: DataFrame, swing: bool = False) -> DataFrame:
-    """For each splitting element: buses, load and generation of the part cut off and of the rest.
-
-    The part cut off is the smaller side; of equal ones the one without a swing bus, else the one below in the tree.
-    Totals add up level by level from the deepest one. With swing, has_swing says whether the part cut off holds a swing bus.
-    """
-    exact = lambda c: F.col(c).cast("decimal(28,5)").alias(c)
-    facts = buses.select("bus", F.lit(1).cast("long").alias("n"), exact("load_mw"), exact("generation_mw"), F.expr("CAST(ide = 3 AS BIGINT)").alias("swing"))
-    names = ["n", "load_mw", "generation_mw", "swing"]
-    own = settle(tree.join(facts, "bus").select("bus", "parent", "depth", *names))
-    below, levels = None, []
-    for depth in range(own.agg(F.max("depth")).first()[0] or 0, -1, -1):
-        level = own.where(F.col("depth") == depth)
-        if below is not None:
-            level = level.unionByName(below.select(F.col("parent").alias("bus"), F.lit(None).cast("long").alias("parent"), F.lit(depth).alias("depth"), *names))
-        below = settle(level.groupBy("bus").agg(F.max("parent").alias("parent"), F.max("depth").alias("depth"), *(F.sum(c).cast(own.schema[c].dataType).alias(c) for c in names)))
-        levels.append(below)
-    sums = settle(reduce(DataFrame.union, levels))
-    # a bus's root: labels jump to their label's label
-    top = settle(sums.select("bus", F.coalesce("parent", "bus").alias("root")))
-    while True:
-        up = settle(top.join(top.toDF("root", "next"), "root").select("bus", F.col("next").alias("root"), (F.col("root") != F.col("next")).alias("moved")))
-        top = up.select("bus", "root")
-        if up.where("moved").isEmpty():
-            break
-    whole = sums.join(top, "bus").where("bus = root").select("root", *(F.col(c).alias(f"all_{c}") for c in names))
-    sides = bridges.join(top, "bus").join(whole, "root").join(sums.select("bus", *names), "bus")
-    rest = "(all_n - n)"
-    under = F.expr(f"n < {rest} OR (n = {rest} AND (swing = 0 OR all_swing - swing > 0))")
-    part = lambda c, mine: F.when(under == F.lit(mine), F.col(c)).otherwise(F.col(f"all_{c}") - F.col(c))
-    return sides.select(F.least("bus", "parent").alias("i"), F.greatest("bus", "parent").alias("j"), "ckt", part("n", True).alias("buses"), part("load_mw", True).cast("double").alias("load_mw"),
-        part("generation_mw", True).cast("double").alias("generation_mw"), part("n", False).alias("rest_buses"), part("load_mw", False).cast("double").alias("rest_load_mw"), *([(part("swing", True) > 0).alias("has_swing")] if swing else []))
+    """step, bus, ckt: the way from the tree's root to a bus; no rows if it isn't in the tree. Pointers to the parent double, and what is on
+    the way doubles with them."""
+    jump, way = settle(tree.select("bus", F.col("parent").alias("to")).where("parent IS NOT NULL")), tree.where(F.col("bus") == end).select("bus")
+    while not jump.isEmpty():
+        more = jump.join(way, "bus", "left_semi").select(F.col("to").alias("bus"))
+        way = settle(way.union(more).distinct())
+        jump = settle(jump.alias("x").join(jump.alias("y"), F.expr("x.to = y.bus")).select("x.bus", "y.to"))
+    return tree.join(way, "bus", "left_semi").select(F.col("depth").alias("step"), "bus", "ckt")
 
 
 def with_status(parts: DataFrame, statuses: DataFrame) -> DataFrame:

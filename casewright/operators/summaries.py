@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewright.functions import columns as C
 from casewright.functions.columns import KEY
+from casewright.operators import quantiles
 from casewright.operators.ranking import running_sum
 
 THERMAL = 100.0
@@ -18,17 +20,23 @@ def usable(cases: DataFrame, convergence: DataFrame) -> DataFrame:
 
 
 def branch_summary(cases: DataFrame) -> DataFrame:
-    """One row a facility. The binding case has the largest size of loading, then the smallest event and name: one pass,
-    no self-join, partial sums before the shuffle."""
-    size = F.abs("loading_percent")
-    return cases.where("loading_percent IS NOT NULL AND line_id <> ''").groupBy(*KEY).agg(
-        F.count("*").alias("case_count"),
-        (F.sum(F.col("loading_percent").cast("decimal(18,5)")).cast("double") / F.count("*")).alias("mean_loading"),
-        F.min("loading_percent").alias("min_loading"), F.max("loading_percent").alias("max_loading"), F.max(size).alias("max_abs_loading"),
-        F.max(F.when(F.col("event_idx") == 0, F.col("loading_percent"))).alias("base_loading"),
-        F.count_if((F.col("viol") == 1) | (F.col("loading_percent") >= THERMAL)).alias("overload_count"),
-        F.count_if(size >= THERMAL).alias("thermal_count"), F.max("rate_mva").alias("rate_mva"),
-        F.min_by("contingency", F.struct(-size, "event_idx", "contingency")).alias("binding_contingency"))
+    """One row a facility, in one pass with partial sums before the shuffle; works alike on a batch and on a stream.
+
+    Of equal extremes the case with the smallest event, then name, stands for them. The rating is the first known one in that order. The base
+    loading is the largest of the base cases'. A violation is anything that reads as true, or a loading of 100 % or more."""
+    v, size = F.col("loading_percent"), F.abs("loading_percent")
+    at = F.struct(F.col("event_idx"), F.col("contingency"))
+    base = F.max(F.when(C.base_case(F.col("event_idx"), F.col("contingency")), v))
+    low, high, far = (F.min_by(at, F.struct(x.alias("x"), F.col("event_idx").isNull().alias("none"), "event_idx", "contingency")) for x in (v, -v, -size))
+    found = cases.where("loading_percent IS NOT NULL AND from_bus IS NOT NULL AND to_bus IS NOT NULL AND line_id <> ''").groupBy(*C.KEY).agg(
+        F.count("*").alias("case_count"), (F.sum(v.cast("decimal(18,5)")).cast("double") / F.count("*")).alias("mean_loading"),
+        F.min(v).alias("min_loading"), F.max(v).alias("max_loading"), F.max(size).alias("max_abs_loading"), base.alias("base_loading"),
+        F.count_if(C.truthy(F.col("viol").cast("string")) | (v >= THERMAL)).alias("overload_count"), F.count_if(size >= THERMAL).alias("thermal_count"),
+        F.min_by("rate_mva", F.when(F.col("rate_mva").isNotNull(), F.struct(F.col("event_idx").isNull().alias("none"), "event_idx", "contingency", "rate_mva"))).alias("rate_mva"),
+        low.alias("low"), high.alias("high"), far.alias("far"))
+    return found.select(*C.KEY, "case_count", "mean_loading", "min_loading", "max_loading", "max_abs_loading", "base_loading", "overload_count", "thermal_count", "rate_mva", F.col("far.contingency").alias("binding_contingency"),
+        F.col("low.event_idx").alias("min_event"), F.col("high.event_idx").alias("max_event"), F.col("far.event_idx").alias("binding_event"),
+        (F.col("min_loading") - F.col("base_loading")).alias("min_deviation"), (F.col("max_loading") - F.col("base_loading")).alias("max_deviation"))
 
 
 def contingency_summary(cases: DataFrame) -> DataFrame:
@@ -39,19 +47,18 @@ def contingency_summary(cases: DataFrame) -> DataFrame:
         F.min_by(F.concat_ws("|", *(F.col(c).cast("string") for c in KEY)), F.struct(-size, *KEY)).alias("worst_facility"))
 
 
-def statistics(value: Column) -> dict[str, Column]:
-    """The group statistics; unknown values drop out of all but the count of rows. quartiles are exact: one buffer of distinct
-    values and counts a group."""
-    total = F.sum(value.cast("decimal(18,5)")).cast("double")
-    return {"n": F.count(value), "total": total, "mean": total / F.count(value), "quartiles": F.percentile(value, F.array(*map(F.lit, (0.25, 0.5, 0.75)))),
-        "low": F.min(value), "high": F.max(value), "sd": F.round(F.stddev_pop(value), 6), "variance": F.round(F.var_pop(value), 4)}
+def by_group(df: DataFrame, group: str, value: Column) -> DataFrame:
+    """label and the nine statistics; unknown values drop out. Groups of unknown values only aren't returned."""
+    labelled = df.select(F.coalesce(F.col(group).cast("string"), F.lit("unknown")).alias("label"), value.alias("_value"))
+    return quantiles.statistics(labelled, ["label"], F.col("_value")).drop("q")
 
 
-def by_group(df: DataFrame, group: str, value: Column) -> DataFrame:
-    """label and the nine statistics."""
-    found = df.groupBy(F.coalesce(F.col(group).cast("string"), F.lit("unknown")).alias("label")).agg(*(c.alias(n) for n, c in statistics(value).items()))
-    q = lambda i: F.col("quartiles")[i]
-    return found.select("label", "n", "total", "mean", q(1).alias("median"), "low", "high", "sd", "variance", (q(2) - q(0)).alias("iqr"))
+def distributions(df: DataFrame, variables: list[str], metrics: list[str]) -> DataFrame:
+    """variable, label, metric and count, mean, quartiles and range of each metric by each variable's labels; null labels and values drop out."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("label"), F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for v in variables for m in metrics))).alias("x")
+    groups = ["variable", "label", "metric"]
+    out = quantiles.statistics(df.select(pairs).select("x.*").where("label IS NOT NULL"), groups, F.col("value"))
+    return out.select(*groups, "n", "mean", F.col("q")[0].alias("q1"), "median", F.col("q")[2].alias("q3"), "low", "high")
 
 
 def interface_flow(cases: DataFrame, buses: DataFrame, one: int, other: int) -> DataFrame:
@@ -64,10 +71,11 @@ def interface_flow(cases: DataFrame, buses: DataFrame, one: int, other: int) ->
 
 
 def quantile_bins(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
-    """Right-closed bins at the quantiles, the lowest edge included, equal edges merged."""
-    edges = df.agg(F.array_distinct(F.percentile(value, F.array(*(F.lit(i / bins) for i in range(bins + 1))))).alias("edges"))
-    placed = df.where(F.col(value).isNotNull()).join(F.broadcast(edges)).withColumn("bin", F.greatest(F.lit(1), F.expr(f"size(filter(edges, e -> e < {value}))")))
-    return placed.groupBy("bin").agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+    """Right-closed bins at the quantiles, the lowest edge included, equal edges merged. The edges are one row."""
+    counts = quantiles.counted(df, [], F.col(value))
+    edges = quantiles.select(counts, [], tuple(i / bins for i in range(bins + 1))).select(F.array_distinct("q").alias("edges"))
+    placed = counts.join(F.broadcast(edges)).withColumn("bin", F.greatest(F.lit(1), F.expr("size(filter(edges, e -> e < _v))")))
+    return placed.groupBy("bin").agg(F.sum("_c").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
 
 
 def gini(df: DataFrame, value: str) -> DataFrame:

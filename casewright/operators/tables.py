@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from casewright.functions.names import join_key
 from casewright.operators.ranking import running_sum
 
 
@@ -26,6 +28,49 @@ def lookup(left: DataFrame, right: DataFrame, on: str, order: list, prefix: str)
     return left.join(one, on, "left").withColumn(prefix + "matches", F.coalesce(prefix + "matches", F.lit(0).cast("long")))
 
 
+@dataclass
+class Lookup:
+    """A table to look rows up in: its key column, the column of the rows so far that holds the key, the columns to add, and the order that
+    makes one of several rows with a key the first."""
+
+    label: str
+    rows: DataFrame
+    left_on: str
+    right_on: str
+    columns: list[str]
+    order: list[str]
+
+
+def lookups(left: DataFrame, chain: list[Lookup]) -> tuple[DataFrame, list[Observation]]:
+    """left with the columns of every lookup in turn, a later one may use what an earlier one added; keys are compared as numbers or folded text.
+    A name that is taken gets the lookup's label in front. The observations (of a lookup each: duplicates, the rows passed over for an
+    earlier one with their key; then unmatched, the rows that found none) are filled in the same pass as the first action on the result."""
+    seen, found = [], left
+    for at, x in enumerate(chain):
+        added = {c: c if c not in found.columns else f"{x.label}.{c}" for c in x.columns}
+        if x.left_on not in found.columns or len({*added.values(), *found.columns}) < len(added) + len(found.columns):
+            raise ValueError(f"{x.label}: {x.left_on} is no column, or one of {', '.join(added.values())} is there already")
+        key, duplicates, unmatched = F.coalesce(join_key(F.col(f"`{x.right_on}`").cast("string")), F.lit("")), Observation(), Observation()
+        firsts = x.rows.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*x.columns), F.struct(*x.order)).alias("_row"), F.count("*").alias("_n"))
+        firsts = firsts.observe(duplicates, F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n")).select(F.col("_key").alias(f"_key{at}"), F.col("_row").alias(f"_row{at}"), F.lit(True).alias(f"_hit{at}"))
+        own = F.coalesce(join_key(F.col(f"`{x.left_on}`").cast("string")), F.lit(""))
+        found = found.join(firsts, own == F.col(f"_key{at}"), "left").observe(unmatched, F.count_if(F.col(f"_hit{at}").isNull()).alias("n"))
+        found = found.select(*(F.col(f"`{c}`") for c in found.columns if not c.startswith("_")), *(F.col(f"_row{at}")[c].alias(name) for c, name in added.items()))
+        seen += [duplicates, unmatched]
+    return found, seen
+
+
+def page_with_total(df: DataFrame, order: list, offset: int, size: int) -> DataFrame:
+    """page() with total (rows of the whole table), next_offset (null on the last page) and truncated. One job: the rows are counted while
+    every task keeps its best. The page, whose size the caller states, passes through the driver."""
+    total = Observation()
+    rows = page(df.observe(total, F.count(F.lit(1)).alias("n")), order, offset, size).collect()
+    # a page beyond the end may not have read anything
+    n, upto = total.get["n"] if rows else df.count(), offset + len(rows)
+    out = df.sparkSession.createDataFrame(rows, df.schema)
+    return out.select("*", F.lit(n).cast("long").alias("total"), F.lit(upto if upto < n else None).cast("long").alias("next_offset"), F.lit(upto < n).alias("truncated"))
+
+
 def difference(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Keys whose value differs, is only in one side, or both: keys, before, after, kind."""
     joined = before.select(*keys, F.col(value).alias("before"), F.lit(1).alias("_b")).join(

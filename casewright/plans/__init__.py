@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from . import cases, more, queries, text, wider  # noqa: F401
+from . import cases, deeper, more, queries, text, wider  # noqa: F401

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from casewright.functions import columns as C
-from casewright.operators import network, ranking, retrieval, summaries, tables
+from casewright.operators import network, quantiles, ranking, retrieval, summaries, tables
 from casewright.plans.queries import _ABS, _DEC, _FAC, _KEYS, _stats, query
 from casewright.sources import files
 
@@ -17,8 +17,12 @@ def _sum(c):
 
 @query(f"SELECT count(*) AS n, {_DEC.format('value')} / count(*) AS mean, quantile_cont(value, 0.5) AS median, max(value) AS high, count(CASE WHEN value > 80 THEN 1 END) AS over_80, count(CASE WHEN value > 100 THEN 1 END) AS over_100 FROM ({_FAC})")
 def thermal_metrics(spark, sf_dir):
-    v = F.col("value")
-    return _facilities(spark).agg(F.count("*").alias("n"), (_sum(v) / F.count("*")).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.max(v).alias("high"), F.count_if(v > 80).alias("over_80"), F.count_if(v > 100).alias("over_100"))
+    counts = quantiles.counted(_facilities(spark), [], F.col("value"))
+    median = quantiles.select(counts, [], (0.5,)).select(F.col("q")[0].alias("median"))
+    over = lambda x: F.coalesce(F.sum(F.when(F.col("_v") > x, F.col("_c"))), F.lit(0))
+    total = F.sum(F.col("_v").cast("decimal(18,5)") * F.col("_c").cast("decimal(18,0)")).cast("double")
+    sums = counts.agg(F.sum("_c").alias("n"), (total / F.sum("_c")).alias("mean"), F.max("_v").alias("high"), over(80).alias("over_80"), over(100).alias("over_100"))
+    return sums.join(F.broadcast(median)).select("n", "mean", "median", "high", "over_80", "over_100")
 
 
 def _facilities(spark):

@@ -33,11 +33,13 @@ def query(sql: str | None = None):
     return add
 
 
-_BRANCH = f"""SELECT {_KEYS}, count(*) AS case_count, {_DEC.format('loading_percent')} / count(*) AS mean_loading, min(loading_percent) AS min_loading,
+_AT = "(min(struct_pack(x := {0}, e := event_idx, c := contingency)))"
+_BRANCH = f"""SELECT *, min_loading - base_loading AS min_deviation, max_loading - base_loading AS max_deviation FROM (SELECT {_KEYS}, count(*) AS case_count, {_DEC.format('loading_percent')} / count(*) AS mean_loading, min(loading_percent) AS min_loading,
  max(loading_percent) AS max_loading, max({_ABS}) AS max_abs_loading, max(CASE WHEN event_idx = 0 THEN loading_percent END) AS base_loading,
  count(CASE WHEN viol = 1 OR loading_percent >= 100 THEN 1 END) AS overload_count, count(CASE WHEN {_ABS} >= 100 THEN 1 END) AS thermal_count,
- max(rate_mva) AS rate_mva, (min(struct_pack(a := -{_ABS}, e := event_idx, c := contingency))).c AS binding_contingency
- FROM {_USABLE} GROUP BY {_KEYS}"""
+ (min(struct_pack(e := event_idx, c := contingency, r := rate_mva))).r AS rate_mva, {_AT.format('-' + _ABS)}.c AS binding_contingency,
+ {_AT.format('loading_percent')}.e AS min_event, {_AT.format('-loading_percent')}.e AS max_event, {_AT.format('-' + _ABS)}.e AS binding_event
+ FROM {_USABLE} GROUP BY {_KEYS})"""
 
 
 @query(_BRANCH)
@@ -45,9 +47,22 @@ def branch_summary(spark, sf_dir):
     return summaries.branch_summary(summaries.usable(spark.table("cases"), spark.table("convergence")))
 
 
-@query(f"""SELECT event_idx, contingency, count(*) AS facilities, count(CASE WHEN viol = 1 THEN 1 END) AS violations, max({_ABS}) AS max_abs_loading,
+@query(_BRANCH.replace("event_idx = 0 THEN", "event_idx IS NULL OR event_idx = 2 THEN").replace(_USABLE, "(SELECT nullif(event_idx, 0) AS event_idx, CASE event_idx WHEN 0 THEN ' Base-Case ' WHEN 2 THEN 'BASECASE' ELSE contingency END AS contingency, from_bus, to_bus, line_id, section, loading_percent, rate_mva, viol FROM cases)").replace("e := event_idx", "n := event_idx IS NULL, e := event_idx").replace("(min(struct_pack(n := event_idx IS NULL, e := event_idx, c := contingency, r := rate_mva))).r", "(min(struct_pack(n := event_idx IS NULL, e := event_idx, c := contingency, r := rate_mva)) FILTER (event_idx IS NULL OR event_idx % 3 <> 1)).r"))
+def branch_summary_words(spark, sf_dir):
+    """Base cases known by their names, violations in words and numbers, and ratings missing from a third of the cases."""
+    said = F.expr("CASE WHEN viol = 1 THEN element_at(array('Yes', ' 2.5', 'TRUE', 'converged'), event_idx % 4 + 1) ELSE element_at(array('no', '0.0', '', 'failed', 'n/a'), event_idx % 5 + 1) END")
+    name = F.expr("CASE event_idx WHEN 0 THEN ' Base-Case ' WHEN 2 THEN 'BASECASE' ELSE contingency END")
+    rate = F.expr("CASE WHEN event_idx % 3 = 1 THEN NULL ELSE rate_mva END")
+    cases = spark.table("cases").select("event_idx", name.alias("contingency"), *C.KEY, "loading_percent", rate.alias("rate_mva"), said.alias("viol"))
+    return summaries.branch_summary(cases.withColumn("event_idx", F.expr("nullif(event_idx, 0)")))
+
+
+_CONTINGENCY = f"""SELECT event_idx, contingency, count(*) AS facilities, count(CASE WHEN viol = 1 THEN 1 END) AS violations, max({_ABS}) AS max_abs_loading,
  count(CASE WHEN {_ABS} >= 100 THEN 1 END) AS thermal_count,
- (min(struct_pack(a := -{_ABS}, b := from_bus, c := to_bus, d := line_id, e := section, k := {_CK}))).k AS worst_facility FROM cases GROUP BY event_idx, contingency""")
+ (min(struct_pack(a := -{_ABS}, b := from_bus, c := to_bus, d := line_id, e := section, k := {_CK}))).k AS worst_facility FROM cases GROUP BY event_idx, contingency"""
+
+
+@query(_CONTINGENCY)
 def contingency_summary(spark, sf_dir):
     return summaries.contingency_summary(spark.table("cases"))
 
@@ -104,11 +119,13 @@ def group_cases_area(spark, sf_dir):
     return summaries.by_group(named, "area_name", F.col("loading_percent"))
 
 
-@query("SELECT line_id, count(*) AS n, avg(loading_percent) AS mean, quantile_cont(loading_percent, 0.25) AS q1, quantile_cont(loading_percent, 0.5) AS median, quantile_cont(loading_percent, 0.75) AS q3 FROM cases GROUP BY 1")
+_MELTED = "(SELECT * FROM (SELECT 'line_id' AS variable, line_id AS label, loading_percent, p_from_mw FROM cases UNION ALL SELECT 'contingency', contingency, loading_percent, p_from_mw FROM cases) UNPIVOT (value FOR metric IN (loading_percent, p_from_mw)))"
+
+
+@query(f"""SELECT variable, label, metric, count(value) AS n, {_DEC.format('value')} / count(value) AS mean, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3, min(value) AS low, max(value) AS high FROM {_MELTED} GROUP BY ALL""")
 def distribution_summary(spark, sf_dir):
-    q = F.percentile("loading_percent", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = spark.table("cases").groupBy("line_id").agg(F.count("*").alias("n"), F.avg("loading_percent").alias("mean"), q.alias("q"))
-    return out.select("line_id", "n", "mean", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    """Every variable by every metric in one pass: rows are melted, not read again."""
+    return summaries.distributions(spark.table("cases"), ["line_id", "contingency"], ["loading_percent", "p_from_mw"])
 
 
 @query("SELECT event_idx, abs(loading_percent) AS abs_loading, least(v_from_pu, v_to_pu) AS low_voltage, abs(ang_from_deg - ang_to_deg) AS angle_difference FROM cases")
@@ -232,7 +249,7 @@ def gini(spark, sf_dir):
     return summaries.gini(spark.table("supplier").select(F.abs("s_acctbal").alias("v")), "v")
 
 
-@query("SELECT event_type, count(*) AS n, min(value) AS low, max(value) AS high, " + _DEC.format("value") + " AS total FROM events GROUP BY event_type")
+@query(f"SELECT event_type, count(*) AS n, min(value) AS low, max(value) AS high, {_DEC.format('value')} AS total, {_DEC.format('value')} / count(value) AS mean, round(var_pop(value), 4) AS variance, round(stddev_pop(value), 6) AS sd FROM events GROUP BY event_type")
 def stream_group_stats(spark, sf_dir):
     return streams.stream_to_table(spark, f"{sf_dir}/events.parquet", "casewright_group_stats")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions import columns as C
 from casewright.functions import names as N
-from casewright.operators import network, outages, ranking, retrieval
+from casewright.operators import network, outages, ranking, retrieval, trees
 from casewright.plans.queries import _ABS, _ALL, _DEC, _KEYS, query
 from casewright.plans.wider import _PARTS, _network
 from casewright.sources import documents, files
@@ -208,8 +208,8 @@ def cache_freshness(spark, sf_dir):
  LEFT JOIN (SELECT DISTINCT contingency, status_code FROM convergence) c ON c.contingency IN (concat('BR_', p.i, '_', p.j, '_', p.ckt), concat('BR_', p.j, '_', p.i, '_', p.ckt))""")
 def outage_list(spark, sf_dir):
     """Outages that split the network, with the solver's status by the outage's name in either direction."""
-    buses, live, tree = _network(spark)
-    parts = outages.cut_off(tree, buses, network.settle(outages.splitting(live, tree)), swing=True)
+    buses, net = _network(spark)
+    parts = trees.cut_off(net, buses, trees.splitting(net), swing=True)
     return outages.with_status(parts, spark.table("convergence").select("contingency", "status_code").distinct()).select("i", "j", "ckt", "buses", "load_mw", "generation_mw", "status_code", "has_swing")
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from casewright.functions import columns as C
-from casewright.operators import edits, master, network, outages
+from casewright.operators import edits, master, network, outages, summaries, trees
 from casewright.plans.more import _facilities, _sum
-from casewright.plans.queries import _ABS, _DEC, _FAC, _KEYS, query
+from casewright.plans.queries import _BRANCH, _CONTINGENCY, _DEC, _FAC, _KEYS, _USABLE, query
 from casewright.sources import documents, files
 from casewright.streaming import streams
 
@@ -205,8 +205,7 @@ def analysis_summary(spark, sf_dir):
 @query(f"SELECT a.area_name AS label, count(*) AS n, {_DEC.format('value')} / count(*) AS mean, quantile_cont(value, 0.5) AS median, min(value) AS low, max(value) AS high FROM ({_FAC}) JOIN buses ON bus_id = from_bus JOIN areas a USING (area) GROUP BY 1")
 def group_summary(spark, sf_dir):
     named = _facilities(spark).join(spark.table("buses").join(spark.table("areas"), "area"), F.col("from_bus") == F.col("bus_id"))
-    v = F.col("value")
-    return named.groupBy(F.col("area_name").alias("label")).agg(F.count("*").alias("n"), (_sum(v) / F.count("*")).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.min(v).alias("low"), F.max(v).alias("high"))
+    return summaries.by_group(named, "area_name", F.col("value")).select("label", "n", "mean", "median", "low", "high")
 
 
 @query("SELECT event_idx, contingency, violations, coalesce(converged, 'true') = 'true' AS success FROM (SELECT event_idx, contingency, count(CASE WHEN viol = 1 THEN 1 END) AS violations FROM cases GROUP BY ALL) LEFT JOIN convergence USING (event_idx, contingency) ORDER BY violations DESC, event_idx, contingency LIMIT 20")
@@ -240,14 +239,13 @@ _REACH = f"""WITH RECURSIVE e AS {_LIVE}, w AS (SELECT id, i AS a, j AS b FROM e
 def _network(spark):
     buses = spark.table("net_bus")
     live = network.settle(network.in_service(buses, spark.table("net_element")))
-    roots = network.islands(buses, live).select(F.col("island").alias("bus")).distinct()
-    return buses, live, outages.forest(live, roots)
+    return buses, trees.rooted(live, buses.where("ide <> 4").select("bus"))
 
 
 @query(f"SELECT * FROM ({_REACH} SELECT i, j, ckt FROM s)")
 def splitting_outages(spark, sf_dir):
-    _, live, tree = _network(spark)
-    return outages.splitting(live, tree).select(F.least("bus", "parent").alias("i"), F.greatest("bus", "parent").alias("j"), "ckt")
+    _, net = _network(spark)
+    return trees.splitting(net).select(F.least("bus", "parent").alias("i"), F.greatest("bus", "parent").alias("j"), "ckt")
 
 
 _PARTS = f"""{_REACH}, t AS (SELECT s.id, s.i, s.j, s.ckt, r.side, count(*) AS n, sum(CAST(load_mw AS DECIMAL(18,5))) AS l, sum(CAST(generation_mw AS DECIMAL(18,5))) AS g, sum(CASE WHEN ide = 3 THEN 1 ELSE 0 END) AS swing, min(b.bus) AS low
@@ -258,8 +256,8 @@ _PARTS = f"""{_REACH}, t AS (SELECT s.id, s.i, s.j, s.ckt, r.side, count(*) AS n
 
 @query(f"SELECT * FROM ({_PARTS})")
 def cut_off_parts(spark, sf_dir):
-    buses, live, tree = _network(spark)
-    return outages.cut_off(tree, buses, network.settle(outages.splitting(live, tree)))
+    buses, net = _network(spark)
+    return trees.cut_off(net, buses, trees.splitting(net))
 
 
 @query(f"SELECT * FROM (WITH RECURSIVE e AS {_LIVE}, w AS (SELECT i AS a, j AS b FROM e UNION SELECT j, i FROM e), h(bus, hops) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT w.b, hops + 1 FROM h JOIN w ON w.a = h.bus WHERE hops < 2), m AS (SELECT bus, min(hops) AS hops FROM h GROUP BY bus) SELECT e.i, e.j, e.ckt, greatest(x.hops, y.hops) AS hops FROM e JOIN m x ON x.bus = e.i JOIN m y ON y.bus = e.j)")
@@ -268,13 +266,13 @@ def elements_near(spark, sf_dir):
     return outages.near_elements(live.where("i <> j"), network.k_hop(live, 1, 2))
 
 
-@query(f"SELECT * FROM (WITH RECURSIVE e AS {_LIVE}, w AS (SELECT i AS a, j AS b FROM e UNION SELECT j, i FROM e), h(bus, hops) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT w.b, hops + 1 FROM h JOIN w ON w.a = h.bus WHERE hops < 12) SELECT min(hops) AS hops FROM h WHERE bus = (SELECT max(i) FROM e) HAVING count(*) > 0)")
+@query(f"""SELECT * FROM (WITH RECURSIVE e AS {_LIVE}, w AS (SELECT i AS a, j AS b, ckt FROM e UNION SELECT j, i, ckt FROM e), h(bus, hops) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT w.b, hops + 1 FROM h JOIN w ON w.a = h.bus WHERE hops < 12), m AS (SELECT bus, min(hops) AS hops FROM h GROUP BY bus), p AS (SELECT b.bus, b.hops, min(struct_pack(a := w.a, c := w.ckt)) AS by FROM m b JOIN w ON w.b = b.bus JOIN m a ON a.bus = w.a AND a.hops = b.hops - 1 GROUP BY b.bus, b.hops),
+ q(bus) AS (SELECT max(i) FROM e UNION SELECT p.by.a FROM q JOIN p ON p.bus = q.bus) SELECT m.hops AS step, m.bus, p.by.c AS ckt FROM m LEFT JOIN p USING (bus) WHERE m.bus IN (SELECT bus FROM q) AND (SELECT count(*) FROM m WHERE bus = (SELECT max(i) FROM e)) > 0)""")
 def shortest_path(spark, sf_dir):
-    """Number of elements on the shortest way from bus 1 to the last bus in service."""
+    """The shortest way from bus 1 to the last bus in service: each bus with the circuit that leads to it."""
     live = network.settle(network.in_service(spark.table("net_bus"), spark.table("net_element")))
     end = live.where("i <> j").agg(F.max("i")).first()[0]
-    way = outages.path(outages.forest(live, spark.createDataFrame([(1,)], "bus long")), end)
-    return way.agg(F.max("step").alias("hops")).where("hops IS NOT NULL")
+    return outages.path(outages.forest(live, spark.createDataFrame([(1,)], "bus long")), end)
 
 
 @query("SELECT (SELECT count(*) FROM net_bus) AS buses, (SELECT count(*) FROM net_bus WHERE ide = 4) AS isolated, count(*) AS elements, count(CASE WHEN st <> 1 THEN 1 END) AS out_of_service, count(CASE WHEN st = 1 AND (i IN (SELECT bus FROM net_bus WHERE ide = 4) OR j IN (SELECT bus FROM net_bus WHERE ide = 4)) THEN 1 END) AS at_isolated FROM net_element")
@@ -340,14 +338,17 @@ def passages(spark, sf_dir):
 # streams
 
 
-@query(f"SELECT event_idx, contingency, count(*) AS facilities, count(CASE WHEN viol = 1 THEN 1 END) AS violations, max({_ABS}) AS max_abs_loading FROM cases GROUP BY event_idx, contingency")
+@query(_CONTINGENCY)
 def stream_contingency_summary(spark, sf_dir):
-    return streams.complete(spark, spark.table("cases").select("event_idx", "contingency", "viol", "loading_percent"), streams.running_contingencies)
+    cols = ["event_idx", "contingency", *C.KEY, "viol", "loading_percent"]
+    return streams.complete(spark, spark.table("cases").select(*cols), summaries.contingency_summary)
 
 
-@query(f"SELECT {_KEYS}, count(*) AS case_count, max({_ABS}) AS max_abs_loading, max(rate_mva) AS rate_mva FROM cases GROUP BY ALL")
+@query(_BRANCH.replace(_USABLE, "cases"))
 def stream_branch_summary(spark, sf_dir):
-    return streams.complete(spark, spark.table("cases").select(*C.KEY, "rate_mva", "loading_percent"), streams.running_branches)
+    """All fields of the branch summary as a running result, over all cases."""
+    cols = ["event_idx", "contingency", *C.KEY, "rate_mva", "viol", "loading_percent"]
+    return streams.complete(spark, spark.table("cases").select(*cols), summaries.branch_summary)
 
 
 @query("SELECT run_id, CAST(least(total, done) AS BIGINT) AS done, total FROM (SELECT run_id, sum(CASE WHEN line LIKE 'contingency:%' THEN 10 ELSE 0 END) AS done, max(CASE WHEN line LIKE 'Total%' THEN CAST(regexp_extract(line, '([0-9]+)$', 1) AS BIGINT) END) AS total FROM solver_lines GROUP BY run_id) WHERE total IS NOT NULL")

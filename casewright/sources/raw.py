@@ -191,3 +191,29 @@ def typed(found: DataFrame) -> DataFrame:
     layout = F.broadcast(spark.createDataFrame(rows, "version int, section string, names array<string>, defaults array<string>"))  # nine rows
     filled = F.expr("map_from_arrays(names, transform(defaults, (d, i) -> coalesce(nullif(get(fields, i).value, ''), d)))")
     return found.join(layout, ["version", "section"]).select("file", "version", "section", "record", filled.alias("values"))
+
+
+def network_tables(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(buses, branches, transformers, areas) of all records as one network: buses with bus_name, ide, area and the in-service load_mw and
+    generation_mw; branches i, j, ckt, st; transformers i, j, k, circuit, status; areas area, area_name."""
+    value = lambda n: F.element_at("values", F.lit(n))
+    first = F.coalesce(value("STATUS"), value("STAT"), value("ST"), F.lit("1"))
+    bus = named(found.where("section = 'BUS'")).select(lenient_int(value("I")).alias("bus"), F.trim(value("NAME")).alias("bus_name"), lenient_int(value("IDE")).alias("ide"), lenient_int(value("AREA")).alias("area")).where("bus IS NOT NULL")
+    records_ = typed(found)
+    at_bus = lambda section, field, name: records_.where(F.col("section") == section).where(first == "1").groupBy(lenient_int(value("I")).alias("bus")).agg(
+        F.sum(lenient_double(value(field)).cast("decimal(18,5)")).alias(name))
+    sums = bus.join(at_bus("LOAD", "PL", "load_mw"), "bus", "left").join(at_bus("GENERATOR", "PG", "generation_mw"), "bus", "left").na.fill(0, ["load_mw", "generation_mw"])
+    branch = records_.where("section = 'BRANCH'").select(F.abs(lenient_int(value("I"))).alias("i"), F.abs(lenient_int(value("J"))).alias("j"), F.coalesce(F.nullif(F.trim(value("CKT")), F.lit("")), F.lit("1")).alias("ckt"), F.when(first == "0", 0).otherwise(1).alias("st"))
+    return sums, branch, transformers(found).select("i", "j", "k", "circuit", "status"), areas(found).select("area", "area_name").distinct()
+
+
+def searchable(found: DataFrame) -> DataFrame:
+    """kind, record, keys (bus numbers, id or circuit), buses of the load, generator, branch and transformer records."""
+    value = lambda n: F.element_at("values", F.lit(n))
+    rows, bus = typed(found), lambda n: F.abs(lenient_int(value(n)))
+    row = lambda kind, buses_, last: [F.lit(kind).alias("kind"), F.concat_ws(" ", *buses_, last).alias("record"), F.array(*(b.cast("string") for b in buses_), last).alias("keys"), F.array(*buses_).alias("buses")]
+    single = [rows.where(F.col("section") == s.upper()).select(*row(s, [bus("I")], F.trim(value("ID")))) for s in ("load", "generator")]
+    branch = rows.where("section = 'BRANCH'").select(*row("branch", [bus("I"), bus("J")], F.trim(value("CKT"))))
+    wound = transformers(found).withColumn("buses", F.expr("filter(array(i, j, k), b -> b <> 0)"))
+    wound = wound.select(F.lit("transformer").alias("kind"), F.concat_ws(" ", "i", "j", "k", "circuit").alias("record"), F.concat(F.col("buses").cast("array<string>"), F.array("circuit")).alias("keys"), "buses")
+    return single[0].union(single[1]).union(branch).union(wound)

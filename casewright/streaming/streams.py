@@ -12,8 +12,11 @@ from casewright.operators.network import shared_path
 
 
 def running_group_stats(events: DataFrame) -> DataFrame:
-    """Works alike on a batch and on a stream."""
-    return events.groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.sum(F.col("value").cast("decimal(18,5)")).cast("double").alias("total"))
+    """Works alike on a batch and on a stream. The state of a group is its count, exact sum, range and second moment around the mean;
+    states merge, so partial results of files and batches add up."""
+    value = F.col("value").cast("double")
+    total = F.sum(value.cast("decimal(18,5)")).cast("double")
+    return events.groupBy("event_type").agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), total.alias("total"), (total / F.count(value)).alias("mean"), F.round(F.var_pop(value), 4).alias("variance"), F.round(F.stddev_pop(value), 6).alias("sd"))
 
 
 def stream_to_table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -25,14 +28,6 @@ def stream_to_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def running_contingencies(cases: DataFrame) -> DataFrame:
-    return cases.groupBy("event_idx", "contingency").agg(F.count("*").alias("facilities"), F.count_if(F.col("viol") == 1).alias("violations"), F.max(F.abs("loading_percent")).alias("max_abs_loading"))
-
-
-def running_branches(cases: DataFrame) -> DataFrame:
-    return cases.groupBy(*KEY).agg(F.count("*").alias("case_count"), F.max(F.abs("loading_percent")).alias("max_abs_loading"), F.max("rate_mva").alias("rate_mva"))
-
-
 def complete(spark: SparkSession, rows: DataFrame, running: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """rows as files that a stream takes in turn; every batch writes the whole running result to the shared folder,
     and the last one is returned."""

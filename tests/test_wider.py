@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from casewright.operators import edits, master, outages
+from casewright.operators import edits, master, outages, summaries, trees
 from casewright.sources import documents
 from casewright.streaming import streams
 
@@ -13,33 +13,33 @@ def _rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-def _tree(spark):
+def _net(spark):
     elements = spark.createDataFrame(NET, "i long, j long, ckt string")
-    return elements, outages.forest(elements, spark.createDataFrame([(1,)], "bus long"))
+    return elements, trees.rooted(elements, spark.createDataFrame([(b,) for b in range(1, 7)], "bus long"))
 
 
 def test_rings_and_parallel_circuits_do_not_split(spark):
-    elements, tree = _tree(spark)
-    assert _rows(outages.splitting(elements, tree).select("parent", "bus", "ckt")) == [(3, 4, "1"), (5, 6, "1")]
+    _, net = _net(spark)
+    assert _rows(trees.splitting(net).select("parent", "bus", "ckt")) == [(3, 4, "1"), (5, 6, "1")]
 
 
 def test_cut_off_part_is_the_smaller_side_or_the_one_without_a_swing_bus(spark):
-    elements, tree = _tree(spark)
+    _, net = _net(spark)
     buses = spark.createDataFrame([(b, 3 if b == 5 else 1, 10.0 * b, 1.0) for b in range(1, 7)], "bus long, ide int, load_mw double, generation_mw double")
-    got = outages.cut_off(tree, buses, outages.splitting(elements, tree)).select("i", "j", "buses", "load_mw", "rest_buses", "rest_load_mw")
+    got = trees.cut_off(net, buses, trees.splitting(net)).select("i", "j", "buses", "load_mw", "rest_buses", "rest_load_mw")
     assert _rows(got) == [(3, 4, 3, 60.0, 3, 150.0), (5, 6, 1, 60.0, 5, 150.0)]
 
 
 def test_path_to_a_bus_and_to_an_unknown_one(spark):
-    _, tree = _tree(spark)
+    elements, _ = _net(spark)
+    tree = outages.forest(elements, spark.createDataFrame([(1,)], "bus long"))
     assert [r.bus for r in outages.path(tree, 6).orderBy("step").collect()] == [1, 3, 4, 5, 6]
     assert outages.path(tree, 99).isEmpty()
 
 
 def test_an_empty_network_has_no_tree_and_no_splits(spark):
-    elements = spark.createDataFrame([], "i long, j long, ckt string")
-    tree = outages.forest(elements, spark.createDataFrame([], "bus long"))
-    assert tree.isEmpty() and outages.splitting(elements, tree).isEmpty()
+    elements, none = spark.createDataFrame([], "i long, j long, ckt string"), spark.createDataFrame([], "bus long")
+    assert outages.forest(elements, none).isEmpty() and trees.splitting(trees.rooted(elements, none)).isEmpty()
 
 
 def test_later_changes_win_from_either_end(spark):
@@ -86,5 +86,5 @@ def test_passages_begin_at_headings_and_keep_every_character(spark):
 
 
 def test_running_summary_of_an_empty_stream(spark):
-    rows = spark.createDataFrame([], "event_idx int, contingency string, viol int, loading_percent double")
-    assert streams.complete(spark, rows, streams.running_contingencies).isEmpty()
+    rows = spark.createDataFrame([], "event_idx int, contingency string, from_bus int, to_bus int, line_id string, section string, viol int, rate_mva double, loading_percent double")
+    assert streams.complete(spark, rows, summaries.contingency_summary).isEmpty() and streams.complete(spark, rows, summaries.branch_summary).isEmpty()
