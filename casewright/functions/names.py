@@ -46,11 +46,16 @@ CLASSES = ("exact", "prefix", "fuzzy")
 
 
 def best_matches(table: DataFrame, queries: DataFrame, column: str) -> DataFrame:
-    """query, the table's columns, match and place: matches of each query, best class first. queries is a short list of what is
-    asked; a table of more than LISTED rows is refused, as every query meets every name."""
-    if queries.count() > LISTED:
-        raise ValueError(f"at most {LISTED} names can be asked for at once")
-    found = table.join(F.broadcast(queries.select("query").distinct()), match_class(F.col("query"), F.col(column)).isNotNull())
+    """query, the table's columns, match and place: matches of each query, best class first. Up to LISTED queries meet every name; more of them
+    are joined by what a match must share: the first letter of one of the query's words with that of one of the name's."""
+    asked, hit = queries.select("query").distinct(), match_class(F.col("query"), F.col(column)).isNotNull()
+    if asked.count() <= LISTED:
+        found = table.join(F.broadcast(asked), hit)
+    else:
+        letters = lambda c: F.explode(F.array_distinct(F.transform(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c.cast("string"), F.lit(""))), r"[^\p{L}\p{N}_]+", " "), " "), lambda w: w != ""), lambda w: F.left(w, F.lit(1)))))
+        keyed = table.withColumn("_row", F.monotonically_increasing_id())
+        pairs = keyed.select("*", letters(F.col(column)).alias("_letter")).join(asked.select("query", letters(F.col("query")).alias("_letter")), "_letter").where(hit)
+        found = pairs.dropDuplicates(["_row", "query"]).drop("_row", "_letter")
     found = found.withColumn("match", match_class(F.col("query"), F.col(column)))
     return found.withColumn("place", F.array_position(F.array(*map(F.lit, CLASSES)), F.col("match")).cast("int"))
 

@@ -54,6 +54,22 @@ def scaled(buses: DataFrame, area: int, column: str, factor: float | None = None
 def area_by_name(areas: DataFrame, wanted: DataFrame) -> DataFrame:
     """name, area: the area of each wanted name: an equal name, else the only one of which either is the other's start."""
     w, a = wanted.select("name", F.lower(F.trim("name")).alias("w")), areas.select("area", F.lower(F.trim("area_name")).alias("a"))
-    met = w.join(F.broadcast(a), F.expr("startswith(a, w) OR startswith(w, a)"))
+    # a name that another one begins with is one of its prefixes, so both ways are equal joins
+    starts = lambda df, c: df.select("*", F.explode(F.expr(f"transform(sequence(1, length({c})), n -> left({c}, n))")).alias("start")).where(F.length(c) > 0)
+    met = starts(a, "a").join(w, F.expr("start = w")).union(starts(w, "w").join(a.where("a <> ''"), F.expr("start = a AND a <> w")).select("area", "a", "start", "name", "w"))
     best = met.groupBy("name").agg(F.max(F.when(F.expr("a = w"), F.col("area"))).alias("equal"), F.count("*").alias("n"), F.max("area").alias("only"))
     return best.select("name", F.coalesce("equal", F.when(F.col("n") == 1, F.col("only"))).alias("area")).where("area IS NOT NULL")
+
+
+def totals(before: DataFrame, after: DataFrame) -> DataFrame:
+    """area (null for all), load and generation before and after in service, the imbalance that the edits make (generation less load, against before), and the
+    buses that carry it: swing buses of the area with generation after the edits, in order. Columns: bus, ide, area, load_mw, generation_mw."""
+    exact = lambda c, n: F.sum(F.col(c).cast("decimal(28,5)")).alias(n)
+    side = lambda df, n: df.where("ide <> 4").groupingSets([["area"], []], "area").agg(exact("load_mw", f"load_{n}"), exact("generation_mw", f"generation_{n}"), F.grouping("area").alias("all"))
+    swing = after.where("ide = 3 AND generation_mw IS NOT NULL").groupingSets([["area"], []], "area").agg(F.sort_array(F.collect_list("bus")).alias("carried_by"), F.grouping("area").alias("all"))
+    a, b = side(before, "before"), side(after, "after")
+    met = a.join(b.withColumnsRenamed({"area": "_a", "all": "_l"}), F.expr("area <=> _a AND all = _l"), "full").withColumn("area", F.coalesce("area", "_a")).withColumn("all", F.coalesce("all", "_l"))
+    met = met.join(swing.withColumnsRenamed({"area": "_s", "all": "_m"}), F.expr("area <=> _s AND all = _m"), "left")
+    names = ["load_before", "load_after", "generation_before", "generation_after"]
+    known = [F.coalesce(c, F.lit(0).cast("decimal(38,5)")) for c in names]
+    return met.select("area", *(k.cast("double").alias(n) for k, n in zip(known, names)), ((known[3] - known[1]) - (known[2] - known[0])).cast("double").alias("imbalance_mw"), F.coalesce("carried_by", F.array().cast("array<bigint>")).alias("carried_by"))

@@ -21,7 +21,9 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     if not top:
         if not re.match(r"local(\[|$)", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        top = _LOCAL.setdefault(context.applicationId, tempfile.mkdtemp(prefix="casewright-"))
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="casewright-")
+        top = _LOCAL[context.applicationId]
     return f"{top.rstrip('/')}/casewright-{context.applicationId}/{kind}-{uuid4().hex}"
 
 

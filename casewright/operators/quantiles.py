@@ -37,7 +37,8 @@ def select(counts: DataFrame, groups: list[str], fractions: tuple[float, ...]) -
     upto = F.col("_before") + F.sum("_c").over(Window.partitionBy("_part", *groups).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     at = lambda r: F.max(F.when((r >= F.col("_upto") - F.col("_c")) & (r < F.col("_upto")), F.col("_v")))
     found = rows.withColumn("_upto", upto).groupBy(*groups, "n").agg(*(at(r).alias(f"_r{i}") for i, r in enumerate(ranks)))
-    between = [F.when(F.ceil(p) == F.floor(p), F.col(f"_r{2 * i}")).otherwise((F.ceil(p) - p) * F.col(f"_r{2 * i}") + (p - F.floor(p)) * F.col(f"_r{2 * i + 1}")) for i, p in enumerate(place)]
+    low, high = lambda i: F.col(f"_r{2 * i}"), lambda i: F.col(f"_r{2 * i + 1}")
+    between = [low(i) + (high(i) - low(i)) * (p - F.floor(p)) for i, p in enumerate(place)]
     return found.select(*groups, "n", F.array(*between).alias("q"))
 
 
@@ -53,9 +54,9 @@ def statistics(df: DataFrame, groups: list[str], value: Column) -> DataFrame:
     v, c = F.col("_v"), F.col("_c")
     total = F.sum(v.cast("decimal(18,5)") * c.cast("decimal(18,0)")).cast("double")
     sums = counts.groupBy(*groups).agg(F.sum(c).alias("n"), total.alias("total"), F.min(v).alias("low"), F.max(v).alias("high")).withColumn("mean", F.col("total") / F.col("n"))
-    centred = counts.join(sums.select(*groups, "mean"), groups) if groups else counts.crossJoin(F.broadcast(sums.select("mean")))
+    centred = counts.join(sums.select(*groups, "mean"), groups)
     spread = centred.groupBy(*groups).agg((F.sum(c * (v - F.col("mean")) * (v - F.col("mean"))) / F.sum(c)).alias("variance"))
     found = select(counts, groups, QUARTILES).drop("n")
-    out = sums.join(spread, groups).join(found, groups) if groups else sums.crossJoin(spread).crossJoin(found)
+    out = sums.join(spread, groups).join(found, groups)
     q = F.col("q")
     return out.select(*groups, "n", "total", "mean", q[1].alias("median"), "low", "high", F.round(F.sqrt("variance"), 6).alias("sd"), F.round("variance", 4).alias("variance"), (q[2] - q[0]).alias("iqr"), "q")

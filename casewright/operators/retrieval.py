@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.functions.columns import search_tokens
+from casewright.operators.network import settle
 
 K1, B = 1.5, 0.75
 
@@ -16,10 +17,12 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id, score. Only the query's terms are exploded; statistics come from all documents of the scope."""
-    sized = docs.select("doc_id", search_tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len"))  # one row
-    hits = sized.select("doc_id", F.size("t").alias("len"), F.explode(F.filter("t", lambda x: x.isin(*terms))).alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    """doc_id, score. Texts are read and cut into tokens once: lengths and the query's tokens are written, and statistics come from all documents
+    of the scope."""
+    tokens = docs.select("doc_id", search_tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    sized = settle(tokens.select("doc_id", F.size("t").alias("len"), F.filter("t", lambda x: x.isin(*terms)).alias("found")))
+    stats = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))  # one row
+    hits = sized.select("doc_id", "len", F.explode("found").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))  # one row a query term
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from casewright.functions import columns as C
 from casewright.functions.columns import KEY
 from casewright.operators import quantiles
+from casewright.operators.network import settle
 from casewright.operators.ranking import running_sum
 
 THERMAL = 100.0
@@ -83,3 +85,30 @@ def gini(df: DataFrame, value: str) -> DataFrame:
     v = df.where(f"{value} >= 0").groupBy(F.col(value).cast("decimal(18,5)").alias("v")).count()
     ranked = running_sum(v, ["v"], "count", "upto")
     return ranked.agg(F.round(F.expr("2 * sum(v * count * (upto - (count - 1) / 2)) / (sum(count) * sum(v * count)) - (sum(count) + 1) / sum(count)").cast("double"), 6).alias("gini"))
+
+
+def success_totals(log: DataFrame) -> DataFrame:
+    """violation (null for all together), total, success, failure, unknown, success_rate_pct, failure_rate_pct, isolated of a success log
+    (success, violation, isolated)."""
+    said = log.select(F.coalesce("violation", F.lit("none")).alias("violation"), "success", F.coalesce("isolated", F.lit(False)).alias("isolated"))
+    found = said.groupingSets([["violation"], []], "violation").agg(F.count("*").alias("total"), F.count_if(F.col("success")).alias("success"), F.count_if(~F.col("success")).alias("failure"), F.count_if(F.col("isolated")).alias("isolated"))
+    rate = lambda c: F.round(F.col(c) * 100 / F.nullif(F.col("total"), F.lit(0)), 4)
+    return found.select("violation", "total", "success", "failure", (F.col("total") - F.col("success") - F.col("failure")).alias("unknown"), rate("success").alias("success_rate_pct"), rate("failure").alias("failure_rate_pct"), "isolated")
+
+
+def voltage_extremes(cases: DataFrame, low: float, high: float, worst: int = 10) -> DataFrame:
+    """side (low or high), rank, bus, value of the buses with the lowest and highest voltages, with how many buses there are (buses) and how many lie beyond
+    the limit (beyond). Each case gives a value for both its ends; each side is a bounded heap a task."""
+    ends = cases.select(F.explode(F.array(F.struct(F.col("from_bus").alias("bus"), F.col("v_from_pu").alias("v")), F.struct(F.col("to_bus").alias("bus"), F.col("v_to_pu").alias("v")))).alias("x")).select("x.*").where("v IS NOT NULL")
+    per = settle(ends.groupBy("bus").agg(F.min("v").alias("low"), F.max("v").alias("high")))
+    counts = per.agg(F.count("*").alias("buses"), F.count_if(F.col("low") < low).alias("n_low"), F.count_if(F.col("high") > high).alias("n_high"))
+    first = lambda side, order: per.orderBy(order, "bus").limit(worst).select(F.lit(side).alias("side"), F.row_number().over(Window.orderBy(order, "bus")).alias("rank"), "bus", F.col(side).alias("value"))
+    rows = first("low", F.asc("low")).union(first("high", F.desc("high")))
+    return rows.join(F.broadcast(counts)).select("side", "rank", "bus", "value", "buses", F.when(F.col("side") == "low", F.col("n_low")).otherwise(F.col("n_high")).alias("beyond"))
+
+
+def flow_extremes(flows: DataFrame) -> DataFrame:
+    """One row of an interface's flows (event_idx, flow_mw): base, minimum and maximum, with their events; ties go to the smaller event."""
+    at = lambda order: F.min_by("event_idx", F.struct(order.alias("x"), "event_idx"))
+    v = F.col("flow_mw")
+    return flows.agg(F.max(F.when(F.col("event_idx") == 0, v)).alias("base_mw"), F.min(v).alias("min_mw"), at(v).alias("min_event"), F.max(v).alias("max_mw"), at(-v).alias("max_event"), F.count("*").alias("events"))

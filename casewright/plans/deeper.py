@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casewright.functions import columns as C
-from casewright.operators import master, network, objects, stars, tables
+from casewright.operators import edits, master, network, objects, stars, summaries, tables
 from casewright.plans.cases import _found
 from casewright.plans.queries import _ABS, _CK, _CLASS, _DEC, _KEYS, query
 from casewright.sources import raw, texttables
@@ -237,3 +237,43 @@ def text_table_rejects(spark, sf_dir):
 @query("SELECT s_suppkey AS row_index, CAST(s_nationkey AS BIGINT) AS bus_id, CAST(1 AS DOUBLE) AS base_value, CAST(0.9 AS DOUBLE) AS min_value, CAST(1.1 AS DOUBLE) AS max_value, CAST(0.1 AS DOUBLE) AS min_deviation, CAST(0.1 AS DOUBLE) AS max_deviation, CAST(3 AS BIGINT) AS min_contingency, CAST(4 AS BIGINT) AS max_contingency FROM supplier WHERE s_suppkey % 7 <> 2 AND s_suppkey % 11 <> 5")
 def text_table_rows(spark, sf_dir):
     return texttables.table(texttables.lines(spark, _text_files(spark)), "vmag_mm")
+
+
+# totals and worst lists
+
+
+@query("""SELECT violation, count(*) AS total, count(CASE WHEN success THEN 1 END) AS success, count(CASE WHEN NOT success THEN 1 END) AS failure, count(*) - count(success) AS unknown, round(count(CASE WHEN success THEN 1 END) * 100 / count(*), 4) AS success_rate_pct,
+ round(count(CASE WHEN NOT success THEN 1 END) * 100 / count(*), 4) AS failure_rate_pct, count(CASE WHEN isolated THEN 1 END) AS isolated
+ FROM (SELECT CASE event_id % 3 WHEN 0 THEN NULL ELSE event_id % 2 = 0 END AS success, CASE WHEN event_id % 5 = 0 THEN 'none' ELSE ['voltage', 'flow'][CAST(event_id % 2 AS INT) + 1] END AS violation, event_id % 7 = 0 AS isolated FROM events) GROUP BY GROUPING SETS ((violation), ())""")
+def success_totals(spark, sf_dir):
+    """Totals and rates of a success log, overall and by violation."""
+    log = spark.table("events").select(F.expr("CASE event_id % 3 WHEN 0 THEN NULL ELSE event_id % 2 = 0 END").alias("success"), F.expr("CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 'voltage' ELSE 'flow' END").alias("violation"), F.expr("event_id % 7 = 0").alias("isolated"))
+    return summaries.success_totals(log)
+
+
+_VOLTS = "(SELECT bus, min(v) AS low, max(v) AS high FROM (SELECT from_bus AS bus, v_from_pu AS v FROM cases UNION ALL SELECT to_bus, v_to_pu FROM cases) WHERE v IS NOT NULL GROUP BY bus)"
+
+
+@query(f"""SELECT * FROM (SELECT 'low' AS side, CAST(row_number() OVER (ORDER BY low, bus) AS INT) AS rank, bus, low AS value, count(*) OVER () AS buses, count(CASE WHEN low < 0.95 THEN 1 END) OVER () AS beyond FROM {_VOLTS}
+ UNION ALL SELECT 'high', CAST(row_number() OVER (ORDER BY high DESC, bus) AS INT), bus, high, count(*) OVER (), count(CASE WHEN high > 1.02 THEN 1 END) OVER () FROM {_VOLTS}) WHERE rank <= 10""")
+def voltage_extremes(spark, sf_dir):
+    """The ten buses with the lowest and the ten with the highest voltages, and how many lie beyond the limits."""
+    return summaries.voltage_extremes(spark.table("cases"), 0.95, 1.02)
+
+
+_FLOW = "(SELECT event_idx, CAST(sum(CAST(CASE WHEN f.area = 0 THEN p_from_mw ELSE -p_from_mw END AS DECIMAL(18,6))) AS DOUBLE) AS flow_mw FROM cases JOIN buses f ON f.bus_id = from_bus JOIN buses t ON t.bus_id = to_bus WHERE (f.area = 0 AND t.area = 1) OR (f.area = 1 AND t.area = 0) GROUP BY event_idx)"
+
+
+@query(f"SELECT max(CASE WHEN event_idx = 0 THEN flow_mw END) AS base_mw, min(flow_mw) AS min_mw, (min(struct_pack(v := flow_mw, e := event_idx))).e AS min_event, max(flow_mw) AS max_mw, (min(struct_pack(v := -flow_mw, e := event_idx))).e AS max_event, count(*) AS events FROM {_FLOW}")
+def interface_extremes(spark, sf_dir):
+    """Base, smallest and largest flow between two areas, with their events."""
+    return summaries.flow_extremes(summaries.interface_flow(spark.table("cases"), spark.table("buses"), 0, 1))
+
+
+@query("""SELECT area, CAST(sum(CAST(load_mw AS DECIMAL(18,5))) AS DOUBLE) AS load_before, CAST(sum(CAST(l AS DECIMAL(18,5))) AS DOUBLE) AS load_after, CAST(sum(CAST(generation_mw AS DECIMAL(18,5))) AS DOUBLE) AS generation_before, CAST(sum(CAST(generation_mw AS DECIMAL(18,5))) AS DOUBLE) AS generation_after,
+ CAST(sum(CAST(load_mw AS DECIMAL(18,5))) - sum(CAST(l AS DECIMAL(18,5))) AS DOUBLE) AS imbalance_mw, coalesce(list_sort(list(bus) FILTER (ide = 3)), []) AS carried_by
+ FROM (SELECT *, CASE WHEN area = 3 THEN load_mw * 1.5 ELSE load_mw END AS l FROM net_bus WHERE ide <> 4) GROUP BY GROUPING SETS ((area), ())""")
+def edit_imbalance(spark, sf_dir):
+    """Totals before and after a scaling, what it leaves unbalanced, and the swing buses that carry it."""
+    before = spark.table("net_bus").withColumn("bus", F.col("bus").cast("long"))
+    return edits.totals(before, edits.scaled(before, 3, "load_mw", factor=1.5))

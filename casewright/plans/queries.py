@@ -119,13 +119,13 @@ def group_cases_area(spark, sf_dir):
     return summaries.by_group(named, "area_name", F.col("loading_percent"))
 
 
-_MELTED = "(SELECT * FROM (SELECT 'line_id' AS variable, line_id AS label, loading_percent, p_from_mw FROM cases UNION ALL SELECT 'contingency', contingency, loading_percent, p_from_mw FROM cases) UNPIVOT (value FOR metric IN (loading_percent, p_from_mw)))"
+_MELTED = "(SELECT * FROM (SELECT 'line_id' AS variable, line_id AS label, loading_percent, ang_from_deg FROM cases UNION ALL SELECT 'contingency', contingency, loading_percent, ang_from_deg FROM cases) UNPIVOT (value FOR metric IN (loading_percent, ang_from_deg)))"
 
 
 @query(f"""SELECT variable, label, metric, count(value) AS n, {_DEC.format('value')} / count(value) AS mean, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3, min(value) AS low, max(value) AS high FROM {_MELTED} GROUP BY ALL""")
 def distribution_summary(spark, sf_dir):
     """Every variable by every metric in one pass: rows are melted, not read again."""
-    return summaries.distributions(spark.table("cases"), ["line_id", "contingency"], ["loading_percent", "p_from_mw"])
+    return summaries.distributions(spark.table("cases"), ["line_id", "contingency"], ["loading_percent", "ang_from_deg"])
 
 
 @query("SELECT event_idx, abs(loading_percent) AS abs_loading, least(v_from_pu, v_to_pu) AS low_voltage, abs(ang_from_deg - ang_to_deg) AS angle_difference FROM cases")

@@ -123,13 +123,13 @@ def area_filter(spark, sf_dir):
     return _ends(spark).where(N.in_area(named, " AREA 2")).select(*C.KEY, "rate_mva")
 
 
-@query("""SELECT contingency, list_sort(list_distinct(list_transform(list_filter(b, lambda x: x % 9 <> 0), lambda x: CAST(x % 5 AS VARCHAR)))) AS areas FROM (SELECT DISTINCT contingency, list_transform(regexp_extract_all(contingency, '[0-9]+'), lambda x: CAST(x AS INT))[1:CASE WHEN contingency LIKE 'BR%' THEN 2 ELSE 1 END] AS b FROM cases)""")
+@query("""SELECT c.contingency, coalesce(list_sort(list(DISTINCT CAST(area AS VARCHAR)) FILTER (area IS NOT NULL)), []) AS areas FROM (SELECT DISTINCT contingency, unnest(CASE WHEN contingency = 'base_case' THEN [NULL] ELSE list_transform(regexp_extract_all(contingency, '[0-9]+'), lambda x: CAST(x AS INT))[1:CASE WHEN contingency LIKE 'BR%' THEN 2 ELSE 1 END] END) AS bus FROM cases) c LEFT JOIN buses b ON b.bus_id = c.bus AND c.bus % 9 <> 0 GROUP BY c.contingency""")
 def outage_areas(spark, sf_dir):
     """Areas of the buses that an outage's name says it takes out, in several forms of names; an empty list where none is known."""
     said = F.expr("CASE WHEN event_idx % 3 = 0 THEN lower(contingency) WHEN event_idx % 3 = 1 THEN replace(replace(contingency, 'BR_', 'BRANCH_'), 'GN_', 'Gen_') ELSE contingency END")
     buses = spark.table("cases").select("event_idx", "contingency").distinct().select("contingency", F.explode_outer(C.outage_buses(said)).alias("bus"))
-    area = spark.range(0, 25).where("id % 9 <> 0").select(F.col("id").cast("int").alias("bus"), (F.col("id") % 5).cast("string").alias("area"))
-    return buses.join(F.broadcast(area), "bus", "left").groupBy("contingency").agg(F.sort_array(F.collect_set("area")).alias("areas"))  # 25 buses
+    area = spark.table("buses").where("bus_id % 9 <> 0").select(F.col("bus_id").alias("bus"), F.col("area").cast("string").alias("area"))
+    return buses.join(area, "bus", "left").groupBy("contingency").agg(F.sort_array(F.collect_set("area")).alias("areas"))
 
 
 @query("SELECT event_id, CAST(event_id % 100 + event_id % 7 + event_id % 3 AS BIGINT) AS prompt, CAST(CASE WHEN event_id % 4 = 0 THEN 1000 ELSE event_id % 100 + event_id % 7 + event_id % 3 + CASE WHEN event_id % 2 = 0 THEN 0 ELSE event_id % 11 END END AS BIGINT) AS total FROM events")
@@ -158,9 +158,9 @@ def csv_role_detect(spark, sf_dir):
     made = {"cases": cases.selectExpr("from_bus AS `I Bus`", "to_bus AS `J-Bus`", "line_id AS CKT", "loading_percent AS `Loading (pct)`"), "old_cases": cases.selectExpr("from_bus AS ibus", "to_bus AS jbus", "line_id AS circuit", "loading_percent AS `utilization %pct`"),
         "events": spark.table("convergence").selectExpr("event_idx AS `Event Index`", "contingency AS Event", "converged", "status_code AS status"), "metadata": spark.table("buses").selectExpr("bus_id AS bus", "base_kv AS kv", "area"), "other": spark.table("areas")}
     for name, df in made.items():
-        df.coalesce(1).write.option("header", True).csv(f"{path}/{name}")
-    found = files.csv_roles(spark, path, {"flat": "part-00000"})
-    return found.select("role", F.element_at(F.split("file", "/"), -2).alias("folder"), "chosen")
+        df.repartition(2).write.option("header", True).csv(f"{path}/{name}")
+    found = files.csv_roles(spark, path, {"flat": "part-00000"}).select("role", F.element_at(F.split("file", "/"), -2).alias("folder"), "chosen")
+    return found.groupBy("role", "folder").agg(F.max("chosen").alias("chosen"))
 
 
 @query("""SELECT ['csv', 'json', 'txt'][CAST(doc_id % 3 AS INT) + 1] AS suffix, ['table', 'json', 'text'][CAST(doc_id % 3 AS INT) + 1] AS kind, 'supported' AS state,

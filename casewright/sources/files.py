@@ -55,7 +55,8 @@ def role(header: list[str]) -> str:
 
 def csv_roles(spark: SparkSession, path: str, preferred: dict[str, str]) -> DataFrame:
     """file, role, chosen for the CSV files below path, by their first lines. Of several files of a role the one whose name
-    holds the preferred word is chosen, then the first by name. Only each file's first block is looked at."""
+    holds the preferred word is chosen, then the first by name. Headers are cut at every comma. Later blocks of a file are read and dropped:
+    Spark has no way to skip them before they are read."""
     rows = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("n"))
     heads = rows.where("at = 0").groupBy("file", "name").agg(F.min_by("value", "n").alias("head"))
     clean = lambda x: F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9]+", "_"), "^_|_$", "")

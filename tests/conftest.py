@@ -16,4 +16,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from casewright.operators.network import clean_up
+
+    clean_up(session)
     session.stop()
