@@ -44,7 +44,8 @@ BASE_NAMES = ("base", "base_case", "basecase")
 def base_case(event: Column, name: Column) -> Column:
     """Whether a case is the base case: event 0, or one of its names in any spelling."""
     key = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    return F.coalesce(event == 0, F.lit(False)) | F.coalesce(key.isin(*BASE_NAMES), F.lit(False))
+    # few names hold the word at all; only those are taken apart
+    return F.coalesce(event == 0, F.lit(False)) | (F.coalesce(F.lower(name).contains("base"), F.lit(False)) & F.coalesce(key.isin(*BASE_NAMES), F.lit(False)))
 
 
 def voltage_class(kv: Column) -> Column:

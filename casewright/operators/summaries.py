@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 from casewright.functions import columns as C
@@ -21,8 +22,53 @@ def usable(cases: DataFrame, convergence: DataFrame) -> DataFrame:
     return cases.join(failed, "event_idx", "left_anti")
 
 
+#: Rows of extremes that are broadcast to the cases; beyond, the join is shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def _known(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _violated(cases: DataFrame) -> Column:
+    """Whether viol reads as true; a number needs no reading."""
+    number = isinstance(cases.schema["viol"].dataType, NumericType)
+    return F.coalesce(F.col("viol") != 0, F.lit(False)) if number else C.truthy(F.col("viol").cast("string"))
+
+
 def branch_summary(cases: DataFrame) -> DataFrame:
-    """One row a facility, in one pass with partial sums before the shuffle; works alike on a batch and on a stream.
+    """One row a facility. Sums and extremes are plain numbers, so a pass of hash aggregation finds them; a second pass looks at the cases that
+    reach an extreme or hold the first rating, a few a facility, for their events and names.
+
+    Of equal extremes the case with the smallest event, then name, stands for them. The rating is the first known one in that order. The base
+    loading is the largest of the base cases'. A violation is anything that reads as true, or a loading of 100 % or more."""
+    v, size, e = F.col("loading_percent"), F.abs("loading_percent"), F.coalesce(F.col("event_idx").cast("long"), F.lit((1 << 63) - 1))
+    rows = cases.where("loading_percent IS NOT NULL AND from_bus IS NOT NULL AND to_bus IS NOT NULL AND line_id <> ''")
+    sums = settle(rows.groupBy(*C.KEY).agg(F.count("*").alias("case_count"), (F.sum(v.cast("decimal(18,5)")).cast("double") / F.count("*")).alias("mean_loading"), F.min(v).alias("min_loading"), F.max(v).alias("max_loading"), F.max(size).alias("max_abs_loading"),
+        F.max(F.when(C.base_case(F.col("event_idx"), F.col("contingency")), v)).alias("base_loading"), F.count_if(_violated(cases) | (v >= THERMAL)).alias("overload_count"), F.count_if(size >= THERMAL).alias("thermal_count"), F.min(F.when(F.col("rate_mva").isNotNull(), e)).alias("_rated")))
+    ends = _known(sums.select(*C.KEY, "min_loading", "max_loading", "max_abs_loading", "_rated"))
+    low, high, far, rated = v == F.col("min_loading"), v == F.col("max_loading"), size == F.col("max_abs_loading"), F.col("rate_mva").isNotNull() & (e == F.col("_rated"))
+    met = rows.select(*C.KEY, "event_idx", "contingency", "loading_percent", "rate_mva").join(ends, list(C.KEY)).where(low | high | far | rated)
+    order = F.struct(e.alias("e"), "contingency")
+    at = met.groupBy(*C.KEY).agg(F.min_by("event_idx", F.when(low, order)).alias("min_event"), F.min_by("event_idx", F.when(high, order)).alias("max_event"), F.min_by("event_idx", F.when(far, order)).alias("binding_event"),
+        F.min_by("contingency", F.when(far, order)).alias("binding_contingency"), F.min_by("rate_mva", F.when(rated, F.struct(e.alias("e"), "contingency", "rate_mva"))).alias("rate_mva"))
+    return sums.join(at, list(C.KEY)).select(*C.KEY, "case_count", "mean_loading", "min_loading", "max_loading", "max_abs_loading", "base_loading", "overload_count", "thermal_count", "rate_mva", "binding_contingency", "min_event", "max_event", "binding_event",
+        (F.col("min_loading") - F.col("base_loading")).alias("min_deviation"), (F.col("max_loading") - F.col("base_loading")).alias("max_deviation"))
+
+
+def contingency_summary(cases: DataFrame) -> DataFrame:
+    """One row a contingency: facilities, violations, largest size of loading, thermal overloads, and the worst facility (of equal ones the smallest key).
+    Two passes, as in branch_summary()."""
+    size, keys = F.abs("loading_percent"), ["event_idx", "contingency"]
+    sums = settle(cases.groupBy(*keys).agg(F.count("*").alias("facilities"), F.count_if(F.col("viol") == 1).alias("violations"), F.max(size).alias("max_abs_loading"), F.count_if(size >= THERMAL).alias("thermal_count")))
+    ends = _known(sums.select(F.col("event_idx").alias("_e"), F.col("contingency").alias("_c"), "max_abs_loading"))
+    worst = cases.select(*keys, *C.KEY, size.alias("size")).join(ends, F.expr("event_idx <=> _e AND contingency <=> _c AND size = max_abs_loading"))
+    named = worst.groupBy("_e", "_c").agg(F.min(F.struct(*C.KEY)).alias("k")).select("_e", "_c", F.concat_ws("|", *(F.col(f"k.{c}").cast("string") for c in C.KEY)).alias("worst_facility"))
+    return sums.join(named, F.expr("event_idx <=> _e AND contingency <=> _c"), "left").drop("_e", "_c")
+
+
+def running_branches(cases: DataFrame) -> DataFrame:
+    """branch_summary() in one pass, as a stream needs it; its state holds structures, so a batch of this form sorts its rows.
 
     Of equal extremes the case with the smallest event, then name, stands for them. The rating is the first known one in that order. The base
     loading is the largest of the base cases'. A violation is anything that reads as true, or a loading of 100 % or more."""
@@ -33,7 +79,7 @@ def branch_summary(cases: DataFrame) -> DataFrame:
     found = cases.where("loading_percent IS NOT NULL AND from_bus IS NOT NULL AND to_bus IS NOT NULL AND line_id <> ''").groupBy(*C.KEY).agg(
         F.count("*").alias("case_count"), (F.sum(v.cast("decimal(18,5)")).cast("double") / F.count("*")).alias("mean_loading"),
         F.min(v).alias("min_loading"), F.max(v).alias("max_loading"), F.max(size).alias("max_abs_loading"), base.alias("base_loading"),
-        F.count_if(C.truthy(F.col("viol").cast("string")) | (v >= THERMAL)).alias("overload_count"), F.count_if(size >= THERMAL).alias("thermal_count"),
+        F.count_if(_violated(cases) | (v >= THERMAL)).alias("overload_count"), F.count_if(size >= THERMAL).alias("thermal_count"),
         F.min_by("rate_mva", F.when(F.col("rate_mva").isNotNull(), F.struct(F.col("event_idx").isNull().alias("none"), "event_idx", "contingency", "rate_mva"))).alias("rate_mva"),
         low.alias("low"), high.alias("high"), far.alias("far"))
     return found.select(*C.KEY, "case_count", "mean_loading", "min_loading", "max_loading", "max_abs_loading", "base_loading", "overload_count", "thermal_count", "rate_mva", F.col("far.contingency").alias("binding_contingency"),
@@ -41,7 +87,8 @@ def branch_summary(cases: DataFrame) -> DataFrame:
         (F.col("min_loading") - F.col("base_loading")).alias("min_deviation"), (F.col("max_loading") - F.col("base_loading")).alias("max_deviation"))
 
 
-def contingency_summary(cases: DataFrame) -> DataFrame:
+def running_contingencies(cases: DataFrame) -> DataFrame:
+    """contingency_summary() in one pass, as a stream needs it."""
     size = F.abs("loading_percent")
     return cases.groupBy("event_idx", "contingency").agg(
         F.count("*").alias("facilities"), F.count_if(F.col("viol") == 1).alias("violations"), F.max(size).alias("max_abs_loading"),

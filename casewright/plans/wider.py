@@ -341,14 +341,14 @@ def passages(spark, sf_dir):
 @query(_CONTINGENCY)
 def stream_contingency_summary(spark, sf_dir):
     cols = ["event_idx", "contingency", *C.KEY, "viol", "loading_percent"]
-    return streams.complete(spark, spark.table("cases").select(*cols), summaries.contingency_summary)
+    return streams.complete(spark, spark.table("cases").select(*cols), summaries.running_contingencies)
 
 
 @query(_BRANCH.replace(_USABLE, "cases"))
 def stream_branch_summary(spark, sf_dir):
     """All fields of the branch summary as a running result, over all cases."""
     cols = ["event_idx", "contingency", *C.KEY, "rate_mva", "viol", "loading_percent"]
-    return streams.complete(spark, spark.table("cases").select(*cols), summaries.branch_summary)
+    return streams.complete(spark, spark.table("cases").select(*cols), summaries.running_branches)
 
 
 @query("SELECT run_id, CAST(least(total, done) AS BIGINT) AS done, total FROM (SELECT run_id, sum(CASE WHEN line LIKE 'contingency:%' THEN 10 ELSE 0 END) AS done, max(CASE WHEN line LIKE 'Total%' THEN CAST(regexp_extract(line, '([0-9]+)$', 1) AS BIGINT) END) AS total FROM solver_lines GROUP BY run_id) WHERE total IS NOT NULL")

@@ -87,4 +87,4 @@ def test_passages_begin_at_headings_and_keep_every_character(spark):
 
 def test_running_summary_of_an_empty_stream(spark):
     rows = spark.createDataFrame([], "event_idx int, contingency string, from_bus int, to_bus int, line_id string, section string, viol int, rate_mva double, loading_percent double")
-    assert streams.complete(spark, rows, summaries.contingency_summary).isEmpty() and streams.complete(spark, rows, summaries.branch_summary).isEmpty()
+    assert streams.complete(spark, rows, summaries.running_contingencies).isEmpty() and streams.complete(spark, rows, summaries.running_branches).isEmpty()
