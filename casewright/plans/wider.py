@@ -266,7 +266,10 @@ def elements_near(spark, sf_dir):
     return outages.near_elements(live.where("i <> j"), network.k_hop(live, 1, 2))
 
 
-@query(f"""SELECT * FROM (WITH RECURSIVE e AS {_LIVE}, w AS (SELECT i AS a, j AS b, ckt FROM e UNION SELECT j, i, ckt FROM e), h(bus, hops) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT w.b, hops + 1 FROM h JOIN w ON w.a = h.bus WHERE hops < 12), m AS (SELECT bus, min(hops) AS hops FROM h GROUP BY bus), p AS (SELECT b.bus, b.hops, min(struct_pack(a := w.a, c := w.ckt)) AS by FROM m b JOIN w ON w.b = b.bus JOIN m a ON a.bus = w.a AND a.hops = b.hops - 1 GROUP BY b.bus, b.hops),
+@query(f"""SELECT * FROM (WITH RECURSIVE e AS {_LIVE}, w AS (SELECT i AS a, j AS b, ckt FROM e UNION SELECT j, i, ckt FROM e),
+ -- a level's neighbours lie in it, in the one before or in the next one; k is 0 for the level itself, 1 for the one before
+ h(bus, hops, k) AS (SELECT CAST(1 AS BIGINT), 0, 0 UNION ALL (SELECT DISTINCT w.b, hops + 1, 0 FROM h JOIN w ON w.a = h.bus WHERE k = 0 AND w.b NOT IN (SELECT bus FROM h) UNION ALL SELECT bus, hops, 1 FROM h WHERE k = 0)),
+ m AS (SELECT bus, hops FROM h WHERE k = 0), p AS (SELECT b.bus, b.hops, min(struct_pack(a := w.a, c := w.ckt)) AS by FROM m b JOIN w ON w.b = b.bus JOIN m a ON a.bus = w.a AND a.hops = b.hops - 1 GROUP BY b.bus, b.hops),
  q(bus) AS (SELECT max(i) FROM e UNION SELECT p.by.a FROM q JOIN p ON p.bus = q.bus) SELECT m.hops AS step, m.bus, p.by.c AS ckt FROM m LEFT JOIN p USING (bus) WHERE m.bus IN (SELECT bus FROM q) AND (SELECT count(*) FROM m WHERE bus = (SELECT max(i) FROM e)) > 0)""")
 def shortest_path(spark, sf_dir):
     """The shortest way from bus 1 to the last bus in service: each bus with the circuit that leads to it."""

@@ -1,8 +1,10 @@
 """Outages, edits, documents and streams on small literals."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from casewright.operators import edits, master, outages, summaries, trees
+from casewright.plans.queries import ORACLE
 from casewright.sources import documents
 from casewright.streaming import streams
 
@@ -88,3 +90,12 @@ def test_passages_begin_at_headings_and_keep_every_character(spark):
 def test_running_summary_of_an_empty_stream(spark):
     rows = spark.createDataFrame([], "event_idx int, contingency string, from_bus int, to_bus int, line_id string, section string, viol int, rate_mva double, loading_percent double")
     assert streams.complete(spark, rows, summaries.running_contingencies).isEmpty() and streams.complete(spark, rows, summaries.running_branches).isEmpty()
+
+
+def test_the_sql_of_the_shortest_path_has_no_longest_way():
+    """A chain of 40 buses: its last bus is 39 elements from the first."""
+    _, start, body = ORACLE["shortest_path"].partition("SELECT * FROM (WITH RECURSIVE")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE net_bus AS SELECT b AS bus, 1 AS ide FROM range(1, 41) r(b)")
+    con.execute("CREATE TABLE net_element AS SELECT b AS i, b - 1 AS j, '1' AS ckt, 1 AS st FROM range(2, 41) r(b)")
+    assert sorted(con.execute(start + body).fetchall()) == [(b - 1, b, "1" if b > 1 else None) for b in range(1, 41)]
