@@ -47,6 +47,15 @@ def test_silent_runs_are_reported_once(spark, tmp_path):
     assert [(r.run_id, r.completed, r.silent) for r in seen] == [(1, 1, False), (1, 1, True)], seen
 
 
+def test_many_runs_share_few_keys_of_state(spark, tmp_path):
+    source, out = str(tmp_path / "lines"), str(tmp_path / "out")
+    runs = [None, -7, *range(2**53 + 1, 2**53 + 1500)]
+    lines = spark.createDataFrame([(r, n, "contingency: 5 success: true" if n else "20 contingencies") for r in runs for n in (0, 1)], "run_id long, line_no long, line string")
+    lines.coalesce(1).write.parquet(source)
+    assert _rows(progress.follow(spark, source, out)) == sorted(((r, "indexed", "solving", 1, 20, 5, None, 0, False) for r in runs), key=repr)
+    assert spark.read.format("statestore").load(f"{out}/state").count() <= 1024
+
+
 BUSES = [(b, f"Bus {b}", 4 if b == 9 else 3 if b == 1 else 1, b % 3, 10.0, 5.0 if b == 7 else 0.0) for b in range(1, 13)]
 BRANCHES = [(1, 2, "1", 1), (2, 3, "1", 1), (2, 3, "2", 1), (8, 9, "1", 1), (10, 11, "1", 0), (7, 8, "1", 1), (3, 99, "1", 1)]
 WOUND = [(3, 4, 0, "1", "1"), (4, 5, 6, "1", "1"), (5, 6, 7, "2", "3"), (10, 11, 12, "1", "0"), (6, 7, 0, "1", "0")]
