@@ -158,7 +158,7 @@ def csv_role_detect(spark, sf_dir):
     made = {"cases": cases.selectExpr("from_bus AS `I Bus`", "to_bus AS `J-Bus`", "line_id AS CKT", "loading_percent AS `Loading (pct)`"), "old_cases": cases.selectExpr("from_bus AS ibus", "to_bus AS jbus", "line_id AS circuit", "loading_percent AS `utilization %pct`"),
         "events": spark.table("convergence").selectExpr("event_idx AS `Event Index`", "contingency AS Event", "converged", "status_code AS status"), "metadata": spark.table("buses").selectExpr("bus_id AS bus", "base_kv AS kv", "area"), "other": spark.table("areas")}
     for name, df in made.items():
-        df.repartition(2).write.option("header", True).csv(f"{path}/{name}")
+        df.write.option("header", True).csv(f"{path}/{name}")  # as many files as it has partitions: a fixed number would grow them with the table
     found = files.csv_roles(spark, path, {"flat": "part-00000"}).select("role", F.element_at(F.split("file", "/"), -2).alias("folder"), "chosen")
     return found.groupBy("role", "folder").agg(F.max("chosen").alias("chosen"))
 

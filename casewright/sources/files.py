@@ -58,7 +58,8 @@ def csv_roles(spark: SparkSession, path: str, preferred: dict[str, str]) -> Data
     holds the preferred word is chosen, then the first by name. Headers are cut at every comma. Later blocks of a file are read and dropped:
     Spark has no way to skip them before they are read."""
     rows = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("n"))
-    heads = rows.where("at = 0").groupBy("file", "name").agg(F.min_by("value", "n").alias("head"))
+    # min_by of a text alone makes Spark sort all lines of a split by file; beside a set it hashes, so a task holds one line a file
+    heads = rows.where("at = 0").groupBy("file", "name").agg(F.min_by("value", "n").alias("head"), F.collect_set("at").alias("starts")).where(F.size("starts") == 1).drop("starts")
     clean = lambda x: F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9]+", "_"), "^_|_$", "")
     heads = heads.withColumn("names", F.transform(F.split("head", ","), clean))
     kind = F.coalesce(*(F.when(reduce(lambda a, b: a & b, (F.arrays_overlap("names", F.array(*map(F.lit, o))) for o in columns)), r) for r, columns in ROLES.items()), F.lit("unknown"))

@@ -46,6 +46,16 @@ def test_roles_and_aliases_of_headers():
     assert files.canonical_columns(["FROM_BUS", "Circuit ID"]) == {"from_bus": "FROM_BUS", "line_id": "Circuit ID"}
 
 
+def test_roles_by_first_lines_without_sorting_the_others(spark, tmp_path):
+    for name, text in (("a/x.csv", "I Bus,J-Bus,CKT,Loading\n1,2,3,4\n0,0,0,0\n"), ("b/x.csv", "ibus,jbus,circuit,loading\n9,9,9,9\n"), ("c.csv", "x\nibus,jbus,circuit,loading\n"), ("d.csv", "")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = files.csv_roles(spark, str(tmp_path), {})
+    assert [(r.file.split(tmp_path.name)[1], r.role, r.chosen) for r in got.orderBy("file").collect()] == [("/a/x.csv", "flat", True), ("/b/x.csv", "flat", False), ("/c.csv", "unknown", False)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "SortAggregate" in x and "min_by(value" in x]
+
+
 def test_flat_rows_keep_labels_and_reject_what_is_no_number(spark, tmp_path):
     (tmp_path / "a.csv").write_text("i bus,J-Bus,CKT,Loading,event\n1.0,2,01,55.5,q\n1,2,'2 ',nan,q\n1,,A,3,q\n")
     rows = files.read_flat(spark, str(tmp_path / "a.csv"))
