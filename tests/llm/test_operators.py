@@ -224,6 +224,17 @@ def passages_by_force(rows):
     return out
 
 
+def test_places_without_a_partner_are_not_dealt_out_by_class(spark, monkeypatch):
+    seen, real = [], suffixes.materialize
+    monkeypatch.setattr(suffixes, "materialize", lambda df: seen.append(real(df)) or seen[-1])
+    lone = " ".join("u%d" % i for i in range(400))
+    rows = [(1, lone), (2, "a b " + PASSAGE), (3, PASSAGE + " c d")]
+    got = suffixes.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_repeated) for r in got.collect()) == [(2, 70), (3, 70)]
+    classes = next(df for df in seen if "rep" in df.columns)
+    assert not classes.where("rep.label = 1").count()
+
+
 def test_repeated_passages_around_a_frequent_phrase(spark):
     r = random.Random(4)
     stream = [r.choice(WORDS) for _ in range(60000)]
