@@ -289,8 +289,12 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     one = texts.where(F.size("place") > 0).groupBy("tid").agg(F.min("doc_id").alias("label"), F.first(F.struct(*names)).alias("s"))
     places = materialize(one.select("tid", "label", F.explode(F.arrays_zip(*(F.col(f"s.{c}") for c in names))).alias("x")).select("tid", "label", *(F.col(f"x.{c}").alias(c) for c in names)))
     # a key that occurs once has neither a copy nor a partner: most places end here, before wide rows are dealt out by class
-    several = places.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
-    places = materialize(places.join(several, "key", "left_semi"))
+    several = materialize(places.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"))
+    # keys with more than a task's fair share of the places, at most one a task, stay where they are
+    share = places.count() // int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = F.broadcast(several.where(F.col("_n") > share).select("key"))
+    others = several.where(F.col("_n") <= share).select("key").hint("merge")
+    places = materialize(places.join(heavy, "key", "left_semi").union(places.join(heavy, "key", "left_anti").join(others, "key", "left_semi")))
     rep = F.min(F.struct(F.col("label").isNull().alias("nameless"), "label", "tid", "place")).alias("rep")
     classes = materialize(places.groupBy("key", "span").agg(F.count("*").alias("n"), rep, F.first("low").alias("low"), F.first("high").alias("high")))
     # more than NEIGHBOURS + 1 classes of a key: not every two of them are neighbours
