@@ -150,14 +150,21 @@ _OBJECTS = f"""fac AS (SELECT f.*, a.area_name AS fa, b.area_name AS ta, greates
 def _objects(spark):
     """Every family's groups and values."""
     b = spark.table("buses").join(spark.table("areas"), "area", "left").select("bus_id", "area_name", "base_kv")
-    cases, size = spark.table("cases"), F.abs("loading_percent")
-    fac = cases.groupBy(*C.KEY).agg(F.when(F.max("rate_mva") > 0, F.max(size)).alias("v"), F.min_by("contingency", F.struct(-size, "event_idx", "contingency")).alias("bind"))
+    # each family is read several times, and all stand on the cases
+    cases, size = network.settle(spark.table("cases").select("event_idx", "contingency", *C.KEY, "rate_mva", "loading_percent")), F.abs("loading_percent")
+    # extremes by hash aggregation, then only the cases that reach them
+    peak = cases.groupBy(*C.KEY).agg(F.max(size).alias("top"), F.max("rate_mva").alias("rate"))
+    same = " AND ".join(f"c.{k} <=> p.{k}" for k in C.KEY)
+    reach = cases.alias("c").join(peak.alias("p"), F.expr(f"{same} AND abs(c.loading_percent) <=> p.top"))
+    fac = reach.groupBy(*(F.col(f"p.{k}") for k in C.KEY), "top", "rate").agg(F.min(F.struct("event_idx", "contingency")).alias("at"))
+    fac = fac.select(*C.KEY, F.expr("CASE WHEN rate > 0 THEN top END").alias("v"), F.col("at.contingency").alias("bind"))
     fac = fac.join(b.toDF("from_bus", "fa", "fk"), "from_bus", "left").join(b.toDF("to_bus", "ta", "tk"), "to_bus", "left").join(spark.table("branch_metadata").drop("rate_mva"), list(C.KEY), "left")
     kv, areas = F.greatest("fk", "tk"), F.array("fa", "ta")
+    fac = network.settle(fac)
     yield "facility", fac, dict(zip(_NAMED["facility"], [objects.ends(areas), objects.label(C.tie_flag(areas)), objects.label(C.voltage_class(kv)), objects.label(kv), objects.label(F.col("raw_branch_type")), objects.label(F.col("bind"))])), F.col("v")
-    con = cases.where("event_idx <> 0").groupBy("event_idx", "contingency").agg(F.max(size).alias("v")).join(spark.table("convergence"), ["event_idx", "contingency"], "left")
+    con = network.settle(cases.where("event_idx <> 0").groupBy("event_idx", "contingency").agg(F.max(size).alias("v")).join(spark.table("convergence"), ["event_idx", "contingency"], "left"))
     at = con.select("event_idx", "contingency", F.explode(C.outage_buses(F.col("contingency"))).alias("bus_id")).join(b, "bus_id").groupBy("event_idx", "contingency").agg(F.collect_set("area_name").alias("areas"))
-    con = con.join(at, ["event_idx", "contingency"], "left")
+    con = network.settle(con.join(at, ["event_idx", "contingency"], "left"))
     yield "contingency", con, dict(zip(_NAMED["contingency"], [*(objects.label(F.col(c)) for c in ("type", "status_code", "converged")), objects.ends(F.coalesce("areas", F.array().cast("array<string>")))])), F.col("v")
     yield "case", cases, {"contingency": objects.label(F.col("contingency")), "facility": objects.label(C.case_key())}, size
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from casewright.functions import columns as C
 from casewright.operators import master, network, objects, quantiles, stars, summaries, tables, trees
-from casewright.sources import texttables
+from casewright.plans import deeper
+from casewright.sources import fixtures, texttables
 from casewright.streaming import progress
 
 
@@ -219,3 +220,10 @@ def test_text_tables_by_their_files(spark, tmp_path):
     rows = texttables.lines(spark, str(tmp_path))
     assert _rows(texttables.rejects(rows)) == [("pgen", 1, 1, 1), ("pq_change_cnt", 1, 0, 0)]
     assert _rows(texttables.table(rows, "pgen")) == [(1, 2, "A", 1.5, 2.0, 30.0)] and len(texttables.SCHEMAS) == 16
+
+
+def test_families_of_objects_are_read_from_what_was_written(spark):
+    """Each is read several times; none repeats the joins under the cases."""
+    fixtures.register(spark, "/root/testdata/sf0.001")
+    for family, rows, _, _ in deeper._objects(spark):
+        assert "Join" not in rows._jdf.queryExecution().executedPlan().toString(), family
